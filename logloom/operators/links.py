@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.text import DEFAULT_MASK, blank, mask_text
 from logloom.operators.asof import asof_nearest
@@ -75,7 +76,8 @@ def resolve_hits(hits: DataFrame, logs: DataFrame, key: str = "hit_id", by: Sequ
     return joined.select(*[hits[c] for c in hits.columns], F.col("b.seq").alias("log_seq"), F.col("b.rank").alias("match_rank"))
 
 
-_SEGMENTS = "array<struct<text:string,type:string>>"
+_SEGMENT = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("type", T.StringType())]))
+_BOTH = T.StructType([T.StructField("left", _SEGMENT), T.StructField("right", _SEGMENT)])
 
 
 def _pair_segments(a: str, b: str) -> tuple[list, list]:
@@ -118,7 +120,7 @@ def _runs(steps: list) -> tuple[list, list]:
     return left, right
 
 
-@F.pandas_udf(f"struct<left:{_SEGMENTS},right:{_SEGMENTS}>")
+@F.pandas_udf(_BOTH)
 def _segments(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = []
     for s, t in zip(a, b):

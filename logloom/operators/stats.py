@@ -115,8 +115,9 @@ def logger_tree(logs: DataFrame) -> DataFrame:
     paths = per_logger.select(parts.alias("_p"), "n", depths.alias("depth"))
     paths = paths.select(F.array_join(F.slice("_p", F.lit(1), F.col("depth")), ".").alias("path"), "depth", "n")
     tree = paths.groupBy("path", "depth").agg(F.sum("n").alias("n_logs"))
-    parent = F.when(F.col("depth") > 1, F.substring_index("path", ".", F.col("depth") - 1))
-    return tree.select("path", "depth", F.substring_index("path", ".", -1).alias("name"), F.coalesce(parent, F.lit("")).alias("parent"), "n_logs")
+    steps = F.split("path", r"\.")
+    parent = F.array_join(F.slice(steps, F.lit(1), F.col("depth") - 1), ".")
+    return tree.select("path", "depth", F.element_at(steps, -1).alias("name"), parent.alias("parent"), "n_logs")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

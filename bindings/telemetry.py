@@ -166,7 +166,7 @@ SELECT count(*) AS n_times, (SELECT count(*) FROM t) * (SELECT count(*) FROM k W
 def s13(spark, d):
     path = scratch_dir(spark, "wide")
     one = logs(spark, d).withColumn("session", F.lit("all"))
-    wide.write_wide(wide.wide_series(one).drop("session").coalesce(1), path)
+    wide.write_wide(wide.wide_series(one).drop("session"), path)
     back = read_wide_export(spark, path)
     return back["signals"].agg(
         F.count_distinct("time").alias("n_times"), F.count_if(F.col("category") == "IO").alias("n_io_cells")

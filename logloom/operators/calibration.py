@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.single import attach
+from logloom.operators.single import attach, join_on
 
 STATIONS = range(1, 7)
 MISSING = (-1000.0, -2000.0)
@@ -103,9 +103,8 @@ def smooth(df: DataFrame, w: int = 10, value: str = "value", order: str = "idx",
 def remove_dc(df: DataFrame, value: str = "y", by: Sequence[str] = ("series",)) -> DataFrame:
     """Subtract the mean of each series (an aggregate and a join, not a window)."""
     means = df.where(~F.isnan(value)).groupBy(*by).agg(F.avg(value).alias("_mean"))
-    joined = df.join(means, [df[k].eqNullSafe(means[k]) for k in by], "left")
     shifted = F.col(value) - F.coalesce("_mean", F.lit(0.0))
-    return joined.select(*[df[c] for c in df.columns], "_mean").withColumn(value, shifted).drop("_mean")
+    return join_on(df, means, by, "left").withColumn(value, shifted).drop("_mean")
 
 
 def _finish(profile: DataFrame, dc: bool, w: int) -> DataFrame:

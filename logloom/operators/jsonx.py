@@ -66,13 +66,28 @@ def _summary(value, path: str, out: dict) -> dict:
         if value and isinstance(value[0], dict):
             out[path] = f"[{len(value)} items]"
         else:
-            shown = [v if isinstance(v, str) else _text(v) if v is None or isinstance(v, bool) else json.dumps(v) for v in value]
-            out[path] = ", ".join(v or "" for v in shown[:5]) + ("..." if len(value) > 5 else "")
+            shown = [_short(v) for v in value[:5]]
+            out[path] = ", ".join(shown) + ("..." if len(value) > 5 else "")
     else:
         out[path] = _text(value)
     return out
 
 
+def _short(value) -> str:
+    """A value inside a short list: text as it is, the rest as JSON."""
+    if value is None or isinstance(value, (str, bool)):
+        return _text(value) or ""
+    if isinstance(value, dict):
+        return "{" + ", ".join(f'"{k}": {_json(v)}' for k, v in value.items()) + "}"
+    return "[" + ", ".join(_json(v) for v in value) + "]"
+
+
+def _json(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    return _short(value) if isinstance(value, (dict, list)) else json.dumps(value)
+
+
 class _Number(str):
     """Digits of a JSON number as they are written."""
 

@@ -112,11 +112,13 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
         test |= F.coalesce(F.contains(c, F.lit(MARK)), F.lit(False))
 
     def usable(c: str) -> Column:
-        found = F.when(F.contains(c, F.lit(MARK)), balanced_object(F.col(c)))
-        return F.when(F.get_json_object(found, "$").isNotNull() & F.array_contains(F.json_object_keys(found), MARK), found)
+        # Filtering a one-element array reads the object once for all its uses.
+        found = F.array(_members(F.when(F.contains(c, F.lit(MARK)), balanced_object(F.col(c)))))
+        return F.get(F.filter(found, lambda m: F.coalesce(F.map_contains_key(m, MARK), F.lit(False))), F.lit(0))
 
-    rows = logs.where(test).select(*keep, F.coalesce(*[usable(c) for c in texts]).alias("_json"))
-    rows = rows.where(F.col("_json").isNotNull()).withColumn("_top", _members(F.col("_json")))
+    # Only the plain text test is a filter: a filter on parsed parts would be
+    # pushed to the scan and parse everything again there.
+    rows = logs.where(test).select(*keep, F.coalesce(*[usable(c) for c in texts]).alias("_top"))
     rows = rows.withColumns({
         "_desc": F.try_element_at("_top", F.lit(MARK)),
         "_spm": _typed(F.try_element_at("_top", F.lit("SpmMeasureInstruction")), SPM_INTS, (), ("IsActive",), SPM_STRINGS),
@@ -129,7 +131,6 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
     spm_on = F.coalesce(F.col("_spm.IsActive"), F.lit(False))
     bad = _any_bad(F.col("_stripe"), list(STRIPE_INTS)) | _any_bad(F.col("_ils"), list(ILS_INTS))
     bad |= spm_on & _any_bad(F.col("_spm"), list(SPM_INTS))
-    rows = rows.where(~bad)
     stripe, spm, ils = F.col("_stripe"), F.col("_spm"), F.col("_ils")
     flat = {our: _int(stripe[n]) for n, our in STRIPE_INTS.items()}
     flat |= {our: F.coalesce(stripe[n], F.lit(0.0)) for n, our in STRIPE_DOUBLES.items()}
@@ -141,6 +142,7 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
     flat["ils_is_active"] = F.coalesce(ils["IsActive"], F.lit(False))
     flat |= {our: _int(ils[n]) for n, our in ILS_INTS.items()}
     flat["ils_scan_mode"] = ils["ScanMode"]
+    flat = {n: c.alias(n) for n, c in flat.items()}
     numbered = F.filter(F.map_entries("_groups"), lambda e: F.startswith(e["key"], F.lit("#")))
     with_slices = F.filter(
         F.transform(numbered, lambda e: F.try_element_at(_members(e["value"]), F.lit("slices"))), lambda s: s.isNotNull()
@@ -149,10 +151,16 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
     def read_slice(member: Column, group: Column, place: Column) -> Column:
         raw = member["value"]
         base = _typed(raw, SLICE_INTS, (), ("stationIsActive",), ("hvTargetType", *SLICE_NESTED_INTS))
-        parts = [
-            _typed(base[n], list(f), (), ("isActive",) if n == "emData" else ()).alias(n) for n, f in SLICE_NESTED_INTS.items()
-        ]
-        return F.struct(group.alias("g"), place.alias("s"), raw.alias("raw"), base.alias("base"), *parts)
+
+        def with_parts(read: Column) -> Column:
+            parts = [
+                _typed(read[n], list(f), (), ("isActive",) if n == "emData" else ()).alias(n)
+                for n, f in SLICE_NESTED_INTS.items()
+            ]
+            return F.struct(group.alias("g"), place.alias("s"), raw.alias("raw"), read.alias("base"), *parts)
+
+        # The one-element array makes the parsed slice a variable, read once.
+        return F.get(F.transform(F.array(base), with_parts), F.lit(0))
 
     def usable_slice(one: Column) -> Column:
         broken = ~_is_object(one["raw"]) | _any_bad(one["base"], list(SLICE_INTS))
@@ -164,11 +172,15 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
         members = F.filter(F.map_entries(_members(slices)), lambda e: F.startswith(e["key"], F.lit("#")))
         return F.coalesce(F.transform(members, lambda e, i: read_slice(e, group, i)), F.array())
 
-    every = F.flatten(F.transform(with_slices, of_group))
-    # Broken slices go here; what is empty then gives the one plain row.
+    every = F.coalesce(F.flatten(F.transform(with_slices, of_group)), F.array())
+    kept = F.transform(F.filter(every, usable_slice), lambda o: F.struct(F.lit(True).alias("slice"), o.alias("of")))
+    nothing = F.struct(F.lit(False).alias("slice"), F.lit(None).alias("of"))
+    entries = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(nothing)))
+    usable_record = F.col("_desc").isNotNull() & ~bad
     rows = rows.select(
-        *keep, *[c.alias(n) for n, c in flat.items()], F.explode_outer(F.filter(every, usable_slice)).alias("_one")
+        *keep, "_stripe", "_spm", "_ils", F.explode_outer(F.when(usable_record, F.get(entries, F.lit(0)))).alias("_entry")
     )
+    rows = rows.where(F.col("_entry").isNotNull()).select(*keep, *flat.values(), F.col("_entry.of").alias("_one"))
     found, one = F.col("_one").isNotNull(), F.col("_one.base")
     out = {
         "group_index": F.coalesce("_one.g", F.lit(-1)),

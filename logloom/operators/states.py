@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import equals_ci, from_state, is_transition, state_id, to_state, truncate_text
 from logloom.operators.intervals import count_in_intervals
-from logloom.operators.single import attach
+from logloom.operators.single import attach, join_on
 from logloom.operators.timeslice import (
     DEFAULT_WIDTH,
     neighbours,
@@ -71,9 +71,7 @@ def plain_states(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame
     to the end of the log."""
     # Transitions are few next to the log, so wide slices do.
     moves = neighbours(transitions(logs, by), ["ts", "to_state"], by, ("ts", "seq"), "next", width=3600.0)
-    ends = _log_end(logs, by)
-    cond = [moves[k].eqNullSafe(ends[k]) for k in by]
-    joined = moves.join(ends, cond).select(*[moves[c] for c in moves.columns], "_log_end")
+    joined = join_on(moves, _log_end(logs, by), by)
     return joined.select(
         *by,
         "seq",
@@ -129,8 +127,7 @@ def state_runs(
     starts = neighbours(starts.select(*by, "_i", "_at", "state_id"), ["_i"], by, ("_at",), "next", step)
     if by:
         last = rows.groupBy(*by).agg(F.max("_i").alias("_last"))
-        joined = starts.join(last, [starts[k].eqNullSafe(last[k]) for k in by])
-        starts = joined.select(*[starts[c] for c in starts.columns], "_last")
+        starts = join_on(starts, last, by)
     else:
         starts = attach(starts, rows.agg(F.max("_i").alias("_last")))
     return starts.select(
@@ -142,12 +139,10 @@ def machine_state_intervals(logs: DataFrame, by: Sequence[str] = ("session",)) -
     """Machine states on the index axis of all distinct times of the log."""
     axis = time_axis(logs, "ts", by)
     moves = transitions(logs, by)
-    joined = moves.join(axis, [moves["ts"] == axis["ts"], *[moves[k].eqNullSafe(axis[k]) for k in by]])
-    on_axis = joined.select(*[moves[c] for c in moves.columns], "idx")
+    on_axis = join_on(moves, axis, ["ts", *by])
     paired = neighbours(on_axis, ["idx"], by, ("ts", "seq"), "next", width=3600.0)
     ends = axis.groupBy(*by).agg(F.max("idx").alias("_last"))
-    full = paired.join(ends, [paired[k].eqNullSafe(ends[k]) for k in by])
-    full = full.select(*[paired[c] for c in paired.columns], "_last")
+    full = join_on(paired, ends, by)
     end = F.coalesce(F.col("next_idx") - 1, F.col("_last"))
     return full.select(
         *by,
@@ -218,12 +213,9 @@ def timeline(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
         *by, F.col("_no").alias("state_no"), F.col("ts").alias("start_ts"), F.col("_state").alias("state"), "seq"
     )
     opened = neighbours(opened, ["start_ts", "state"], by, ("start_ts", "seq"), "next", width=3600.0)
-    ends = _log_end(logs, by)
-    on_ends = [opened[k].eqNullSafe(ends[k]) for k in by]
-    opened = opened.join(ends, on_ends).select(*[opened[c] for c in opened.columns], "_log_end")
-    on_counts = [opened["state_no"] == counts["state_no"], *[opened[k].eqNullSafe(counts[k]) for k in by]]
-    full = opened.join(counts, on_counts, "left").select(
-        *[opened[c] for c in opened.columns],
+    opened = join_on(opened, _log_end(logs, by), by)
+    full = join_on(opened, counts, ["state_no", *by], "left").select(
+        *opened.columns,
         F.coalesce("error_count", F.lit(0)).alias("error_count"),
         F.coalesce("_failed", F.lit(0)).alias("_failed"),
     )

@@ -11,7 +11,7 @@ from logloom.functions.text import blank, duration_text, short_logger, truncate_
 from logloom.operators.asof import assign_state
 from logloom.operators.fields import tick_class
 from logloom.operators.filters import errors
-from logloom.operators.single import attach
+from logloom.operators.single import attach, join_on
 from logloom.operators.states import BY, gaps, plain_states
 from logloom.operators.timeslice import epoch_micros, number_rows, seconds_between
 
@@ -180,8 +180,7 @@ def overview(logs: DataFrame, cells: int, by: Sequence[str] = BY, tick_height: f
     total = logs.groupBy(*by).agg(F.count("*").alias("_total"))
     numbered = number_rows(tick_class(logs.select(*by, "ts", "seq", "level", "thread", "message")), by)
     marked = numbered.where(F.col("tick") != "None")
-    joined = marked.join(total, [marked[k].eqNullSafe(total[k]) for k in by])
-    rows = joined.select(*[marked[c] for c in marked.columns], "_total")
+    rows = join_on(marked, total, by)
     at = (F.col("row_no") - 1) / F.col("_total") * cells
     cell = F.floor(F.greatest(F.lit(0.0), F.least(at, F.lit(float(cells - tick_height))))).cast("int")
     rank = F.when(F.col("tick") == "Error", 0).otherwise(1)

@@ -23,6 +23,7 @@ from logloom.operators.telemetry import (
     steps_long,
 )
 from logloom.operators.states import machine_state_intervals, step_intervals
+from logloom.operators.single import join_on
 from logloom.operators.timeslice import epoch_micros, fill_forward, time_axis
 
 MAX_COLUMNS = 2000
@@ -182,8 +183,7 @@ def signal_package(
     times = time_axis(logs, "ts", by)
 
     def on_axis(rows: DataFrame) -> DataFrame:
-        joined = rows.join(times, [rows["ts"] == times["ts"], *[rows[k].eqNullSafe(times[k]) for k in by]])
-        return joined.select(*[rows[c] for c in rows.columns], "idx")
+        return join_on(rows, times, ["ts", *by])
 
     wanted = None if io is None and axis is None else [*(io or ()), *(axis or ())]
     runs = signal_runs(logs, by, times)

@@ -41,6 +41,8 @@ SLICE_NESTED_INTS = {
 }
 
 INT_LIMIT = 2**31
+# A named part whose value is no object.
+_NOT_OBJECT = r'"({})({})"\s*:\s*(?!\{{)\S'
 
 
 def balanced_object(text: Column) -> Column:
@@ -60,19 +62,18 @@ def balanced_object(text: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
     end = F.aggregate(marks, start, step, lambda s: s["end"])
-    return F.when(F.contains(text, F.lit("{")) & (end > 1), F.left(tail, end))
+    # As the one element of an array the scan's result is read once.
+    cut = F.transform(F.array(end), lambda e: F.when(e > 1, F.left(tail, e)))
+    return F.when(F.contains(text, F.lit("{")), F.get(cut, F.lit(0)))
 
 
-def _members(json: Column) -> Column:
-    """Members of a JSON object in document order, values as raw JSON text."""
-    return F.from_json(json, "map<string,string>")
+def _fields(ints: Sequence[str] = (), doubles: Sequence[str] = (), bools: Sequence[str] = (), strings: Sequence[str] = (), more: Sequence[str] = ()) -> str:
+    """Schema of typed fields; a value of the wrong JSON kind reads as null.
 
-
-# ``map<string,string>`` gives a string value without its quotes, so the raw
-# JSON kind of a member is read from a typed struct instead.
-def _typed(json: Column, ints: Sequence[str] = (), doubles: Sequence[str] = (), bools: Sequence[str] = (), strings: Sequence[str] = ()) -> Column:
-    fields = [f"`{n}` double" for n in (*ints, *doubles)] + [f"`{n}` boolean" for n in bools] + [f"`{n}` string" for n in strings]
-    return F.from_json(json, ", ".join(fields))
+    Integers are read as doubles, so that a number with a fraction shows.
+    """
+    fields = [f"`{n}`: double" for n in (*ints, *doubles)] + [f"`{n}`: boolean" for n in bools] + [f"`{n}`: string" for n in strings]
+    return ", ".join([*fields, *more])
 
 
 def _is_object(raw: Column) -> Column:
@@ -110,24 +111,26 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
     test = F.lit(False)
     for c in texts:
         test |= F.coalesce(F.contains(c, F.lit(MARK)), F.lit(False))
+    # One pass over the text reads all levels down to the numbered groups.
+    stripe_type = _fields(STRIPE_INTS, STRIPE_DOUBLES, STRIPE_BOOLS, STRIPE_STRINGS, ["sliceGroups: map<string,string>"])
+    spm_type = _fields(SPM_INTS, (), ("IsActive",), SPM_STRINGS)
+    ils_type = _fields(ILS_INTS, (), ("IsActive",), ("ScanMode",))
+    whole = (
+        f"{MARK}: struct<{stripe_type}>, SpmMeasureInstruction: struct<{spm_type}>, IlsMeasureInstruction: struct<{ils_type}>"
+    )
 
     def usable(c: str) -> Column:
         # Filtering a one-element array reads the object once for all its uses.
-        found = F.array(_members(F.when(F.contains(c, F.lit(MARK)), balanced_object(F.col(c)))))
-        return F.get(F.filter(found, lambda m: F.coalesce(F.map_contains_key(m, MARK), F.lit(False))), F.lit(0))
+        found = F.array(F.when(F.contains(c, F.lit(MARK)), balanced_object(F.col(c))))
+        read = F.transform(found, lambda o: F.when(~o.rlike(_NOT_OBJECT.format("Spm|Ils", "MeasureInstruction")), F.from_json(o, f"struct<{whole}>")))
+        return F.get(F.filter(read, lambda r: r[MARK].isNotNull()), F.lit(0))
 
     # Only the plain text test is a filter: a filter on parsed parts would be
     # pushed to the scan and parse everything again there.
-    rows = logs.where(test).select(*keep, F.coalesce(*[usable(c) for c in texts]).alias("_top"))
-    rows = rows.withColumns({
-        "_desc": F.try_element_at("_top", F.lit(MARK)),
-        "_spm": _typed(F.try_element_at("_top", F.lit("SpmMeasureInstruction")), SPM_INTS, (), ("IsActive",), SPM_STRINGS),
-        "_ils": _typed(F.try_element_at("_top", F.lit("IlsMeasureInstruction")), ILS_INTS, (), ("IsActive",), ("ScanMode",)),
-    })
-    rows = rows.withColumns({
-        "_stripe": _typed(F.col("_desc"), STRIPE_INTS, STRIPE_DOUBLES, STRIPE_BOOLS, STRIPE_STRINGS),
-        "_groups": _members(F.try_element_at(_members(F.col("_desc")), F.lit("sliceGroups"))),
-    })
+    rows = logs.where(test).select(*keep, F.coalesce(*[usable(c) for c in texts]).alias("_top")).select(
+        *keep, F.col(f"_top.{MARK}").alias("_stripe"), F.col("_top.SpmMeasureInstruction").alias("_spm"),
+        F.col("_top.IlsMeasureInstruction").alias("_ils"),
+    )
     spm_on = F.coalesce(F.col("_spm.IsActive"), F.lit(False))
     bad = _any_bad(F.col("_stripe"), list(STRIPE_INTS)) | _any_bad(F.col("_ils"), list(ILS_INTS))
     bad |= spm_on & _any_bad(F.col("_spm"), list(SPM_INTS))
@@ -143,40 +146,33 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
     flat |= {our: _int(ils[n]) for n, our in ILS_INTS.items()}
     flat["ils_scan_mode"] = ils["ScanMode"]
     flat = {n: c.alias(n) for n, c in flat.items()}
-    numbered = F.filter(F.map_entries("_groups"), lambda e: F.startswith(e["key"], F.lit("#")))
+    numbered = F.filter(F.map_entries("_stripe.sliceGroups"), lambda e: F.startswith(e["key"], F.lit("#")))
     with_slices = F.filter(
-        F.transform(numbered, lambda e: F.try_element_at(_members(e["value"]), F.lit("slices"))), lambda s: s.isNotNull()
+        F.transform(numbered, lambda e: F.from_json(e["value"], "slices map<string,string>")["slices"]), lambda s: s.isNotNull()
     )
+    nested = [f"{n}: struct<{_fields(f, (), ('isActive',) if n == 'emData' else ())}>" for n, f in SLICE_NESTED_INTS.items()]
+    slice_type = _fields(SLICE_INTS, (), ("stationIsActive",), ("hvTargetType",), nested)
+    odd_part = _NOT_OBJECT.format("|".join(SLICE_NESTED_INTS), "")
 
     def read_slice(member: Column, group: Column, place: Column) -> Column:
-        raw = member["value"]
-        base = _typed(raw, SLICE_INTS, (), ("stationIsActive",), ("hvTargetType", *SLICE_NESTED_INTS))
-
-        def with_parts(read: Column) -> Column:
-            parts = [
-                _typed(read[n], list(f), (), ("isActive",) if n == "emData" else ()).alias(n)
-                for n, f in SLICE_NESTED_INTS.items()
-            ]
-            return F.struct(group.alias("g"), place.alias("s"), raw.alias("raw"), read.alias("base"), *parts)
-
-        # The one-element array makes the parsed slice a variable, read once.
-        return F.get(F.transform(F.array(base), with_parts), F.lit(0))
+        read = F.when(_is_object(member["value"]) & ~member["value"].rlike(odd_part), F.from_json(member["value"], f"struct<{slice_type}>"))
+        return F.struct(group.alias("g"), place.alias("s"), read.alias("base"))
 
     def usable_slice(one: Column) -> Column:
-        broken = ~_is_object(one["raw"]) | _any_bad(one["base"], list(SLICE_INTS))
+        broken = one["base"].isNull() | _any_bad(one["base"], list(SLICE_INTS))
         for n, fields in SLICE_NESTED_INTS.items():
-            broken |= _any_bad(one[n], list(fields)) | ~F.coalesce(_is_object(one["base"][n]), F.lit(True))
+            broken |= _any_bad(one["base"][n], list(fields))
         return ~broken
 
     def of_group(slices: Column, group: Column) -> Column:
-        members = F.filter(F.map_entries(_members(slices)), lambda e: F.startswith(e["key"], F.lit("#")))
-        return F.coalesce(F.transform(members, lambda e, i: read_slice(e, group, i)), F.array())
+        members = F.filter(F.map_entries(slices), lambda e: F.startswith(e["key"], F.lit("#")))
+        return F.transform(members, lambda e, i: read_slice(e, group, i))
 
     every = F.coalesce(F.flatten(F.transform(with_slices, of_group)), F.array())
     kept = F.transform(F.filter(every, usable_slice), lambda o: F.struct(F.lit(True).alias("slice"), o.alias("of")))
     nothing = F.struct(F.lit(False).alias("slice"), F.lit(None).alias("of"))
     entries = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(nothing)))
-    usable_record = F.col("_desc").isNotNull() & ~bad
+    usable_record = F.col("_stripe").isNotNull() & ~bad
     rows = rows.select(
         *keep, "_stripe", "_spm", "_ils", F.explode_outer(F.when(usable_record, F.get(entries, F.lit(0)))).alias("_entry")
     )
@@ -188,10 +184,10 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
         **{our: _int(one[n]) for n, our in SLICE_INTS.items()},
         "station_active": F.when(found, F.coalesce(one["stationIsActive"], F.lit(False))).otherwise(F.lit(True)),
         "hv_target": F.when(found, F.coalesce(one["hvTargetType"], F.lit("Unknown"))),
-        "em_is_active": F.coalesce(F.col("_one.emData.isActive"), F.lit(False)),
+        "em_is_active": F.coalesce(one["emData"]["isActive"], F.lit(False)),
     }
     for n, fields in SLICE_NESTED_INTS.items():
-        out |= {our: _int(F.col(f"_one.{n}.{f}")) for f, our in fields.items()}
+        out |= {our: _int(one[n][f]) for f, our in fields.items()}
     return rows.withColumns(out).drop("_one")
 
 

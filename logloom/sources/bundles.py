@@ -63,37 +63,44 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"bundle": [path], "entry": [info.filename], "entry_no": [no], "content": [archive.read(info)]})
 
 
+def unzip(files: DataFrame) -> DataFrame:
+    """Entries of zip files given as ``(path, content)``; one session per zip."""
+    inside = files.select("path", "content").mapInPandas(_unzip, "bundle string, entry string, entry_no int, content binary")
+    return inside.select(F.regexp_extract("bundle", r"([^/]*)$", 1).alias("session"), "entry", "entry_no", "content")
+
+
+def route_files(files: DataFrame) -> DataFrame:
+    """Wanted files with their kind; of files of one name in a session the first
+    counts for configuration, terminal and database files."""
+    every = files.withColumns({
+        "kind": route_entry("entry"), "name": F.regexp_extract("entry", r"([^/\\]*)$", 1),
+    }).where(F.col("kind").isNotNull())
+    once = F.col("kind").isin(*ONE_PER_NAME)
+    # The first of a name is found on names alone; contents are not shuffled for it.
+    firsts = every.where(once).groupBy("session", "kind", "name").agg(
+        F.min(F.struct("entry_no", "entry")).alias("_first")
+    ).select("session", "kind", "name", "_first.entry_no", "_first.entry")
+    kept = every.where(once).join(firsts, ["session", "kind", "name", "entry_no", "entry"], "left_semi")
+    cols = ["session", "entry", "name", "kind", "entry_no", "content"]
+    return every.where(~once).select(*cols).unionByName(kept.select(*cols))
+
+
 def explode_bundles(spark: SparkSession, path: str) -> DataFrame:
     """``(session, entry, name, kind, entry_no, content)`` of every wanted file.
 
     A zip is one session, named by its file; loose files belong to the session
-    of their top folder below ``path``.  Of files of one name the first counts
-    for configuration, terminal and database files.
+    of their top folder below ``path``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.col("length") > 0)
     zipped = F.endswith(F.lower("path"), F.lit(".zip"))
-    inside = files.where(zipped).select("path", "content").mapInPandas(
-        _unzip, "bundle string, entry string, entry_no int, content binary"
-    )
-    inside = inside.select(F.regexp_extract("bundle", r"([^/]*)$", 1).alias("session"), "entry", "entry_no", "content")
     root = F.lit(path.rstrip("/") + "/")
     below = F.substr("path", F.instr(F.col("path"), root) + F.length(root))
     loose = files.where(~zipped).select(
         F.when(F.contains(below, F.lit("/")), F.split_part(below, F.lit("/"), F.lit(1))).otherwise(F.lit("loose")).alias("session"),
         below.alias("entry"), F.lit(0).alias("entry_no"), "content",
     )
-    every = inside.unionByName(loose).withColumns({
-        "kind": route_entry("entry"), "name": F.regexp_extract("entry", r"([^/\\]*)$", 1),
-    }).where(F.col("kind").isNotNull())
-    once = F.col("kind").isin(*ONE_PER_NAME)
-    # The first of a name is found on names alone; contents are not shuffled for it.
-    firsts = every.where(once).groupBy("session", "kind", "name").agg(
-        F.min(F.struct("entry_no", "entry")).alias("_first")
-    ).select("session", "kind", "name", "_first.entry_no", "_first.entry")
-    kept = every.where(once).join(firsts, ["session", "kind", "name", "entry_no", "entry"], "left_semi")
-    cols = ["session", "entry", "name", "kind", "entry_no", "content"]
-    return every.where(~once).select(*cols).unionByName(kept.select(*cols))
+    return route_files(unzip(files.where(zipped)).unionByName(loose))
 
 
 def _as_text(content: Column) -> Column:

@@ -53,14 +53,16 @@ def _asof(left, right, by, ts, seq, cols, width, forward):
         F.last("_last", ignorenulls=True).over(between.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_b")
     ]
     if forward:
-        picks.append(
-            F.first("_first", ignorenulls=True).over(between.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_f")
-        )
+        # A frame that runs to the end is evaluated anew for every row; looking
+        # back from the other end gives the same and grows with the rows.
+        behind = Window.partitionBy(*group.keys).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        picks.append(F.last("_first", ignorenulls=True).over(behind).alias("_carry_f"))
     carried = line.groupBy(*group.keys, SLICE).agg(*edges).select(*group.keys, SLICE, *picks)
     local = Window.partitionBy(*group.keys, SLICE).orderBy(*order)
     near = {"_b": F.last("_r", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
     if forward:
-        near["_f"] = F.first("_r", ignorenulls=True).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        from_end = Window.partitionBy(*group.keys, SLICE).orderBy(*[c.desc() for c in order])
+        near["_f"] = F.last("_r", ignorenulls=True).over(from_end.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = line.withColumns(near).where(F.col("_side") == 1).join(carried, [*group.keys, SLICE])
     found = found.withColumn("_b", F.coalesce("_b", "_carry_b"))
     if forward:

@@ -376,8 +376,13 @@ def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS, exact: bool = T
     ]
     rows = df.select(F.inline(F.array(*cells)))
     points = F.array(F.lit(0.95), F.lit(0.99))
-    spread = F.percentile("v", points) if exact else F.percentile_approx("v", points, accuracy)
-    found = rows.groupBy("series").agg(spread.alias("p"))
+    if exact:
+        # Equal values are counted before the shuffle, so what each series has
+        # to hold grows with its distinct values and not with its records.
+        counted = rows.groupBy("series", "v").agg(F.count("*").alias("n"))
+        found = counted.groupBy("series").agg(F.percentile("v", points, "n").alias("p"))
+    else:
+        found = rows.groupBy("series").agg(F.percentile_approx("v", points, accuracy).alias("p"))
     found = found.select("series", F.get("p", F.lit(0)).alias("p95"), F.get("p", F.lit(1)).alias("p99"))
     found = found.select("series", F.coalesce("p95", F.lit(0.0)).alias("p95"), F.coalesce("p99", F.lit(0.0)).alias("p99"))
     top = found.where(F.col("series").isin("Max X", "Max Y")).agg(F.max("p95").alias("p95"), F.max("p99").alias("p99"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query
 from bindings.tables import calib, logs, slices, table, with_calib, with_logs
-from logloom.operators import filters, stats
+from logloom.operators import stats
 from logloom.operators.slices import explode_slices, slice_columns
 from logloom.session import scratch_dir
 from logloom.sources import bundles, tables

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.log_times import MOVES, main_logs
+from bindings.log_times import MOVES
 from bindings.registry import query
 from bindings.tables import logs, table, with_logs
 from logloom.operators import filters, stats

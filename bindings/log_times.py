@@ -9,8 +9,7 @@ from bindings.tables import logs, table, with_logs
 from logloom.functions import text as T
 from logloom.operators import filters, links, states
 from logloom.operators.asof import asof_backward, asof_nearest, assign_state
-from logloom.operators.intervals import interval_join
-from logloom.operators.timeslice import fill_forward, seconds_between, time_axis
+from logloom.operators.timeslice import fill_forward, time_axis
 from logloom.plans import failures
 
 # Transitions and failures as the checks see them.

@@ -11,10 +11,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.conditions import cond, compile_tree, regex_usable, text_in_fields
+from logloom.functions.conditions import compile_tree, regex_usable, text_in_fields
 from logloom.functions.search_text import looks_boolean, parse_search
-from logloom.functions.text import blank, contains_ci, is_transition
-from logloom.operators.timeslice import number_rows, seconds_between
+from logloom.functions.text import blank, contains_ci
+from logloom.operators.timeslice import number_rows
 
 MAIN_MIN_CHARS = 2
 APP_MIN_CHARS = 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.fields import tag_records
-from logloom.operators.timeslice import SLICE, running_total
+from logloom.operators.timeslice import running_total
 from logloom.sources.lines import read_lines, session_of
 
 # The two shapes of a record in an application text log.

@@ -1,7 +1,6 @@
 """Search text, conditions and their edge rows."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F

@@ -366,15 +366,24 @@ def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS, exact: bool = T
     stations = list(stations)
 
     def largest(axis: str) -> Column:
-        vals = [_value(axis, s, df) for s in stations]
-        # Both skip missing values; one station stands for two.
-        hi, lo = F.greatest(*vals, vals[0]), F.least(*vals, vals[0])
-        return F.when((lo >= 0) | (hi <= 0), F.greatest(F.abs(hi), F.abs(lo))).otherwise(hi - lo)
-
-    measured = {f"Max {a}": largest(a) for a in "YX"}
-    measured |= {f"{a} {s}": F.abs(_value(a, s, df)) for a in "YX" for s in stations}
-    # Series go by number until the end: numbers group faster than names.
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), c.alias("v")) for i, c in enumerate(measured.values())])))
+        vals = F.array(*[_value(axis, s, df) for s in stations])
+
+        def size(found: Column) -> Column:
+            hi, lo = F.array_max(found), F.array_min(found)
+            return F.when((lo >= 0) | (hi <= 0), F.greatest(F.abs(hi), F.abs(lo))).otherwise(hi - lo)
+
+        # As the one element of an array the values are read once.
+        return F.get(F.transform(F.array(vals), size), F.lit(0))
+
+    names = [f"{a} {s}" for a in "YX" for s in stations] + ["Max Y", "Max X"]
+    # Series go by number until the end: numbers group faster than names.  The
+    # values are spread out raw and tested after, which keeps the code small.
+    cells = [F.struct(F.lit(i).alias("_i"), _raw(a, s, df).cast("double").alias("v")) for i, (a, s) in enumerate((a, s) for a in "YX" for s in stations)]
+    # Missing values stay as nulls: a series without any value still shows.
+    seen = F.when(~F.col("v").isin(*MISSING) & ~F.isnan("v"), F.abs("v"))
+    each = df.select(F.inline(F.array(*cells))).select("_i", seen.alias("v"))
+    tops = [F.struct(F.lit(len(cells) + k).alias("_i"), largest(a).alias("v")) for k, a in enumerate("YX")]
+    rows = each.unionByName(df.select(F.inline(F.array(*tops))))
     points = F.array(F.lit(0.95), F.lit(0.99))
     if exact:
         # Equal values are counted before the shuffle, so what each series has
@@ -383,7 +392,7 @@ def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS, exact: bool = T
         found = counted.groupBy("_i").agg(F.percentile("v", points, F.col("n")).alias("p"))
     else:
         found = rows.groupBy("_i").agg(F.percentile_approx("v", points, accuracy).alias("p"))
-    series = F.get(F.array(*[F.lit(n) for n in measured]), F.col("_i")).alias("series")
+    series = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i")).alias("series")
     zero = F.lit(0.0)
     found = found.select(
         series, *[F.coalesce(F.get("p", F.lit(i)), zero).alias(n) for i, n in enumerate(("p95", "p99"))]

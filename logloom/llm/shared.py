@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,35 @@ def block_of(id_col: str, blocks: int) -> Column:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def token_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a byte array, and where they begin and end.
+
+    Words are what stands between ASCII white space.  The hash is a polynomial
+    in the mixed bytes, taken as a difference of two running sums, so the work
+    is a few passes over the array however many words there are.
+    """
+    n = len(x)
+    gap = (x == 32) | ((x >= 9) & (x <= 13))
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    code = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(29)
+    code *= np.uint64(0x94D049BB133111EB)
+    power = np.full(n + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    back = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    back = np.cumprod(back)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(code[x] * power[:n], out=sums[1:])
+    h = (sums[end] - sums[begin]) * back[begin]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h, begin, end

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import html, langid, mixing, packing, pivot_join, simhash, topk, urlfilter
+from logloom.llm import html, langid, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
 from logloom.llm.urlfilter import Rule
 
 #: Target shares of the sources; all others share the rest equally.
@@ -32,6 +32,11 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,6 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": op2_near_vectors,
+    "op3_repeats": op3_repeats,
     "op4_pack": op4_pack,
     "op5_main_text": op5_main_text,
     "op6_search": op6_search,

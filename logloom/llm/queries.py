@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import html, langid, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
+from logloom.llm import html, langid, maxent, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
 from logloom.llm.urlfilter import Rule
 
 #: Target shares of the sources; all others share the rest equally.
@@ -28,6 +28,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"), langid.split_of("doc_id", 7) != 2)
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent": op1_maxent,
     "op2_near_vectors": op2_near_vectors,
     "op3_repeats": op3_repeats,
     "op4_pack": op4_pack,

@@ -46,29 +46,29 @@ def lower_ascii(c: Column) -> Column:
 _BASE = 0x9E3779B97F4A7C15
 
 
-def token_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_hashes(x: np.ndarray, tables: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a byte array, and where they begin and end.
 
     Words are what stands between ASCII white space.  The hash is a polynomial
     in the mixed bytes, taken as a difference of two running sums, so the work
-    is a few passes over the array however many words there are.
+    is a few passes over the array however many words there are.  ``tables``
+    keeps the powers from one call to the next.
     """
-    n = len(x)
+    n, tables = len(x), {} if tables is None else tables
     gap = (x == 32) | ((x >= 9) & (x <= 13))
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    code = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    code ^= code >> np.uint64(29)
-    code *= np.uint64(0x94D049BB133111EB)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    back = np.cumprod(back)
+    if len(tables.get("power", ())) <= n:
+        code = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        code ^= code >> np.uint64(29)
+        tables["code"] = code * np.uint64(0x94D049BB133111EB)
+        for name, base in (("power", _BASE), ("back", pow(_BASE, -1, 1 << 64))):
+            powers = np.full(n + 1, base, np.uint64)
+            powers[0] = 1
+            tables[name] = np.cumprod(powers)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(code[x] * power[:n], out=sums[1:])
-    h = (sums[end] - sums[begin]) * back[begin]
+    np.cumsum(tables["code"][x] * tables["power"][:n], out=sums[1:])
+    h = (sums[end] - sums[begin]) * tables["back"][begin]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)

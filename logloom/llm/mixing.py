@@ -59,8 +59,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, group: str
     partitions by the key's hash and sorted by it there, a global shuffle.
     The count inverts the Poisson distribution at a uniform from the id's md5,
     so it is the same in every run; rows that repeat an id get equal counts.
-    A null group is a group; an empty table gives an empty result.
+    A null group is a group; an empty table gives an empty result.  Existing
+    columns of the new names are replaced.
     """
+    docs = docs.drop("copy", "shuffle_key")
     by_group = rates(docs, group, weights)
     small = by_group.count() <= SMALL_GROUPS
     added = {"_group": "_mix_group", "rate": "_mix_rate", "draws": "_mix_draws", "cdf": "_mix_cdf"}

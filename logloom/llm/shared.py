@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 import tempfile
-
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``.  Only a local session without that
-    setting gets one of its own; a cluster without it is an error.
+    Only a local session without that setting gets a folder of its own; a
+    cluster without it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there; Spark removes it when nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, mb: int) -> int:

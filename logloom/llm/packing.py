@@ -16,41 +16,71 @@ CAPACITY = 4096
 UNIT = 64  # tokens; lengths are told apart in units, what is left over is a tail
 UNITS = CAPACITY // UNIT
 SLICE_BITS = 14  # rows of one slice: at most 2 ** 14
-_WORDS = 300_000  # words whose ids a task remembers before it starts anew
+_WORDS = 250_000  # words of one generation whose ids a Python worker remembers
+
+
+class _Remembered:
+    """A table of ids in two generations: when the younger is full the older is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, keys: set[str], make) -> None:
+        """Have all ``keys`` in the younger generation; ``make(list)`` gives what is in neither."""
+        if len(self.young) + len(keys) > _WORDS:
+            self.young, self.old = {}, self.young
+        missing = keys - self.young.keys()
+        again = missing & self.old.keys() if self.old else set()
+        self.young.update((k, self.old[k]) for k in again)
+        new = list(missing - again)
+        self.young.update(zip(new, make(new)))
 
 
 def _encoder(path: str):
     """text -> its ids as little-endian unsigned 32-bit bytes.
 
     No token of this tokenizer spans white space, so ids are looked up word by
-    word; texts with a control sign that only Python counts as white space, or
-    with a special token's text, are encoded as a whole.
+    word, and of a word of plain letters with signs after it, both are encoded
+    apart and the letters in lower case, as the tokenizer does itself.  Texts
+    with a control sign that only Python counts as white space, or with a
+    special token's text, are encoded as a whole.  What a Python worker has
+    encoded it remembers for its next tasks, on the tokenizers' module, as
+    functions that travel by value have none of their own.
     """
     import os
+    import re
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_logloom", {})
+    if path not in kept:
+        kept[path] = (tokenizers.Tokenizer.from_file(path), _Remembered(), _Remembered())
+    tok, words_known, parts_known = kept[path]
+    odd = [*"\x1c\x1d\x1e\x1f", *(t.content for t in tok.get_added_tokens_decoder().values())]
+    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
-    tok = Tokenizer.from_file(path)
-    odd = "\x1c\x1d\x1e\x1f"
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def pack(ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def spelled(words: list[str]) -> list[bytes]:
+        parts = [(m[1].lower(), m[2]) if (m := plain(w)) else (w, "") for w in words]
+        parts_known.get({p for two in parts for p in two}, encoded)
+        known = parts_known.young
+        return [known[a] + known[b] for a, b in parts]
 
     def encode(text: str) -> bytes:
-        if any(x in text for x in odd) or any(s in text for s in special):
-            return pack(tok.encode(text, add_special_tokens=False).ids)
+        if any(x in text for x in odd):
+            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split()
+        known = words_known.young
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) + len(new) > _WORDS:
-            known.clear()
-            new = list(set(words))
-        known.update(zip(new, (pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
+            words_known.get(set(words), spelled)
+        known = words_known.young
         return b"".join([known[w] for w in words])
 
     return encode

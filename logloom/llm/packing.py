@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
+from itertools import accumulate, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,9 @@ class _Remembered:
         """Have all ``keys`` in the younger generation; ``make(list)`` gives what is in neither."""
         if len(self.young) + len(keys) > _WORDS:
             self.young, self.old = {}, self.young
-        missing = keys - self.young.keys()
-        again = missing & self.old.keys() if self.old else set()
-        self.young.update((k, self.old[k]) for k in again)
-        new = list(missing - again)
+        missing = list(filterfalse(self.young.__contains__, keys))
+        self.young.update((k, self.old[k]) for k in filter(self.old.__contains__, missing))
+        new = list(filterfalse(self.young.__contains__, missing))
         self.young.update(zip(new, make(new)))
 
 

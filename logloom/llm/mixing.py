@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.single import attach
+
 SMALL_GROUPS = 10_000  # up to so many groups the table of rates is broadcast
 MAX_MEAN = 500.0  # larger means are drawn as sums, as exp(-mean) must not vanish
 
@@ -36,7 +38,7 @@ def rates(docs: DataFrame, group: str, weights: Mapping[str, float] | None) -> D
     share = F.element_at(named, F.coalesce(F.col("_group").cast("string"), F.lit("")))
     n = n.withColumn("share", share.cast("double"))
     whole = n.agg(F.sum("n").alias("total"), F.sum(F.col("share").isNull().cast("long")).alias("others"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("given"))
-    n = n.crossJoin(F.broadcast(whole))  # one row
+    n = attach(n, whole)
     share = F.coalesce("share", F.lit(left) / F.col("others"))
     scale = F.col("given") + F.when(F.col("others") > 0, F.lit(left)).otherwise(0.0)
     rate = F.coalesce(share / F.nullif(scale, F.lit(0.0)) * F.col("total") / F.col("n"), F.lit(0.0))

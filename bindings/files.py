@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import json
-import sqlite3
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -109,40 +103,19 @@ def s8(spark, d):
     return tables.read_loose_csv(spark, path).select("Key", "Name", "Key_2")
 
 
-def _make_zip(part):
-    """The zip of one bundle of a hundred customers."""
-    key = part["grp"].iloc[0]
-    db = sqlite3.connect(":memory:")
-    db.execute("create table cust (id integer primary key, name text not null, seg text)")
-    rows = part.sort_values("c_custkey")[["c_custkey", "c_name", "c_mktsegment"]].values.tolist()
-    db.executemany("insert into cust values (?, ?, ?)", rows)
-    db.commit()
-    names = "\n".join(f"name={r[1]}" for r in rows)
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("Configuration/customers.ini", names + "\n\n")
-        z.writestr("Configuration/sub/customers.ini", "name=second file of this name")
-        z.writestr("Configuration/main.db", db.serialize())
-        z.writestr("backup/Configuration/old.ini", names)
-        z.writestr("TerminalLogs/term.txt", f"started {key}\nname=Customer")
-        z.writestr("Readme.txt", f"Release notes\nVersion: 1.{key}\nPressPlcVersion: 0.1\n")
-        z.writestr("x_setupInfo.json", json.dumps({"parts": [{"Name": "press-content-mcs-plc", "Version": f"7.{key}"}]}))
-        z.writestr("empty.png", b"")
-    return pd.DataFrame({"path": [f"b{key}.zip"], "content": [buf.getvalue()]})
-
-
-def _bundles(spark, d):
-    """Zip files made of the customers, a bundle per hundred; kept as a table of
-    bytes, which is what reading a folder of zip files gives."""
-    base = scratch_dir(spark, "bundles")
-    group = F.floor(F.col("c_custkey") / 100).alias("grp")
-    rows = table(spark, d, "customer").select(group, "c_custkey", "c_name", "c_mktsegment")
-    rows.groupBy("grp").applyInPandas(_make_zip, "path string, content binary").write.parquet(base)
-    return spark.read.parquet(base)
-
-
 def _files(spark, d):
-    return bundles.route_files(bundles.unzip(_bundles(spark, d)))
+    """Files of bundles made of the customers, a bundle per hundred."""
+    rows = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
+    names = F.array_join(F.transform("c", lambda r: F.concat(F.lit("name="), r["c_name"])), "\n")
+    key = F.col("grp").cast("string")
+    entries = {
+        "Configuration/customers.ini": F.concat(names, F.lit("\n\n")), "Configuration/sub/customers.ini": F.lit("name=second file of this name"), "Configuration/main.db": F.lit("db"),
+        "backup/Configuration/old.ini": names, "TerminalLogs/term.txt": F.concat(F.lit("started "), key, F.lit("\nname=Customer")),
+        "Readme.txt": F.concat(F.lit("Release notes\nVersion: 1."), key, F.lit("\nPressPlcVersion: 0.1\n")),
+        "x_setupInfo.json": F.concat(F.lit('{"parts": [{"Name": "press-content-mcs-plc", "Version": "7.'), key, F.lit('"}]}')),
+    }
+    each = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(i).alias("entry_no"), F.encode(t, "UTF-8").alias("content")) for i, (e, t) in enumerate(entries.items())])
+    return bundles.route_files(rows.select(F.concat(F.lit("b"), key, F.lit(".zip")).alias("session"), F.inline(each)))
 
 
 BUNDLE = "WITH g AS (SELECT c_custkey // 100 AS grp, c_custkey, c_name, c_mktsegment FROM customer)"
@@ -161,18 +134,25 @@ def s5(spark, d):
     return bundles.bundle_versions(_files(spark, d))
 
 
+def _customers(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"))
+    return rows, F.concat(F.lit("b"), F.floor(F.col("id") / 100).cast("string"))
+
+
 @query("s9_read_db_tables", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) || '.zip' AS session, 'main.db' AS db, 'cust' AS "table", c_custkey AS rowid,
-  '{"id": ' || CAST(c_custkey AS VARCHAR) || ', "name": "' || c_name || '", "seg": "' || c_mktsegment || '"}' AS row_json FROM g""")
+SELECT 'b' || CAST(grp AS VARCHAR) AS session, 'main.db' AS db, 'cust' AS "table", c_custkey AS rowid,
+  '{"id":' || CAST(c_custkey AS VARCHAR) || ',"name":"' || c_name || '","seg":"' || c_mktsegment || '"}' AS row_json FROM g""")
 def s9(spark, d):
-    return bundles.read_db_tables(_files(spark, d))
+    rows, session = _customers(spark, d)
+    return bundles.table_rows(rows, session, "main.db", "cust", "id")
 
 
 @query("s10_db_catalog", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) || '.zip' AS session, c.col AS "column", c.type, c.nn AS not_null, c.pk AS primary_key, n AS n_rows
-FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp) CROSS JOIN (VALUES ('id', 'INTEGER', 0, 1), ('name', 'TEXT', 1, 0), ('seg', 'TEXT', 0, 0)) c(col, type, nn, pk)""")
+SELECT 'b' || CAST(grp AS VARCHAR) AS session, c.col AS "column", c.type, c.pk AS primary_key, n AS n_rows
+FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp) CROSS JOIN (VALUES ('id', 'bigint', 1), ('name', 'string', 0), ('seg', 'string', 0)) c(col, type, pk)""")
 def s10(spark, d):
-    return bundles.db_catalog(_files(spark, d)).select("session", "column", "type", F.col("not_null").cast("int"), F.col("primary_key").cast("int"), "n_rows")
+    rows, session = _customers(spark, d)
+    return bundles.table_catalog(rows, session, "main.db", "cust", "id").select("session", "column", "type", F.col("primary_key").cast("int"), "n_rows")
 
 
 @query("s11_grep_lines", BUNDLE + """
@@ -225,6 +205,16 @@ def t1(spark, d):
     return out.groupBy("source", "level").agg(F.count("*").alias("n"))
 
 
+@query("t2_bounded_batches", with_logs("SELECT source, session, count(*) AS n FROM logs GROUP BY ALL"))
+def t2(spark, d):
+    """One file a batch: batches are small, and none of the records is lost."""
+    path = scratch_dir(spark, "t2")
+    rows = logs(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    out = _drain(spark, live.stream_logs(spark, path, rows.schema, max_files=1), "t2")
+    return out.groupBy("source", "session").agg(F.count("*").alias("n"))
+
+
 @query("t3_stream_dedupe", with_logs("SELECT seq, count(*) AS n FROM logs WHERE message <> '' GROUP BY seq"))
 def t3(spark, d):
     stream = _stream(spark, d, "t3")

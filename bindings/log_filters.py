@@ -56,7 +56,7 @@ def p4(spark, d):
     return logs(spark, d).where(T.is_transition()).select("seq", T.from_state().alias("from_state"), T.to_state().alias("to_state"))
 
 
-_NAMES = "UNDEFINED INIT POWER_DISABLE OFF SERVICE MECH_INIT STANDBY GET_READY READY PRE_PRINT PRINT POST_PRINT PAUSE RECOVERY GO_TO_OFF GO_TO_STANDBY GO_TO_SERVICE SML_OFF DYNAMIC_READY".split()
+_NAMES = list(T.STATE_NAMES)
 
 
 @query("p5_state_id", with_logs(f"""
@@ -212,12 +212,12 @@ def f3(spark, d):
 
 
 @query("f4_search_min_length", with_logs("""
-SELECT 'main' AS view, count(*) AS n FROM logs WHERE source = 'PLC' UNION ALL
+SELECT 'main' AS view, count(*) AS n FROM logs WHERE source = 'PLC' AND contains(lower(message), 'u') UNION ALL
 SELECT 'app', count(*) FROM logs WHERE source = 'APP' AND contains(lower(message), 'u')"""))
 def f4(spark, d):
     df = logs(spark, d)
-    main = filters.search(df.where("source = 'PLC'"), "u", min_len=filters.MAIN_MIN_CHARS).agg(F.count("*").alias("n"))
-    app = filters.search(df.where("source = 'APP'"), "u", min_len=filters.APP_MIN_CHARS).agg(F.count("*").alias("n"))
+    main = filters.search(df.where("source = 'PLC'"), "u").agg(F.count("*").alias("n"))
+    app = filters.search(df.where("source = 'APP'"), "u").agg(F.count("*").alias("n"))
     return main.select(F.lit("main").alias("view"), "n").unionByName(app.select(F.lit("app").alias("view"), "n"))
 
 

@@ -30,16 +30,21 @@ Tree = dict
 
 
 def regex_usable(pattern: str) -> bool:
-    """Whether the JVM accepts the pattern, asked once while the plan is built."""
+    """Whether Spark accepts the pattern, asked once while the plan is built.
+
+    Only an error in the pattern makes it unusable; any other error is raised.
+    """
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 
-    session = SparkSession.getActiveSession()
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     try:
-        session._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
-    except (PySparkException, Exception):  # noqa: BLE001 - py4j wraps the JVM error
+        session.sql("SELECT rlike('', :pattern)", args={"pattern": pattern}).collect()  # folded: no job
+    except PySparkException as e:
+        if not (e.getCondition() or "").startswith("INVALID_PARAMETER_VALUE"):
+            raise
         return False
+    return True
 
 
 def _leaf(column: Column, op: str, value: str) -> Column:

@@ -170,6 +170,7 @@ def parse_time(c: Column | str, base_date: str | None = None) -> Column:
     """
     c = F.trim(_col(c))
     number = c.try_cast("double")
+    number = F.when(F.abs(number) < 1e15, number)  # neither NaN nor beyond any time
     base = F.lit(base_date).cast("timestamp") if base_date else F.lit(None).cast("timestamp")
     seconds = F.timestamp_micros((number * 1_000_000).cast("bigint") + F.unix_micros(base))
     numeric = (

@@ -123,12 +123,12 @@ def cal_profile(
 ) -> DataFrame:
     """Mean station difference along the process direction, as series.
 
-    ``pair``: one series per (test, reference) pair, six at most.  ``column``,
+    ``pair``: one series per (test, reference) pair.  ``column``,
     ``cycle``: one pair, a series per column (x cut to a whole number) or per
     chosen cycle.  ``revolution``: the single station's value per revolution.
     """
     if by == "pair":
-        used = list(pairs)[:6]
+        used = list(pairs)
         items = F.array(*[
             F.struct(F.lit(f"St {t}").alias("series"), F.lit(i).alias("no"), _diff(axis, t, r, df).alias("v"))
             for i, (t, r) in enumerate(used)
@@ -141,7 +141,7 @@ def cal_profile(
     test, ref = pairs[0]
     value = _diff(axis, test, ref, df)
     if by == "column":
-        series = F.concat(F.lit("Col "), F.col("x").cast("int").cast("string"))
+        series = F.concat(F.lit("Col "), F.col("x").try_cast("int").cast("string"))
     elif by == "cycle":
         df = df.where(F.col("cycle").isin(list(cycles))) if cycles is not None else df
         series = F.concat(F.lit("Cycle"), F.col("cycle").cast("string"))
@@ -341,7 +341,7 @@ def cal_skew_rows(df: DataFrame, axis: str = "Y", station: int = 1, cycle: int |
         rows = attach(df, first).where(F.col("cycle") == F.col("_cycle"))
     else:
         rows = df.where(F.col("cycle") == cycle)
-    expected = rows.agg(F.count_distinct(F.col("x").cast("int")).alias("_expected"))
+    expected = rows.agg(F.count_distinct(F.col("x").try_cast("int")).alias("_expected"))
     value = _value(axis, station, df)
     x = F.when(value.isNotNull(), F.col("x"))
     slope, _ = _line(x, value)
@@ -424,7 +424,7 @@ def cal_dimensions(df: DataFrame) -> DataFrame:
         F.struct(F.lit("revolution").alias("dimension"), F.col("revolution").alias("value")),
         F.struct(F.lit("iteration").alias("dimension"), F.col("iteration").cast("string").alias("value")),
         F.struct(F.lit("cycle").alias("dimension"), F.col("cycle").cast("string").alias("value")),
-        F.struct(F.lit("column").alias("dimension"), F.col("x").cast("int").cast("string").alias("value")),
+        F.struct(F.lit("column").alias("dimension"), F.col("x").try_cast("int").cast("string").alias("value")),
     )
     return df.select("sn", time.alias("time"), F.inline(cells)).distinct()
 

@@ -15,8 +15,6 @@ PATTERN_FIELD = r"(?i)Pattern[:=]\s*([^\s,;]+)"
 DATA_FIELD = r"(?i)Data[:=]\s*(\{[^}]*\}|[^\s,;]+)"
 EXCEPTION_FIELD = r"(?is)(?:Exception|Error)[:=]\s*(.+?)(?=\s*(?:at |$))"
 EXCEPTION_CLASS = r"(?s)\b(\w+Exception:.*)"
-EXCEPTION_MAX = 500
-ERROR_TEXT_MAX = 200
 
 # Records of the application log that get a tag of their own.
 CANCELLATION_LOGGER = "Press.BL.Printing.Pipeline.PipelineCancellationProvider"
@@ -29,10 +27,6 @@ def _first_group(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
 
 
-def _cut(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
-
-
 def _existing(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
@@ -49,7 +43,7 @@ def parse_fields(df: DataFrame, message: str = "message", level: str = "level")
     has_error = contains_ci(msg, "Exception") | contains_ci(msg, "Error:")
     named_class = _first_group(msg, EXCEPTION_CLASS)
     exception = F.when(
-        has_error, F.coalesce(_first_group(msg, EXCEPTION_FIELD), F.trim(_cut(named_class, EXCEPTION_MAX)))
+        has_error, F.coalesce(_first_group(msg, EXCEPTION_FIELD), named_class)
     )
     exception = F.coalesce(exception, _existing(df, "exception"))
     reads_as_error = contains_ci(msg, "failed") | contains_ci(msg, "error") | contains_ci(msg, "exception")
@@ -57,7 +51,7 @@ def parse_fields(df: DataFrame, message: str = "message", level: str = "level")
     return df.withColumns({
         "pattern": F.coalesce(F.when(has_pattern, _first_group(msg, PATTERN_FIELD)), _existing(df, "pattern")),
         "data": F.coalesce(F.when(has_data, _first_group(msg, DATA_FIELD)), _existing(df, "data")),
-        "exception": F.when(fallback, _cut(msg, ERROR_TEXT_MAX)).otherwise(exception),
+        "exception": F.when(fallback, msg).otherwise(exception),
     })
 
 

@@ -16,9 +16,6 @@ from logloom.functions.search_text import looks_boolean, parse_search
 from logloom.functions.text import blank, contains_ci
 from logloom.operators.timeslice import number_rows
 
-MAIN_MIN_CHARS = 2
-APP_MIN_CHARS = 1
-
 # The filter behind the short main-log view.
 DEFAULT_VIEW = {
     "logic": "OR",
@@ -58,9 +55,9 @@ def _message_tree(tree: dict, column: Column) -> Column:
     )
 
 
-def search(df: DataFrame, text: str, fields: Sequence[str] = ("message",), min_len: int = APP_MIN_CHARS) -> DataFrame:
-    """Rows that fit the search text; shorter texts than ``min_len`` keep all."""
-    if not text or not text.strip() or len(text) < min_len:
+def search(df: DataFrame, text: str, fields: Sequence[str] = ("message",)) -> DataFrame:
+    """Rows that fit the search text, however short; a blank text keeps all."""
+    if not text or not text.strip():
         return df
     return df.where(search_column(text, fields))
 
@@ -256,7 +253,7 @@ def log_view(
             view = where_in(view, "method", methods, ci=False) if methods else view
             if show is not None or hide or hide_prefix:
                 view = logger_tree_filter(view, show, hide, hide_prefix)
-    view = search(view, text, min_len=MAIN_MIN_CHARS if main else APP_MIN_CHARS) if text else view
+    view = search(view, text) if text else view
     return filter_out(view, exclude) if exclude and main else view
 
 

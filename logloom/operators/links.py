@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from itertools import groupby
 
@@ -15,18 +16,16 @@ from logloom.functions.text import DEFAULT_MASK, blank, mask_text
 from logloom.operators.asof import asof_nearest
 from logloom.operators.timeslice import epoch_micros
 
-# How far a soft link may be off, and how much text must agree.
+# Fixed value: how far a soft link may be off.
 LINK_MICROS = 100_000
-LINK_CHARS = 50
-DIFF_CHARS = 500
+_CELLS = 1 << 20  # of the table of a text comparison; larger ones are halved first
 
 
 def match_annotations(logs: DataFrame, annotations: DataFrame, key: str = "ann_id") -> DataFrame:
     """The record each annotation points at.
 
     Exact time, logger and thread first; else a record less than 0.1 s away
-    with the same logger and thread whose message starts with the first 50
-    characters of the snippet.  The first record in order is taken.
+    with the same logger and thread whose message starts with the snippet.  The first record in order is taken.
     """
     place = F.struct("ts", "seq")
     a = annotations.select(
@@ -49,7 +48,7 @@ def match_annotations(logs: DataFrame, annotations: DataFrame, key: str = "ann_i
         (F.col("_row_bucket") == F.col("_bucket"))
         & same
         & (F.abs(F.col("_row_us") - F.col("_us")) < LINK_MICROS)
-        & F.startswith("message", F.left("snippet", F.lit(LINK_CHARS))),
+        & F.startswith("message", "snippet"),
     )
     loose = loose.groupBy("_ann").agg(F.min_by(found, place).alias("hit")).withColumn("how", F.lit("near"))
     hits = exact.unionByName(loose)
@@ -80,16 +79,35 @@ _SEGMENT = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.St
 _BOTH = T.StructType([T.StructField("left", _SEGMENT), T.StructField("right", _SEGMENT)])
 
 
-def _pair_segments(a: str, b: str) -> tuple[list, list]:
-    """Segments of two short texts along a longest common subsequence."""
-    x = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(1, len(x) + 1):
+def _lengths(x: np.ndarray, y: np.ndarray, keep: bool) -> np.ndarray:
+    """Lengths of longest common subsequences: the whole table or its last row."""
+    rows = [np.zeros(len(y) + 1, np.int32)]
+    for c in x:
         # Within a row the best value only grows, so a running maximum does it.
-        diagonal = table[i - 1, :-1] + (y == x[i - 1])
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], diagonal))
-    steps, i, j = [], len(x), len(y)
+        last = rows[-1]
+        row = np.zeros(len(y) + 1, np.int32)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (y == c)), out=row[1:])
+        rows = [*rows, row] if keep else [row]
+    return np.stack(rows) if keep else rows[-1]
+
+
+def _steps(a: str, b: str) -> list[tuple[str, str]]:
+    """Kept, removed and added characters along a longest common subsequence."""
+    head = len(os.path.commonprefix([a, b]))
+    tail = len(os.path.commonprefix([a[head:][::-1], b[head:][::-1]]))
+    kept = lambda text: [("Unchanged", c) for c in text]
+    if head or tail:
+        return kept(a[:head]) + _steps(a[head : len(a) - tail], b[head : len(b) - tail]) + kept(a[len(a) - tail :])
+    if not a or not b:
+        return [("Removed", c) for c in a] + [("Added", c) for c in b]
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    if len(a) > 1 and len(a) * len(b) > _CELLS:
+        # Halve the first text where a longest subsequence crosses: memory for one row.
+        half = len(a) // 2
+        cross = _lengths(x[:half], y, False) + _lengths(x[half:][::-1], y[::-1], False)[::-1]
+        at = int(cross.argmax())
+        return _steps(a[:half], b[:at]) + _steps(a[half:], b[at:])
+    table, steps, i, j = _lengths(x, y, True), [], len(x), len(y)
     while i or j:
         if i and j and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
@@ -100,7 +118,12 @@ def _pair_segments(a: str, b: str) -> tuple[list, list]:
         else:
             i -= 1
             steps.append(("Removed", a[i]))
-    return _runs(steps[::-1])
+    return steps[::-1]
+
+
+def _pair_segments(a: str, b: str) -> tuple[list, list]:
+    """Segments of two texts along a longest common subsequence."""
+    return _runs(_steps(a, b))
 
 
 def _runs(steps: list) -> tuple[list, list]:
@@ -124,11 +147,7 @@ def _runs(steps: list) -> tuple[list, list]:
 def _segments(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = []
     for s, t in zip(a, b):
-        left, right = _pair_segments(s[:DIFF_CHARS], t[:DIFF_CHARS])
-        # What lies beyond the compared part is shown as it is.
-        for full, side in ((s, left), (t, right)):
-            if len(full) > DIFF_CHARS:
-                side.append([full[DIFF_CHARS:], "Unchanged"])
+        left, right = _pair_segments(s, t)
         rows.append(([{"text": x, "type": k} for x, k in left], [{"text": x, "type": k} for x, k in right]))
     return pd.DataFrame(rows, columns=["left", "right"])
 
@@ -136,16 +155,21 @@ def _segments(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def diff_texts(pairs: DataFrame, left: str = "left_message", right: str = "right_message", mask: str | None = DEFAULT_MASK) -> DataFrame:
     """Equal flag of two texts after masking, and segments where they differ.
 
-    The masked texts are compared and shown.  Equal pairs never reach Python.
+    The masked texts are compared and shown, in full.  Masking makes many pairs
+    alike: each distinct unequal pair is compared once, equal ones never reach
+    Python.
     """
     marked = pairs.withColumns({"_a": mask_text(left, mask), "_b": mask_text(right, mask)})
-    marked = marked.withColumn("are_equal", F.col("_a") == F.col("_b"))
-    whole = F.array(F.struct(F.col(left).alias("text"), F.lit("Unchanged").alias("type")))
-    whole_right = F.array(F.struct(F.col(right).alias("text"), F.lit("Unchanged").alias("type")))
-    same = marked.where("are_equal").select(*pairs.columns, "are_equal", whole.alias("left_segments"), whole_right.alias("right_segments"))
-    other = marked.where(~F.col("are_equal")).withColumn("_s", _segments("_a", "_b"))
-    other = other.select(*pairs.columns, "are_equal", F.col("_s.left").alias("left_segments"), F.col("_s.right").alias("right_segments"))
-    return same.unionByName(other)
+    different = marked.where("_a <> _b").select(F.col("_a").alias("_da"), F.col("_b").alias("_db")).distinct()
+    found = different.withColumn("_s", _segments("_da", "_db"))
+    joined = marked.join(found, (F.col("_a") == F.col("_da")) & (F.col("_b") == F.col("_db")), "left")
+    same = F.col("_a") == F.col("_b")
+    whole = lambda c: F.array(F.struct(F.col(c).alias("text"), F.lit("Unchanged").alias("type")))
+    return joined.select(
+        *pairs.columns, same.alias("are_equal"),
+        F.when(same, whole(left)).otherwise(F.col("_s.left")).alias("left_segments"),
+        F.when(same, whole(right)).otherwise(F.col("_s.right")).alias("right_segments"),
+    )
 
 
 def diff_pairs(left: DataFrame, right: DataFrame, tolerance: float = 2.0, by: Sequence[str] = ()) -> DataFrame:

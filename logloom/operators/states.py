@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import equals_ci, from_state, is_transition, state_id, to_state, truncate_text
+from logloom.functions.text import blank, equals_ci, from_state, is_transition, state_id, to_state
 from logloom.operators.intervals import count_in_intervals
 from logloom.operators.single import attach, join_on
 from logloom.operators.timeslice import (
@@ -37,7 +37,7 @@ def gaps(df: DataFrame, threshold: float = 2.0, by: Sequence[str] = BY, width: f
         F.col("prev_ts").alias("start_ts"),
         F.col("ts").alias("end_ts"),
         "seconds",
-        truncate_text("prev_message", 100).alias("last_message"),
+        F.when(blank("prev_message"), "(empty)").otherwise(F.col("prev_message")).alias("last_message"),
         "seq",
     )
     return number_rows(found, by, ("end_ts", "seq"), "gap_no", width=86400.0).drop("seq")

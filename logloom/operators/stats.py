@@ -29,7 +29,7 @@ def summary(logs: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def _error_key(key: str) -> Column:
     if key == "message":
-        return truncate_text("message", 100)
+        return F.col("message")
     if key == "logger":
         return short_logger("logger")
     return F.coalesce(F.col(key), F.lit("Unknown"))
@@ -86,16 +86,14 @@ def errors_by_state(logs: DataFrame, n: int | None = 10, by: Sequence[str] = ("s
     return ranked if n is None else ranked.limit(n)
 
 
-def error_timeline(logs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Errors in equal time buckets from the first to the last; empty ones kept."""
+def error_timeline(logs: DataFrame, buckets: int = 120) -> DataFrame:
+    """Errors in ``buckets`` equal time buckets from the first to the last; empty ones kept."""
     rows = errors(logs)
     rows = rows.select(epoch_micros(rows, "ts").alias("_us"))
     # Counting per time first leaves little to place into buckets.
     per_time = rows.groupBy("_us").agg(F.count("*").alias("_n"))
     span = rows.agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    minutes = (F.col("_hi") - F.col("_lo")) / F.lit(60_000_000)
-    auto = F.when(minutes < 2, 60).when(minutes < 30, 100).otherwise(120)
-    span = span.where(F.col("_lo").isNotNull()).withColumn("_k", F.lit(buckets) if buckets else auto)
+    span = span.where(F.col("_lo").isNotNull()).withColumn("_k", F.lit(buckets))
     placed = attach(per_time, span)
     width = (F.col("_hi") - F.col("_lo")) / F.col("_k")
     at = F.floor(F.try_divide(F.col("_us") - F.col("_lo"), width))
@@ -159,8 +157,8 @@ def decimate(signals: DataFrame, lo: int, hi: int, buckets: int, by: Sequence[st
     step = max(1, (hi - lo + 1) // buckets)
     rows = signals.where(F.col("idx").between(lo, hi) & F.col("value").isNotNull() & ~F.isnan("value"))
     bucket = F.floor((F.col("idx") - lo) / F.lit(step)).cast("int")
-    if step <= 2:  # nothing to thin out: every step-th point
-        return rows.where((F.col("idx") - lo) % step == 0).select(*by, bucket.alias("bucket"), "idx", "value")
+    if step == 1:  # nothing to thin out
+        return rows.select(*by, bucket.alias("bucket"), "idx", "value")
     ends = rows.groupBy(*by, bucket.alias("bucket")).agg(
         F.min(F.struct("value", "idx")).alias("_lo"),
         F.max(F.struct("value", (-F.col("idx")).alias("back"))).alias("_hi"),
@@ -231,7 +229,7 @@ def stats_report(logs: DataFrame, n: int = 10, threshold: float = 2.0, by: Seque
     per_name = F.concat(name, F.lit(" ("), count, F.lit(" errors)"))
     load = F.format_string("%s: %,d (%.1f%%)", F.col("full_name"), F.col("n_logs"), F.col("percent"))
     parts = [
-        section("PLC TOP ERRORS", top_errors(plc, "message", n), "name", "n_errors", F.concat(F.lit("["), count, F.lit("] "), name)),
+        section("PLC TOP ERRORS", top_errors(plc, "message", n), "name", "n_errors", F.concat(F.lit("["), count, F.lit("] "), truncate_text("name", 100))),
         section("PLC THREAD LOAD", load_distribution(plc, "thread", n), "name", "n_logs", load),
         section("APP ERRORS BY LOGGER", top_errors(app, "logger", n), "name", "n_errors", per_name),
         section("APP ERRORS BY THREAD", top_errors(app, "thread", n), "name", "n_errors", per_name),
@@ -245,7 +243,7 @@ def stats_report(logs: DataFrame, n: int = 10, threshold: float = 2.0, by: Seque
     clock = [F.date_format(c, "HH:mm:ss.SSS") for c in ("start_ts", "end_ts")]
     line = F.concat_ws(
         " | ", F.concat(F.lit("#"), F.col("gap_no").cast("string")), duration_text("seconds"),
-        F.concat(F.lit("Start: "), clock[0]), F.concat(F.lit("End: "), clock[1]), F.concat(F.lit("Last Log: "), F.col("last_message")),
+        F.concat(F.lit("Start: "), clock[0]), F.concat(F.lit("End: "), clock[1]), F.concat(F.lit("Last Log: "), truncate_text("last_message", 100)),
     )
     gap_rows = pauses.select(
         F.concat(F.col("source"), F.lit(" GAPS")).alias("section"), F.col("gap_no").cast("int").alias("rank"),

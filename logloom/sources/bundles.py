@@ -1,14 +1,7 @@
-"""Log bundles: zip files or folders of mixed files, and what lies in them."""
+"""Log bundles: folders of mixed files, and what lies in them."""
 
 from __future__ import annotations
 
-import io
-import json
-import sqlite3
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +43,6 @@ def route_entry(entry: Column | str) -> Column:
     )
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each zip, one row per batch so that memory holds one at a time."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                continue
-            for no, info in enumerate(archive.infolist()):
-                if info.file_size and not info.is_dir():
-                    yield pd.DataFrame({"bundle": [path], "entry": [info.filename], "entry_no": [no], "content": [archive.read(info)]})
-
-
-def unzip(files: DataFrame) -> DataFrame:
-    """Entries of zip files given as ``(path, content)``; one session per zip."""
-    inside = files.select("path", "content").mapInPandas(_unzip, "bundle string, entry string, entry_no int, content binary")
-    return inside.select(F.regexp_extract("bundle", r"([^/]*)$", 1).alias("session"), "entry", "entry_no", "content")
-
-
 def route_files(files: DataFrame) -> DataFrame:
     """Wanted files with their kind; of files of one name in a session the first
     counts for configuration, terminal and database files."""
@@ -86,21 +60,18 @@ def route_files(files: DataFrame) -> DataFrame:
 
 
 def explode_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """``(session, entry, name, kind, entry_no, content)`` of every wanted file.
-
-    A zip is one session, named by its file; loose files belong to the session
-    of their top folder below ``path``.
+    """``(session, entry, name, kind, entry_no, content)`` of every wanted file
+    of an unpacked bundle; the session is the top folder below ``path``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.col("length") > 0)
-    zipped = F.endswith(F.lower("path"), F.lit(".zip"))
     root = F.lit(path.rstrip("/") + "/")
     below = F.substr("path", F.instr(F.col("path"), root) + F.length(root))
-    loose = files.where(~zipped).select(
+    loose = files.select(
         F.when(F.contains(below, F.lit("/")), F.split_part(below, F.lit("/"), F.lit(1))).otherwise(F.lit("loose")).alias("session"),
         below.alias("entry"), F.lit(0).alias("entry_no"), "content",
     )
-    return route_files(unzip(files.where(zipped)).unionByName(loose))
+    return route_files(loose)
 
 
 def _as_text(content: Column) -> Column:
@@ -139,68 +110,20 @@ def grep_lines(files: DataFrame, text: str, kinds: tuple[str, ...] = ("config",
     return found.select("session", "entry", (F.col("_n") + 1).alias("line_no"), "line")
 
 
-def _open(content: bytes) -> sqlite3.Connection:
-    db = sqlite3.connect(":memory:")
-    db.deserialize(bytes(content))
-    return db
-
-
-def _plain(value):
-    return value.hex() if isinstance(value, bytes) else value
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for session, name, content in zip(pdf["session"], pdf["name"], pdf["content"]):
-            try:
-                db = _open(content)
-                tables = [r[0] for r in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
-            except sqlite3.Error:
-                continue
-            for table in tables:
-                quoted = table.replace('"', '""')
-                try:
-                    cursor = db.execute(f'select rowid, * from "{quoted}"')
-                except sqlite3.OperationalError:  # a table without rowid
-                    cursor = db.execute(f'select null, * from "{quoted}"')
-                names = [d[0] for d in cursor.description][1:]
-                while chunk := cursor.fetchmany(2000):
-                    yield pd.DataFrame({
-                        "session": session, "db": name, "table": table, "rowid": [r[0] for r in chunk],
-                        "row_json": [json.dumps({n: _plain(v) for n, v in zip(names, r[1:])}, ensure_ascii=False) for r in chunk],
-                    })
-
-
-def read_db_tables(files: DataFrame) -> DataFrame:
-    """All rows of all tables of the bundles' database files, one file per task."""
-    dbs = files.where(F.col("kind") == "db").select("session", "name", "content")
-    return dbs.mapInPandas(_rows, "session string, db string, table string, rowid bigint, row_json string")
-
-
-def _columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for session, name, content in zip(pdf["session"], pdf["name"], pdf["content"]):
-            try:
-                db = _open(content)
-                tables = db.execute("select name, sql from sqlite_master where type = 'table' and name not like 'sqlite_%'").fetchall()
-            except sqlite3.Error:
-                continue
-            for table, sql in tables:
-                quoted = table.replace('"', '""')
-                n_rows = db.execute(f'select count(*) from "{quoted}"').fetchone()[0]
-                info = db.execute(f'pragma table_info("{quoted}")').fetchall()
-                yield pd.DataFrame({
-                    "session": session, "db": name, "table": table, "create_sql": sql, "n_rows": n_rows,
-                    "column": [c[1] for c in info], "type": [c[2] for c in info],
-                    "not_null": [bool(c[3]) for c in info], "primary_key": [bool(c[5]) for c in info],
-                })
-
-
-def db_catalog(files: DataFrame) -> DataFrame:
-    """Tables, columns and row counts of the bundles' database files."""
-    dbs = files.where(F.col("kind") == "db").select("session", "name", "content")
-    schema = (
-        "session string, db string, table string, create_sql string, n_rows bigint, column string, type string, "
-        "not_null boolean, primary_key boolean"
+def table_rows(df: DataFrame, session: Column, db: str, table: str, key: str) -> DataFrame:
+    """Rows of a table as ``(session, db, table, rowid, row_json)``, for browsing
+    tables of different columns in one."""
+    return df.select(
+        session.alias("session"), F.lit(db).alias("db"), F.lit(table).alias("table"), F.col(key).cast("bigint").alias("rowid"),
+        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row_json"),
     )
-    return dbs.mapInPandas(_columns, schema)
+
+
+def table_catalog(df: DataFrame, session: Column, db: str, table: str, key: str) -> DataFrame:
+    """Columns of a table and its number of rows, per session."""
+    fields = F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(not f.nullable).alias("not_null"), F.lit(f.name == key).alias("primary_key"))
+        for f in df.schema.fields
+    ])
+    counted = df.groupBy(session.alias("session")).agg(F.count("*").alias("n_rows"))
+    return counted.select("session", F.lit(db).alias("db"), F.lit(table).alias("table"), "n_rows", F.inline(fields))

@@ -14,13 +14,7 @@ from logloom.sources.lines import read_lines, session_of
 # The two shapes of a record in an application text log.
 RECORD_START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}"
 SKIPPED_LINE = "!!![V2]"
-SEPARATED = (
-    r"(?s)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\x1e(?:[^\x1e]*\x1e){6}\w+\s[^\x1e]*\x1e[^\x1e]*\x1e.*?\x1e.*?\x1e"
-)
-PIPED = (
-    r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\s*\|([^|]*)\|\s*\|[^|]*\|\s*\|[^|]*\|\s*\|[^|]*\|\s*\|([^|]*)\|"
-    r"\s*\|[^|]*\|\s*(\w+)\s+([^\r\n]*)[\r\n]+\|([^|]*)\|[\r\n]+(.*?)\s*\|\|"
-)
+SEPARATOR = "\x1e"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 
 
@@ -36,8 +30,9 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     kept = lines.where(F.col("value") != SKIPPED_LINE)
     opens = F.col("value").rlike(RECORD_START).cast("int")
     numbered = running_total(kept, {"seq": opens}, ("file",), ("_at",))
-    # One record's lines: a small group, whatever the size of the file.
-    return numbered.groupBy("file", "seq").agg(
+    # One record's lines: a small group, whatever the size of the file.  Lines
+    # before the first record belong to none.
+    return numbered.where("seq > 0").groupBy("file", "seq").agg(
         F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_lines")
     ).select("file", "seq", F.array_join(F.transform("_lines", lambda l: l["value"]), "\n").alias("text"))
 
@@ -51,34 +46,57 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)^\s+|\s+$", "")
 
 
+def _separated(t: Column) -> dict[str, Column]:
+    """Fields of a record written as one list: the time, six fields with the
+    thread first and the pattern fifth, level and logger, location, message,
+    exception and data."""
+    f = lambda i: F.get(F.split(t, SEPARATOR), F.lit(i))
+    level = F.split(f(7), r"\s", 2)
+    return {
+        "n": F.size(F.split(t, SEPARATOR)), "ts": F.right(f(0), F.lit(23)), "level": F.get(level, F.lit(0)), "thread": f(1), "logger": F.get(level, F.lit(1)),
+        "method": f(8), "message": f(9), "pattern": f(5), "data": f(11), "exception": f(10),
+    }
+
+
+def _piped(t: Column) -> dict[str, Column]:
+    """Fields of a record whose first line is cut by bars; the method between
+    bars and the message, up to two bars, follow on lines of their own."""
+    first = F.substring_index(F.regexp_replace(t, r"\r", ""), "\n", 1)
+    f = lambda i: F.get(F.split(first, r"\|"), F.lit(i))
+    level = F.split(F.trim(f(12)), r"\s+", 2)
+    below = F.ltrim(F.substr(F.regexp_replace(t, r"\r", ""), F.length(first) + 1), F.lit("\n"))
+    parts = F.split(below, r"\|", 3)
+    text = F.get(parts, F.lit(2))
+    return {
+        "n": F.when(F.startswith(text, F.lit("\n")) & F.contains(text, F.lit("||")) & (F.get(parts, F.lit(0)) == ""), F.size(F.split(first, r"\|"))).otherwise(0),
+        "ts": F.trim(f(0)), "level": F.get(level, F.lit(0)), "thread": f(1), "logger": F.get(level, F.lit(1)),
+        "method": F.get(parts, F.lit(1)), "message": F.substring_index(text, "||", 1), "pattern": f(9), "data": F.lit(""), "exception": F.lit(""),
+    }
+
+
 def parse_app_records(records: DataFrame, text: str = "text") -> DataFrame:
     """Fields of records of either shape; records of neither are dropped."""
     t = F.col(text)
-    rest = F.regexp_substr(t, F.lit(r"(?s)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\x1e.*"))
-    shaped = records.withColumn(
-        "_shape", F.when(t.rlike(SEPARATED), F.lit(1)).when(t.rlike(PIPED), F.lit(2))
-    ).where(F.col("_shape").isNotNull())
-    shaped = shaped.withColumn("_p", F.when(F.col("_shape") == 1, F.split(rest, "\x1e")))
-    separated = F.col("_shape") == 1
-
-    def pick(place: int | Column, group: int | None) -> Column:
-        first = F.get("_p", F.lit(place)) if isinstance(place, int) else place
-        second = F.regexp_extract(t, PIPED, group) if group else F.lit("")
-        return F.when(separated, first).otherwise(second)
-
-    level_logger = F.get("_p", F.lit(7))
-    return shaped.select(
+    one, two = _separated(t), _piped(t)
+    named = lambda c: F.coalesce(c.rlike(r"^\w+$"), F.lit(False))
+    is_one = (one["n"] >= 12) & one["ts"].rlike(RECORD_START) & named(one["level"]) & one["logger"].isNotNull()
+    is_two = (two["n"] == 13) & two["ts"].rlike(RECORD_START) & named(two["level"]) & two["logger"].isNotNull()
+    names = [k for k in one if k != "n"]
+    pick = lambda f: F.struct(*[f[k].alias(k) for k in names])
+    shaped = records.withColumn("_f", F.when(F.contains(t, F.lit(SEPARATOR)), F.when(is_one, pick(one))).when(is_two, pick(two)))
+    f = {k: F.col(f"_f.{k}") for k in names}
+    return shaped.where(F.col("_f").isNotNull()).select(
         *[c for c in records.columns if c != text],
-        F.try_to_timestamp(pick(0, 1), F.lit(TIME_FORMAT)).alias("ts"),
-        F.upper(pick(F.regexp_extract(level_logger, r"^(\w+)\s", 1), 4)).alias("level"),
-        pick(1, 2).alias("thread"),
-        F.trim(pick(F.regexp_extract(level_logger, r"(?s)^\w+\s(.*)$", 1), 5)).alias("logger"),
+        F.try_to_timestamp(f["ts"], F.lit(TIME_FORMAT)).alias("ts"),
+        F.upper(f["level"]).alias("level"),
+        f["thread"].alias("thread"),
+        F.trim(f["logger"]).alias("logger"),
         F.lit("APP").alias("process"),
-        _clean(pick(8, 6)).alias("method"),
-        _clean(pick(9, 7)).alias("message"),
-        _empty_null(pick(5, 3)).alias("pattern"),
-        _empty_null(_clean(pick(11, None))).alias("data"),
-        _empty_null(_clean(pick(10, None))).alias("exception"),
+        _clean(f["method"]).alias("method"),
+        _clean(f["message"]).alias("message"),
+        _empty_null(f["pattern"]).alias("pattern"),
+        _empty_null(_clean(f["data"])).alias("data"),
+        _empty_null(_clean(f["exception"])).alias("exception"),
     )
 
 

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from logloom.functions.text import blank, contains_ci
 from logloom.operators.fields import tag_default
 from logloom.operators.filters import default_view, filter_out, filter_tree, where_in
 
-# How a growing file is followed.
-POLL = "2 seconds"
-MIN_GROWTH = 1024
-FIRST_READ = 50 * 1024 * 1024
-
 
 def stream_logs(
     spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", max_files: int | None = None
@@ -30,113 +23,20 @@ def stream_logs(
     return reader.load(path)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-class _TailReader(DataSourceStreamReader):
-    """Offsets are byte positions just behind a finished line."""
-
-    def __init__(self, options: dict):
-        self.path = options["path"]
-        self.step = int(options.get("maxbytespertask", 8 * 1024 * 1024))
-        self.min_growth = int(options.get("mingrowth", MIN_GROWTH))
-        self.first_read = int(options.get("firstread", FIRST_READ))
-        self.position: int | None = None
-
-    def _behind_last_line(self, end: int, floor: int) -> int:
-        """Largest position up to ``end`` that follows a line end."""
-        with open(self.path, "rb") as f:
-            while end > floor:
-                start = max(floor, end - 65536)
-                f.seek(start)
-                at = f.read(end - start).rfind(b"\n")
-                if at >= 0:
-                    return start + at + 1
-                end = start
-        return floor
-
-    def _next_line(self, start: int) -> int:
-        if start == 0:
-            return 0
-        with open(self.path, "rb") as f:
-            f.seek(start - 1)
-            f.readline()
-            return f.tell()
-
-    def initialOffset(self) -> dict:
-        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
-        self.position = self._next_line(max(0, size - self.first_read))
-        return {"position": self.position}
-
-    def latestOffset(self) -> dict:
-        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
-        known = self.position or 0
-        if size - known > self.min_growth or self.position is None:
-            self.position = max(known, self._behind_last_line(size, known))
-        return {"position": self.position or 0}
-
-    def partitions(self, start: dict, end: dict) -> list:
-        lo, hi = start["position"], end["position"]
-        self.position = max(self.position or 0, hi)
-        cuts = [lo]
-        while hi - cuts[-1] > self.step:
-            cuts.append(min(hi, self._next_line(cuts[-1] + self.step)))
-        cuts = cuts if cuts[-1] == hi else [*cuts, hi]
-        return [_Range(self.path, a, b) for a, b in zip(cuts, cuts[1:])]
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = f.readline()
-                if not line:
-                    break
-                yield (partition.path, at, line.decode("utf-8", "replace").rstrip("\r\n"))
-                at += len(line)
-
-
-class TailSource(DataSource):
-    """A growing text file on storage every executor sees, line by line.
-
-    Nothing is dropped when much arrives at once: a batch is cut into byte
-    ranges of ``maxBytesPerTask``, each read by a task of its own.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "logtail"
-
-    def schema(self) -> str:
-        return "file string, position bigint, value string"
-
-    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
-        return _TailReader({k.lower(): v for k, v in self.options.items()})
-
-
-def stream_tail(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Lines of one growing file with their byte position."""
-    spark.dataSource.register(TailSource)
-    return spark.readStream.format("logtail").options(path=path, **options).load()
-
-
-def parse_tail(lines: DataFrame) -> DataFrame:
-    """Separated one-line records of a tailed application log."""
-    from logloom.sources.logs import parse_app_records
-
-    records = lines.select("file", F.col("position").alias("seq"), F.concat("value", F.lit("\x1e")).alias("text"))
-    return parse_app_records(records)
-
-
 def with_event_time(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Watermarked stream; a time without zone is taken as the session's."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def dedupe(stream: DataFrame, keys: Sequence[str] = ("session", "source", "seq"), delay: str = "10 minutes") -> DataFrame:
-    """Each record once, also when a reopened log is read again; empty records go."""
+def dedupe(stream: DataFrame, keys: Sequence[str] | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Each record once, also when a reopened log is read again; empty records go.
+
+    By default a record is told by session, source, file and place in the file,
+    as far as the stream has these: places start anew in every file.  Records
+    that come more than ``delay`` after the latest one seen are dropped, and
+    doubles further apart than that are not noticed.
+    """
+    keys = keys or [c for c in ("session", "source", "file", "seq") if c in stream.columns]
     kept = stream.where(~blank("message")) if "message" in stream.columns else stream
     return with_event_time(kept, delay).dropDuplicatesWithinWatermark(list(keys))
 
@@ -181,8 +81,7 @@ def stream_gaps(stream: DataFrame, threshold: float = 2.0) -> DataFrame:
             if before is not None:
                 seconds = (ts - before[0]).total_seconds()
                 if seconds >= threshold:
-                    text = before[2] or "(empty)"
-                    out.append((session, source, before[0], ts, seconds, text if len(text) <= 100 else text[:100] + "..."))
+                    out.append((session, source, before[0], ts, seconds, before[2] or "(empty)"))
             if before is None or (ts, seq) >= before[:2]:
                 before = (ts, seq, message)
         state.update((before[0].to_pydatetime(), int(before[1]), before[2]))

@@ -1,7 +1,5 @@
 """Files written by hand: log texts, tables, bundles."""
 
-import sqlite3
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -95,26 +93,26 @@ def test_routes(spark):
     assert {r.p: r.k for r in df.select("p", bundles.route_entry("p").alias("k")).collect()} == paths
 
 
-def test_bundles_from_folders_and_zips(spark, tmp_path):
-    db = sqlite3.connect(":memory:")
-    db.execute("create table t (a text, b blob)")
-    db.execute("insert into t values ('x', x'0aff'), (null, null)")
-    db.execute("create table w (k text primary key, v int) without rowid")
-    db.execute("insert into w values ('q', 1)")
-    db.commit()
-    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
-        z.writestr("Configuration/m.db", db.serialize())
-        z.writestr("Readme.txt", "PressPlcVersion= 3\r\n")
-    folder = tmp_path / "two" / "TerminalLogs"
-    folder.mkdir(parents=True)
-    (folder / "a.txt").write_text("Hit\n\nmiss\nanother HIT")
-    (tmp_path / "broken.zip").write_bytes(b"no zip")
+def test_bundles_from_folders(spark, tmp_path):
+    for name, text in {"one/Readme.txt": "PressPlcVersion= 3\r\n", "one/backup/old.ini": "no", "two/TerminalLogs/a.txt": "Hit\n\nmiss\nanother HIT", "two/empty.png": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
     files = bundles.explode_bundles(spark, f"file:{tmp_path}")
-    assert {(r.session, r.kind) for r in files.collect()} == {("one.zip", "db"), ("one.zip", "readme"), ("two", "terminal")}
+    assert {(r.session, r.kind) for r in files.collect()} == {("one", "readme"), ("two", "terminal")}
     assert [(r.session, r.line_no, r.line) for r in bundles.grep_lines(files, "hit").orderBy("line_no").collect()] == [("two", 1, "Hit"), ("two", 4, "another HIT")]
-    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(files).collect()} == {"one.zip": ("3", "3"), "two": ("Unknown", "Unknown")}
-    rows = {(r.table, r.row_json) for r in bundles.read_db_tables(files).collect()}
-    assert rows == {("t", '{"a": "x", "b": "0aff"}'), ("t", '{"a": null, "b": null}'), ("w", '{"k": "q", "v": 1}')}
+    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(files).collect()} == {"one": ("Unknown", "3"), "two": ("Unknown", "Unknown")}
+
+
+def test_long_texts_are_compared_whole(spark):
+    same = "".join(chr(97 + i * 7 % 26) for i in range(1500))
+    pairs = [(1, same + "left end", same + "right end"), (2, "x" + same + "y" * 1200, "z" + same[::-1] + "y" * 700)]
+    for r in diff_texts(spark.createDataFrame(pairs, "id int, left_message string, right_message string")).collect():
+        left, right = ([(s.text, s.type) for s in x] for x in (r.left_segments, r.right_segments))
+        assert "".join(t for t, _ in left) == r.left_message and "".join(t for t, _ in right) == r.right_message
+        assert "".join(t for t, k in left if k == "Unchanged") == "".join(t for t, k in right if k == "Unchanged")
+        assert any(k == "Removed" for _, k in left) and any(k == "Added" for _, k in right)
+        if r.id == 1:
+            assert left[0][0].startswith(same) and [k for _, k in left][0] == "Unchanged"
 
 
 def test_diff_segments(spark):

@@ -7,10 +7,10 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {k: v for k, v in entry.queries().items() if not re.match(r"op\d+_|pipeline", k)}
 # These operators run Python on the rows, by design.
-PYTHON = ("j11", "p16", "p17", "p18", "a17", "s4", "s5", "s9", "s10", "s11")
-STREAMED = ("t1", "t3", "t4", "t5")
+PYTHON = ("j11", "p16", "p17", "p18", "a17")
+STREAMED = ("t1", "t2", "t3", "t4", "t5")
 
 
 def plan(spark, name):

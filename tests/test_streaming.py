@@ -46,37 +46,10 @@ def test_failures(spark, tmp_path):
     assert sorted(drain(live.stream_failures(stream), "failures", spark)) == sorted(map(tuple, want.collect()))
 
 
-def test_tail_reads_appends_once(spark, tmp_path):
-    file, mark = tmp_path / "grow.log", str(tmp_path / "checkpoint")
-    out = str(tmp_path / "out")
-
-    def run():
-        stream = live.stream_tail(spark, str(file), minGrowth="0", maxBytesPerTask="100")
-        q = stream.writeStream.format("parquet").option("checkpointLocation", mark).trigger(processingTime="0 seconds").start(out)
-        q.processAllAvailable()
-        q.stop()
-        return [r.value for r in spark.read.parquet(out).orderBy("position").collect()]
-
-    first = [f"line {i}" for i in range(100)]
-    file.write_text("\n".join(first) + "\nunfinished")
-    assert run() == first
-    with file.open("a") as f:
-        f.write(" line\nmore\n")
-    assert run() == [*first, "unfinished line", "more"]
-
-
-def test_tail_starts_near_the_end(spark, tmp_path):
-    file = tmp_path / "big.log"
-    file.write_text("".join(f"{i:09d}\n" for i in range(1000)))
-    stream = live.stream_tail(spark, str(file), firstRead="95")
-    q = stream.writeStream.format("memory").queryName("tail").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [int(r.value) for r in spark.table("tail").orderBy("position").collect()] == list(range(991, 1000))
-
-
-def test_tail_records(spark):
-    text = "\x1e".join(["2026-01-29 10:32:38,073", "T", "r", "f", "n", "", "c", "Error A.B", "Loc", "msg", "", "d"])
-    df = spark.createDataFrame([("f", 0, text), ("f", 9, "no record")], "file string, position bigint, value string")
-    rows = live.parse_tail(df).collect()
-    assert [(r.level, r.message, r.data) for r in rows] == [("ERROR", "msg", "d")]
+def test_dedupe_tells_files_apart(spark, tmp_path):
+    """Two files of one session count their records from 0 each."""
+    rows = [("S", "APP", f, i, f"2026-01-01 00:00:0{i}", "m") for f in ("a", "b") for i in range(3)]
+    df = spark.createDataFrame(rows * 2, "session string, source string, file string, seq long, ts string, message string")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = live.stream_logs(spark, str(tmp_path / "in"), df.withColumn("ts", F.col("ts").cast("timestamp")).schema)
+    assert len(drain(live.dedupe(stream), "files_apart", spark)) == 6

@@ -100,7 +100,7 @@ def test_bundles_from_folders(spark, tmp_path):
     files = bundles.explode_bundles(spark, f"file:{tmp_path}")
     assert {(r.session, r.kind) for r in files.collect()} == {("one", "readme"), ("two", "terminal")}
     assert [(r.session, r.line_no, r.line) for r in bundles.grep_lines(files, "hit").orderBy("line_no").collect()] == [("two", 1, "Hit"), ("two", 4, "another HIT")]
-    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(files).collect()} == {"one": ("Unknown", "3"), "two": ("Unknown", "Unknown")}
+    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(files).collect()} == {"one": ("3", "3"), "two": ("Unknown", "Unknown")}
 
 
 def test_long_texts_are_compared_whole(spark):

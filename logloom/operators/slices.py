@@ -125,9 +125,11 @@ def explode_slices(logs: DataFrame, by: Sequence[str] = ("session",), message: s
         read = F.transform(found, lambda o: F.when(~o.rlike(_NOT_OBJECT.format("Spm|Ils", "MeasureInstruction")), F.from_json(o, f"struct<{whole}>")))
         return F.get(F.filter(read, lambda r: r[MARK].isNotNull()), F.lit(0))
 
-    # Only the plain text test is a filter: a filter on parsed parts would be
-    # pushed to the scan and parse everything again there.
-    rows = logs.where(test).select(*keep, F.coalesce(*[usable(c) for c in texts]).alias("_top")).select(
+    # Reading an object costs far more than moving its text, so marked records,
+    # which may stand in a few files, are dealt out before.  As an explode of one
+    # element the upper level is read once, whatever is filtered by it later.
+    marked = logs.where(test).repartition(*[F.col(c) for c in keep if c in ("ts", "seq")] or [F.xxhash64(*texts)])
+    rows = marked.select(*keep, F.explode(F.array(F.coalesce(*[usable(c) for c in texts]))).alias("_top")).select(
         *keep, F.col(f"_top.{MARK}").alias("_stripe"), F.col("_top.SpmMeasureInstruction").alias("_spm"),
         F.col("_top.IlsMeasureInstruction").alias("_ils"),
     )

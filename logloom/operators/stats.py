@@ -29,7 +29,7 @@ def summary(logs: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def _error_key(key: str) -> Column:
     if key == "message":
-        return F.col("message")
+        return F.when(blank("message"), "(empty)").otherwise(F.col("message"))
     if key == "logger":
         return short_logger("logger")
     return F.coalesce(F.col(key), F.lit("Unknown"))

@@ -37,31 +37,6 @@ def session_of(file: str = "file"):
     return F.element_at(F.split(F.col(file), "/"), -2)
 
 
-def file_heads(spark: SparkSession, files: Sequence[str], n: int) -> dict[str, list[str]]:
-    """First ``n`` lines of each file, read on the driver as a schema would be."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    heads = {}
-    for file in files:
-        place = jvm.org.apache.hadoop.fs.Path(file)
-        stream = place.getFileSystem(conf).open(place)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        try:
-            lines = []
-            while len(lines) < n:
-                line = reader.readLine()
-                if line is None:
-                    break
-                lines.append(line.lstrip("﻿"))
-        finally:
-            reader.close()
-        heads[file] = lines
-    return heads
-
-
-def list_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    return sorted(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles())
-
-
 # Comma outside quotes: an even number of quotes follows it.
 QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 

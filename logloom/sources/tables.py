@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import parse_time, signal_category
 from logloom.operators.states import state_runs
-from logloom.sources.lines import file_heads, list_files, number_lines, read_lines, session_of, split_quoted
+from logloom.operators.timeslice import SLICE
+from logloom.sources.lines import number_lines, read_lines, session_of, split_quoted
 
 # Header names of an event table.  "is" must equal the header,
 # "has" must stand in it; the first header that fits is taken.
@@ -36,32 +37,29 @@ REVOLUTION_NAMES = {
 }
 
 
-def _by_head(spark: SparkSession, path, n: int) -> list[tuple[list[str], list[str]]]:
-    """Files grouped by their first lines: (lines, files) pairs."""
-    groups = defaultdict(list)
-    for file, head in file_heads(spark, list_files(spark, path), n).items():
-        if head:
-            groups[tuple(head)].append(file)
-    return [(list(head), files) for head, files in groups.items()]
+def _first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """``(file, _head)``: the first ``n`` lines of each file with their places.
+
+    They lie in the file's first block; a job finds them, however many files there are.
+    """
+    start = lines.where(F.col(SLICE) == 0)
+    ranked = start.withColumn("_rank", F.row_number().over(Window.partitionBy("file").orderBy("_at")))
+    head = F.array_sort(F.collect_list(F.struct("_at", F.ltrim("value", F.lit("\ufeff")).alias("value"))))
+    return ranked.where(F.col("_rank") <= n).groupBy(F.col("file").alias("_file")).agg(head.alias("_head"))
 
 
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = parts[0] if parts else empty
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _with_header(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines below each file's first one, with that line as ``_header``."""
+    lines = read_lines(spark, path)
+    head = _first_lines(lines, 1).select("_file", F.col("_head")[0]["value"].alias("_header"), F.col("_head")[0]["_at"].alias("_first"))
+    below = lines.join(head, F.col("file") == F.col("_file"))
+    return below.where((F.col(SLICE) != 0) | (F.col("_at") != F.col("_first"))).drop("_file", "_first")
 
 
-def event_columns(headers: Sequence[str]) -> dict[str, int]:
-    """Place of each event field among the headers (driver side)."""
-    found = {}
-    for field, rule in EVENT_HEADERS.items():
-        for i, header in enumerate(headers):
-            low = header.lower()
-            if low in rule.get("is", ()) or any(h in low for h in rule.get("has", ())):
-                found[field] = i
-                break
-    return found
+def _place(names: Column, fits) -> Column:
+    """Place of the first name that fits, else null."""
+    spots = F.sequence(F.lit(0), F.size(names) - 1)
+    return F.get(F.filter(spots, lambda i: fits(F.get(names, i))), F.lit(0))
 
 
 def read_events_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -69,37 +67,37 @@ def read_events_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
     Rows whose time cannot be read are dropped.
     """
-    parts = []
-    for head, files in _by_head(spark, path, 1):
-        places = event_columns([h.strip().strip('"') for h in head[0].split(",")])
-        if "ts" not in places:
-            continue
-        lines = read_lines(spark, files).where((F.trim("value") != "") & (F.col("value") != head[0]))
-        cells = lines.select("file", split_quoted(F.col("value")).alias("_c"))
-
-        def cell(field: str, absent: str) -> Column:
-            if field not in places:
-                return F.lit(absent)
-            return F.coalesce(F.get("_c", F.lit(places[field])), F.lit(absent))
-
-        rows = cells.select(
-            session_of().alias("session"), "file", parse_time(cell("ts", "")).alias("ts"), cell("name", "Unknown").alias("name"),
-            *[cell(f, "").alias(f) for f in ("state", "severity", "description", "parameters")],
-        )
-        parts.append(rows.where(F.col("ts").isNotNull()))
-    schema = "session string, file string, ts timestamp, name string, state string, severity string, description string, parameters string"
-    return _union(parts, spark.createDataFrame([], schema))
+    names = F.transform(F.split("_header", ","), lambda h: F.lower(F.trim(F.trim(h), F.lit('"'))))
+    rows = _with_header(spark, path).where(F.trim("value") != "").withColumn("_n", names)
+
+    def fits(rule: dict):
+        def test(name: Column) -> Column:
+            hit = name.isin(*rule["is"]) if "is" in rule else F.lit(False)
+            for part in rule.get("has", ()):
+                hit |= F.contains(name, F.lit(part))
+            return hit
+
+        return test
+
+    rows = rows.withColumn("_p", F.struct(*[_place(F.col("_n"), fits(rule)).alias(f) for f, rule in EVENT_HEADERS.items()]))
+    rows = rows.withColumn("_c", split_quoted(F.col("value")))
+    cell = lambda f, absent: F.coalesce(F.get("_c", F.col(f"_p.{f}")), F.lit(absent))
+    found = rows.select(
+        session_of().alias("session"), "file", parse_time(cell("ts", "")).alias("ts"), cell("name", "Unknown").alias("name"),
+        *[cell(f, "").alias(f) for f in ("state", "severity", "description", "parameters")],
+    )
+    return found.where(F.col("ts").isNotNull())
 
 
 def _signal_head(head: list[str]) -> tuple[list[str], int]:
     """Column names and number of header lines of a signal table."""
     first, second = head[0], head[1] if len(head) > 1 else ""
     if first.startswith("Name,YT Scope"):
-        near = head[:10]
+        near = head
         marks = ("Station.", "gStation", "arrInk")
         named = [i for i, l in enumerate(near) if l.startswith("Name,") and any(m in l for m in marks)]
         at = named[0] if named else max(range(len(near)), key=lambda i: (near[i].count(","), -i))
-        start = next((i + 1 for i, l in enumerate(head[:15]) if l.startswith("SampleTime")), 9)
+        start = next((i + 1 for i, l in enumerate(head) if l.startswith("SampleTime")), 9)
         return [short_scope_name(c.strip().strip('"')) for c in head[at].split(",")], start
     header_like = ("PolicyName", "Data.OPCUAInterface", "Unix_Time", "Machine_State")
     if any(m in first for m in header_like) or ("T" in second and ":" in second and "-" in second):
@@ -126,66 +124,72 @@ def short_scope_name(name: str) -> str:
     return name.replace("^.", ".")
 
 
-def read_signal_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_signal_csv(spark: SparkSession, path: str | Sequence[str], head_lines: int = 100) -> DataFrame:
     """Signal tables of three header forms as a long table.
 
+    The header is looked for in the first ``head_lines`` lines.
+
     ``(session, file, row_no, time, signal, col, value, num)``; a cell that is
     no number has a null ``num``.
     """
-    parts = []
-    for head, files in _by_head(spark, path, 15):
-        names, start = _signal_head(head)
-        lines = read_lines(spark, files).where((F.col("value") != "") & ~F.col("value").isin(head[:start]))
-        numbered = number_lines(lines, "row_no").select("file", F.col("row_no") - 1, split_quoted(F.col("value")).alias("_c"))
-        numbered = numbered.toDF("file", "row_no", "_c")
-        long = numbered.select("file", "row_no", F.get("_c", F.lit(0)).alias("time"), F.posexplode("_c").alias("col", "value"))
-        known = F.array(*[F.lit(n) for n in names])
-        long = long.where((F.col("col") > 0) & (F.col("col") < len(names)))
-        parts.append(long.select(
-            session_of().alias("session"), "file", "row_no", "time", F.get(known, F.col("col")).alias("signal"), "col", "value",
-            F.trim("value").try_cast("double").alias("num"),
-        ))
-    schema = "session string, file string, row_no bigint, time string, signal string, col int, value string, num double"
-    return _union(parts, spark.createDataFrame([], schema))
-
-
-def detect_delimiter(header: str) -> str:
-    """The one of comma, semicolon and tab that gives most columns."""
-    return max((",", ";", "\t"), key=lambda d: header.count(d))
+    lines = read_lines(spark, path)
+    found = _first_lines(lines, head_lines).mapInPandas(_signal_heads, "_file string, _first bigint, _names array<string>")
+    below = lines.join(found.select("_file", "_first"), F.col("file") == F.col("_file"))
+    below = below.where((F.col("value") != "") & ((F.col(SLICE) != 0) | (F.col("_at") > F.col("_first")))).drop("_file", "_first")
+    numbered = number_lines(below, "row_no").select("file", (F.col("row_no") - 1).alias("row_no"), split_quoted(F.col("value")).alias("_c"))
+    numbered = numbered.join(found.select("_file", "_names"), F.col("file") == F.col("_file"))
+    long = numbered.select("file", "row_no", "_names", F.get("_c", F.lit(0)).alias("time"), F.posexplode("_c").alias("col", "value"))
+    long = long.where((F.col("col") > 0) & (F.col("col") < F.size("_names")))
+    return long.select(
+        session_of().alias("session"), "file", "row_no", "time", F.get("_names", F.col("col")).alias("signal"), "col", "value",
+        F.trim("value").try_cast("double").alias("num"),
+    )
+
+
+def _signal_heads(batches):
+    """Column names of each file and the place of its last header line."""
+    for pdf in batches:
+        out = []
+        for file, head in zip(pdf["_file"], pdf["_head"]):
+            names, start = _signal_head([h["value"] for h in head])
+            out.append((file, head[min(start, len(head)) - 1]["_at"], names))
+        yield pd.DataFrame(out, columns=["_file", "_first", "_names"])
 
 
 def read_calibration_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Calibration tables; absent columns and unreadable numbers are 0."""
-    parts = []
-    for head, files in _by_head(spark, path, 1):
-        delimiter = detect_delimiter(head[0])
-        names = [h.strip().strip('"').lower() for h in head[0].split(delimiter)]
-        # Of equal headers the last one counts.
-        places = {n: i for i, n in enumerate(names)}
-        lines = read_lines(spark, files).where(F.col("value") != head[0])
-        cells = lines.select("file", F.split("value", "\t" if delimiter == "\t" else f"[{delimiter}]").alias("_c"))
-        cells = cells.where(F.size("_c") >= len(names))
-
-        def cell(name: str) -> Column:
-            return F.trim(F.replace(F.trim(F.get("_c", F.lit(places[name]))), F.lit('"'), F.lit("")))
-
-        cols = []
-        for header, (ours, kind) in CALIBRATION_HEADERS.items():
-            if kind == "string":
-                cols.append((cell(header) if header in places else F.lit("")).alias(ours))
-            elif header in places:
-                number = F.coalesce(cell(header).try_cast("double"), F.lit(0.0))
-                cols.append((number.cast("int") if kind == "int" else number).alias(ours))
-            else:
-                cols.append(F.lit(0).cast(kind).alias(ours))
-        rows = cells.select("file", *cols)
-        known = F.create_map(*[F.lit(x) for pair in REVOLUTION_NAMES.items() for x in pair])
-        rows = rows.withColumns({
-            "revolution": F.coalesce(F.try_element_at(known, F.lower("revolution_index")), F.col("revolution_index")),
-            "calibration_time": calibration_time(F.col("calibration_time")),
-        })
-        parts.append(rows)
-    return _union(parts, spark.createDataFrame([], "file string"))
+    """Calibration tables; absent columns and unreadable numbers are 0.
+
+    The one of comma, semicolon and tab that gives most columns cuts the cells.
+    """
+    header = F.col("_header")
+    count = lambda d: F.length(header) - F.length(F.replace(header, F.lit(d), F.lit("")))
+    commas, semicolons, tabs = count(","), count(";"), count("\t")
+    delimiter = F.when((commas >= semicolons) & (commas >= tabs), ",").when(semicolons >= tabs, ";").otherwise("\t")
+    rows = _with_header(spark, path).withColumn("_d", delimiter)
+    # The three signs stand in no name, so they may all cut the header.
+    names = F.transform(F.split(header, F.col("_d")), lambda h: F.lower(F.trim(F.trim(h), F.lit('"'))))
+    rows = rows.select("file", names.alias("_n"), F.split("value", F.col("_d")).alias("_c")).where(F.size("_c") >= F.size("_n"))
+
+    def last(name: str) -> Column:  # of equal headers the last one counts
+        spots = F.sequence(F.lit(0), F.size("_n") - 1)
+        return F.try_element_at(F.filter(spots, lambda i: F.get("_n", i) == name), F.lit(-1))
+
+    rows = rows.withColumn("_p", F.struct(*[last(h).alias(h) for h in CALIBRATION_HEADERS]))
+    cell = lambda h: F.trim(F.replace(F.trim(F.get("_c", F.col(f"_p.{h}"))), F.lit('"'), F.lit("")))
+    cols = []
+    for h, (ours, kind) in CALIBRATION_HEADERS.items():
+        if kind == "string":
+            cols.append(F.coalesce(cell(h), F.lit("")).alias(ours))
+        else:
+            number = cell(h).try_cast("double")
+            number = F.when(~F.isnan(number), number)
+            cols.append(F.coalesce(number.try_cast(kind), F.lit(0).cast(kind)).alias(ours))
+    rows = rows.select("file", *cols)
+    known = F.create_map(*[F.lit(x) for pair in REVOLUTION_NAMES.items() for x in pair])
+    return rows.withColumns({
+        "revolution": F.coalesce(F.try_element_at(known, F.lower("revolution_index")), F.col("revolution_index")),
+        "calibration_time": calibration_time(F.col("calibration_time")),
+    })
 
 
 def calibration_time(raw: Column) -> Column:
@@ -201,16 +205,17 @@ def calibration_time(raw: Column) -> Column:
 def read_loose_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Plain comma separated text: no quoting, blank headers ``ColN``, equal
     headers numbered ``_2``, ``_3``; blank lines dropped."""
-    parts = []
-    for head, files in _by_head(spark, path, 1):
-        names = loose_headers(head[0])
-        lines = read_lines(spark, files).where((F.trim("value") != "") & (F.col("value") != head[0]))
-        cells = lines.select("file", F.split("value", ",").alias("_c"))
-        parts.append(cells.select("file", *[F.coalesce(F.trim(F.get("_c", F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(names)]))
-    out = parts[0] if parts else spark.createDataFrame([], "file string")
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    rows = _with_header(spark, path).where(F.trim("value") != "")
+    headers = [r[0] for r in rows.select("_header").distinct().orderBy("_header").collect()]
+    if not headers:
+        return spark.createDataFrame([], "file string")
+    places = {h: {n: i for i, n in enumerate(loose_headers(h))} for h in headers}
+    names = list(dict.fromkeys(n for h in headers for n in places[h]))
+    # A header's places of all columns, -1 for those it has not.
+    known = F.create_map(*[x for h in headers for x in (F.lit(h), F.array(*[F.lit(places[h].get(n, -1)) for n in names]))])
+    cells = rows.select("file", F.split("value", ",").alias("_c"), F.element_at(known, F.col("_header")).alias("_p"))
+    cell = lambda k: F.when(F.get("_p", F.lit(k)) >= 0, F.coalesce(F.trim(F.get("_c", F.get("_p", F.lit(k)))), F.lit("")))
+    return cells.select("file", *[cell(k).alias(n) for k, n in enumerate(names)])
 
 
 def loose_headers(line: str) -> list[str]:

@@ -3,6 +3,8 @@
 
 from pyspark.sql import functions as F
 
+from logloom.functions.conditions import regex_usable
+from logloom.functions.text import parse_time
 from logloom.operators.links import diff_texts
 from logloom.sources import bundles, lines, tables
 from logloom.sources.logs import read_app_text_logs
@@ -39,10 +41,34 @@ def test_app_text_over_many_blocks(spark, tmp_path):
     assert rows[0].pattern is None and rows[0].method == "Run" and rows[0].ts.microsecond == 0
 
 
-def test_event_headers():
-    assert tables.event_columns(["Id", "Date", "FullName", "Status", "Priority", "Args", "Subsystem"]) == {
-        "ts": 1, "name": 2, "state": 3, "severity": 4, "parameters": 5, "description": 6
-    }
+def test_event_headers(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Id,Date,FullName,Status,Priority,Args,Subsystem\n1,2026-01-01 10:00:00,n,s,p,a,d\nId,Date,FullName,Status,Priority,Args,Subsystem\n2,Infinity,n,s,p,a,d\n3,NaN,n,s,p,a,d\n")
+    rows = tables.read_events_csv(spark, str(tmp_path)).collect()
+    assert [(r.name, r.state, r.severity, r.parameters, r.description) for r in rows] == [("n", "s", "p", "a", "d")]
+
+
+def test_bad_cells_and_repeated_headers(spark, tmp_path):
+    head = "SN;CycleNumber;ElementLocationX"
+    (tmp_path / "c.csv").write_text(f"{head}\n3000000000;NaN;Infinity\n1;2;3.5\n{head}\n")
+    rows = [(r.sn, r.cycle, r.x) for r in tables.read_calibration_csv(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == [(0, 0, 0.0), (0, 0, float("inf")), (1, 2, 3.5)]
+    (tmp_path / "loose").mkdir()
+    (tmp_path / "loose" / "l.csv").write_text("a,b\n1,2\na,b\n")
+    assert sorted(tuple(r)[1:] for r in tables.read_loose_csv(spark, str(tmp_path / "loose")).collect()) == [("1", "2"), ("a", "b")]
+    odd = spark.createDataFrame([("Infinity",), ("NaN",), ("-1e300",), ("1700000000",)], "t string").select(parse_time("t").alias("t"))
+    assert [r.t is None for r in odd.collect()] == [True, True, True, False]
+
+
+def test_many_files_are_one_plan(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"f{i}.csv").write_text(f"Time,Name\n2026-01-01 10:00:{i % 60:02d},n{i}\n")
+    df = tables.read_events_csv(spark, str(tmp_path))
+    assert df.count() == 200
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
+
+
+def test_regex_errors_are_told_apart(spark):
+    assert regex_usable("a+b") and not regex_usable("a(")
 
 
 def test_events_with_different_headers(spark, tmp_path):

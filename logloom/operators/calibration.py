@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.single import attach, join_on
+from logloom.operators.timeslice import SLICE, running_total
 
 STATIONS = range(1, 7)
 MISSING = (-1000.0, -2000.0)
@@ -355,13 +356,12 @@ def _half_even(c: Column) -> Column:
     return F.bround(c, 0).cast("int")
 
 
-def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS) -> DataFrame:
     """95th and 99th percentile of the error per station and axis, of the
     largest error per record, and overall.
 
     The largest error of a record is its span when both signs occur, else its
-    greatest size.  Exact percentiles interpolate; ``exact=False`` bounds the
-    memory of a very large input instead.
+    greatest size.  Percentiles are exact and interpolate.
     """
     stations = list(stations)
 
@@ -384,14 +384,23 @@ def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS, exact: bool = T
     each = df.select(F.inline(F.array(*cells))).select("_i", seen.alias("v"))
     tops = [F.struct(F.lit(len(cells) + k).alias("_i"), largest(a).alias("v")) for k, a in enumerate("YX")]
     rows = each.unionByName(df.select(F.inline(F.array(*tops))))
-    points = F.array(F.lit(0.95), F.lit(0.99))
-    if exact:
-        # Equal values are counted before the shuffle, so what each series has
-        # to hold grows with its distinct values and not with its records.
-        counted = rows.groupBy("_i", "v").agg(F.count("*").alias("n"))
-        found = counted.groupBy("_i").agg(F.percentile("v", points, F.col("n")).alias("p"))
-    else:
-        found = rows.groupBy("_i").agg(F.percentile_approx("v", points, accuracy).alias("p"))
+    # Equal values are counted before the shuffle.  The two values around each
+    # rank are found by running totals over the counted values, spread over
+    # slices of the value, so no task holds all values of a series.
+    counted = rows.groupBy("_i", "v").agg(F.count("*").alias("n"))
+    sized = counted.groupBy("_i").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("_size"))
+    known = counted.where("v is not null").withColumn(SLICE, F.floor(F.log2(F.col("v") + 1) * 64).cast("bigint"))
+    totals = running_total(known, {"_upto": F.col("n")}, ("_i",), ("v",)).select(F.col("_i").alias("_k"), "v", "n", "_upto")
+    placed = totals.join(sized, F.col("_k") == F.col("_i"))
+    picks = []
+    for name, point in (("p95", 0.95), ("p99", 0.99)):
+        rank = F.lit(point) * (F.col("_size") - 1)
+        low = F.min(F.when(F.col("_upto") > F.floor(rank), F.col("v")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("v")))
+        share = F.max(rank - F.floor(rank))
+        picks.append((low * (1 - share) + high * share).alias(name))
+    quantiles = placed.groupBy("_k").agg(*picks)
+    found = sized.select("_i").join(quantiles, F.col("_i") == F.col("_k"), "left").select("_i", F.array("p95", "p99").alias("p"))
     series = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i")).alias("series")
     zero = F.lit(0.0)
     found = found.select(

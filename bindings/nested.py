@@ -84,14 +84,14 @@ def p16(spark, d):
 
 
 @query("p17_expand_json", """
-SELECT event_type, event_id, '{' || chr(10) || '  "b": ' || CAST(event_id AS VARCHAR) || ',' || chr(10) || '  "c": "' || event_type || '"' || chr(10) || '}' AS a, '[2 items]' AS list, '[6 items]' AS few, 'null' AS none,
+SELECT event_type, event_id, '{' || chr(10) || '  "b": ' || CAST(event_id AS VARCHAR) || ',' || chr(10) || '  "c": "' || event_type || '"' || chr(10) || '}' AS a, '[1, {"x": ' || CAST(event_id AS VARCHAR) || '}]' AS list, '[1, 2, 3, 4, 5, 6]' AS few, 'null' AS none,
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS even, props FROM events""")
 def p17(spark, d):
     return jsonx.expand_json(_json_events(spark, d), ["doc"]).withColumn("even", F.coalesce("even", F.lit("")))
 
 
 @query("p18_summary_json", """
-SELECT event_type, event_id, props, CAST(event_id AS VARCHAR) AS "doc.a.b", event_type AS "doc.a.c", '1, {"x": ' || CAST(event_id AS VARCHAR) || '}' AS "doc.list", '1, 2, 3, 4, 5...' AS "doc.few", '' AS "doc.none",
+SELECT event_type, event_id, props, CAST(event_id AS VARCHAR) AS "doc.a.b", event_type AS "doc.a.c", '1, {"x": ' || CAST(event_id AS VARCHAR) || '}' AS "doc.list", '1, 2, 3, 4, 5, 6' AS "doc.few", '' AS "doc.none",
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS "doc.even" FROM events""")
 def p18(spark, d):
     out = jsonx.flatten_json(_json_events(spark, d), ["doc"], mode="summary")

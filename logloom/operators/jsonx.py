@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -58,16 +59,12 @@ def _leaves(value, path: str, out: dict) -> dict:
 
 
 def _summary(value, path: str, out: dict) -> dict:
-    """Leaves with arrays told in short: ``[n items]`` or the first five values."""
+    """Leaves, with an array as one text of all its values."""
     if isinstance(value, dict):
         for key, inner in value.items():
             _summary(inner, f"{path}.{key}" if path else key, out)
     elif isinstance(value, list):
-        if value and isinstance(value[0], dict):
-            out[path] = f"[{len(value)} items]"
-        else:
-            shown = [_short(v) for v in value[:5]]
-            out[path] = ", ".join(shown) + ("..." if len(value) > 5 else "")
+        out[path] = ", ".join(_short(v) for v in value)
     else:
         out[path] = _text(value)
     return out
@@ -103,13 +100,9 @@ def _cell(value, nested: bool = False) -> str:
         return f'"{value}"'
     if isinstance(value, dict):
         if nested:
-            return "{...}"
+            return _json(value)
         return "{\n  " + ",\n  ".join(f'"{k}": {_cell(v, True)}' for k, v in value.items()) + "\n}"
-    if not nested and not value:
-        return "[]"
-    if not nested and len(value) <= 5 and not any(isinstance(v, (dict, list)) for v in value):
-        return "[" + ", ".join(_cell(v, True) for v in value) + "]"
-    return f"[{len(value)} items]"
+    return _json(value)
 
 
 def _top(value, _path: str, out: dict) -> dict:
@@ -193,15 +186,13 @@ def flatten_json(
     first = [c for want in FIRST_COLUMNS for c in plain if c.lower() == want]
     plain = [*dict.fromkeys([*first, *plain])]
     spread = df.withColumns({f"_leaves_{i}": json_leaves(c, mode) for i, c in enumerate(cols)})
-    out, taken = [], {c.lower() for c in plain}
-    by_name: dict[str, list[Column]] = {}
+    # A path that is a plain column's name too, or in several JSON columns, is
+    # told apart by its column.
+    names = Counter([c.lower() for c in plain] + [path.lower() for _, path in paths])
+    out = []
     for col, path in paths:
-        name = f"{col}.{path}" if mode == "summary" else path
-        if name.lower() in taken and mode != "summary":
-            continue
-        by_name.setdefault(name, []).append(F.try_element_at(F.col(f"_leaves_{cols.index(col)}"), F.lit(path)))
-    # A path in several JSON columns is one result column; the later one wins.
-    out = [F.coalesce(*reversed(values)).alias(name) for name, values in by_name.items()]
+        name = f"{col}.{path}" if mode == "summary" or names[path.lower()] > 1 else path
+        out.append(F.try_element_at(F.col(f"_leaves_{cols.index(col)}"), F.lit(path)).alias(name))
     return spread.select(*[F.col(f"`{c}`") for c in plain], *out)
 
 

@@ -16,19 +16,20 @@ CAPACITY = 4096
 UNIT = 64  # tokens; lengths are told apart in units, what is left over is a tail
 UNITS = CAPACITY // UNIT
 SLICE_BITS = 14  # rows of one slice: at most 2 ** 14
-_WORDS = 250_000  # words of one generation whose ids a Python worker remembers
+_WORDS, _PARTS = 220_000, 100_000  # words, and parts of words, of one generation whose ids a Python worker remembers
 
 
 class _Remembered:
     """A table of ids in two generations: when the younger is full the older is forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def get(self, keys: set[str], make) -> None:
         """Have all ``keys`` in the younger generation; ``make(list)`` gives what is in neither."""
-        if len(self.young) + len(keys) > _WORDS:
+        if len(self.young) + len(keys) > self.most:
             self.young, self.old = {}, self.young
         missing = list(filterfalse(self.young.__contains__, keys))
         self.young.update((k, self.old[k]) for k in filter(self.old.__contains__, missing))
@@ -56,7 +57,7 @@ def _encoder(path: str):
 
     kept = vars(tokenizers).setdefault("_logloom", {})
     if path not in kept:
-        kept[path] = (tokenizers.Tokenizer.from_file(path), _Remembered(), _Remembered())
+        kept[path] = (tokenizers.Tokenizer.from_file(path), _Remembered(_WORDS), _Remembered(_PARTS))
     tok, words_known, parts_known = kept[path]
     odd = [*"\x1c\x1d\x1e\x1f", *(t.content for t in tok.get_added_tokens_decoder().values())]
     plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch

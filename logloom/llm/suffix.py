@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from logloom.llm.shared import block_of, cut, text_blocks
 
 GRAM = 20
-BLOCK_MB = 16  # text of one block of documents
+BLOCK_MB = 8  # text of one block of documents
 _CHUNK = 1 << 20  # bytes looked at in one go
 
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES = {k: v for k, v in entry.queries().items() if not re.match(r"op\d+_|pipeline", k)}
 # These operators run Python on the rows, by design.
-PYTHON = ("j11", "p16", "p17", "p18", "a17")
+PYTHON = ("j11", "p16", "p17", "p18", "a17", "s6", "s13")
 STREAMED = ("t1", "t2", "t3", "t4", "t5")
 
 

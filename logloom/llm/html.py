@@ -23,9 +23,13 @@ VOID_TAGS = frozenset("hr br img input meta link area base col embed source trac
 #: An element of the first kind ends an open one of the second kind.
 IMPLIED_END = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head", "title"}}
 #: Elements whose content is never shown as text.
-UNSEEN = "script|style|noscript|template|svg|iframe|textarea|object|canvas|math"
+UNSEEN = "script|style|noscript|template|svg|iframe|textarea"
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: An opening tag of these that doesn't close itself; quotes may be broken.  Only svg is over with "/>" in
+#: every case: browsers overlook it in the others, so a closing tag before the next opening one counts.
+_OPEN = rf"(?:{_ATTRIBUTES}(?<!/)>|(?!{_ATTRIBUTES}>)[^>]*(?<!/)>)"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})(?![\w:-])(?:{_OPEN}.*?(?:</\1\s*>|\Z)|(?<!<svg){_ATTRIBUTES}/?>(?:(?!<\1(?![\w:-])).)*?</\1\s*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -390,7 +394,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 def extract(pages: DataFrame, model: dict[str, np.ndarray], html_col: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars``: the main text of the whole html, block by block.
 
-    Every leaf block is kept or left out by the labeller; nothing else is.
+    Every leaf block is kept or left out by the labeller; nothing else is but
+    comments and elements that are never shown as text (``UNSEEN``).  Formulas
+    and what stands in for an object or canvas are text of their block.
     Character references are decoded, white space in a block becomes one space,
     and blocks are joined by an empty line.  Null or empty html gives an empty
     text.  Existing columns of these names are replaced.

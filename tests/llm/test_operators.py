@@ -226,6 +226,25 @@ def test_main_text(spark):
     assert html.extract(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', ["one two", "three"]),
+        ("<p>one <svg class=i/> two <svg><title>no</title></svg> three</p><p>four</p>", ["one two three", "four"]),
+        ('<p>one <svg title="a > b" /> two</p>', ["one two"]),
+        ("<p>one <object data=x /> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>see <object data=x>the film</object> and <canvas>a chart</canvas></p>", ["see the film and a chart"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<p>one <template/> two</p><script src=x /><p>three</p>", ["one two", "three"]),
+        ("<p>one</p><script src=x />no();</script><script>no()</script><p>two<style>no", ["one", "two"]),
+        ("<p>one <svg-icon>two</svg-icon></p>", ["one two"]),
+        ("<p>one</p><script data-x='a>if (a > b) no()</script><p>two</p>", ["one", "two"]),
+    ],
+)
+def test_unseen_elements(page, texts):
+    assert html.blocks(page).texts == texts
+
+
 # --- 7: mixing ------------------------------------------------------------------------
 
 

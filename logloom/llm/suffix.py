@@ -12,7 +12,7 @@ to sort the suffixes that begin at anchors, about one byte in sixteen.
    sends equal records once.  Each range sorts its suffixes by multikey
    quicksort, and the suffixes before the anchors likewise, compares neighbours
    and numbers the runs of equal prefixes of each length; a 50-byte string is a
-   pair of such runs.  Splitters are whole leading words, shorter than a gram,
+   pair of such runs.  Splitters are two leading words, shorter than a gram,
    so no run of equal grams crosses the boundary between two ranges.
 3. Blocks get back which strings occur in a document with a smaller id, and cut.
 """
@@ -32,6 +32,7 @@ from logloom.llm.shared import block_of, cut, text_blocks
 GRAM = 20
 BLOCK_MB = 8  # text of one block of documents
 _CHUNK = 1 << 20  # bytes looked at in one go
+PIECE = 64  # strings that begin in a piece of the sample
 
 
 def _smooth(a: np.ndarray, width: int, least) -> np.ndarray:
@@ -142,6 +143,18 @@ def _leading(rows: np.ndarray, first: int) -> np.ndarray:
     return np.ascontiguousarray(rows[:, first : first + 8]).view(">u8").ravel().astype(np.uint64)
 
 
+def _range_of(splitters: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many of the sorted (first, second) pairs in ``splitters`` are not after each record's two words."""
+    low, high = (np.searchsorted(splitters[:, 0], first, side=s) for s in ("left", "right"))
+    out = low.copy()
+    tied = np.flatnonzero(low < high)
+    tied = tied[np.argsort(low[tied], kind="stable")]
+    for some in np.split(tied, np.flatnonzero(np.diff(low[tied])) + 1) if len(tied) else ():
+        a, z = low[some[0]], high[some[0]]
+        out[some] += np.searchsorted(splitters[a:z, 1], second[some], side="right")
+    return out
+
+
 def multikey_order(rows: np.ndarray) -> np.ndarray:
     """Order of byte rows: sort by a word of eight bytes, then each run of equal words by the next."""
     n, width = rows.shape
@@ -291,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.minimum.at(records["id"], inverse, owner)
         refs = np.zeros(len(on), _REF)
         refs["doc"], refs["at"], refs["id"] = np.array(b.live, np.int64)[doc] if len(on) else 0, b.at[on] - b.starts[doc] if len(on) else 0, owner
-        goes = np.searchsorted(splitters, _leading(records["bytes"], span), side="right") if len(records) else np.empty(0, np.int64)
+        goes = _range_of(splitters, _leading(records["bytes"], span), _leading(records["bytes"], span + 8)) if len(records) else np.empty(0, np.int64)
         out = {"part": [], "data": [], "refs": []}
         for p in np.unique(goes):
             mine = np.flatnonzero(goes == p)
@@ -374,24 +387,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _splitters(docs: DataFrame, id_col: str, text_col: str, length: int, ranges: int) -> np.ndarray:
-    """Leading words that cut the suffixes into about ``ranges`` even ranges, from
-    the anchors of a hashed sample of documents that grows with ``ranges`` only."""
+    """Leading pairs of words that cut the suffixes into about ``ranges`` even ranges.
+
+    They come from the anchors of short pieces, chosen by their own hash over the
+    bytes of all documents, so the sample grows with ``ranges`` however few or
+    long the documents are.  Where many suffixes share the first word, the
+    second one cuts between them.
+    """
     if ranges == 1:
-        return np.empty(0, np.uint64)
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    per_doc = max(BLOCK_MB * 1_000_000 * ranges / 16 / max(rows.count(), 1), 1.0)
-    part = min(1.0, 64 * ranges / per_doc / max(rows.count(), 1))
+        return np.empty((0, 2), np.uint64)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.octet_length("t") >= length)
+    pieces = rows.agg(F.sum(F.floor((F.octet_length("t") - length) / PIECE) + 1)).first()[0] or 0
+    limit = np.uint64(int(min(1.0, 16 * ranges / max(pieces, 1)) * ((1 << 64) - 1)))
 
     def run(batches):
         for b in batches:
-            words = []
-            for t in b.column(0).to_pylist():
-                x = np.frombuffer(t or b"", np.uint8)
-                at, *_ = _anchors(x, np.array([len(x)]), length)
-                words.append(_leading(x[at[:, None] + np.arange(8)], 0))
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(words) if words else np.empty(0, np.uint64)).view(np.int64))], ["word"])
-
-    chosen = F.pmod(F.xxhash64("id", F.lit("splitters")), F.lit(1 << 30)) < int(part * (1 << 30))
-    words = np.array([r[0] for r in rows.where(chosen).select("t").mapInArrow(run, "word long").collect()], np.int64).view(np.uint64)
-    words.sort()
-    return np.unique(words[np.arange(1, ranges) * len(words) // ranges]) if len(words) else np.empty(0, np.uint64)
+            found = [np.empty((0, 2), np.uint64)]
+            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
+                n = (len(t.as_buffer()) - length) // PIECE + 1
+                h = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(key % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                for at in (np.flatnonzero(h ^ h >> np.uint64(31) <= limit) * PIECE).tolist():
+                    x = np.frombuffer(t.as_buffer(), np.uint8)[at : at + PIECE + length - 1]
+                    anchors, *_ = _anchors(x, np.array([len(x)]), length)
+                    grams = x[anchors[:, None] + np.arange(16)]
+                    found.append(np.stack([_leading(grams, 0), _leading(grams, 8)], 1))
+            words = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1])], ["first", "second"])
+
+    sample = rows.select(F.xxhash64("id", "t", F.lit("splitters")).alias("key"), "t").mapInArrow(run, "first long, second long").collect()
+    words = np.array([tuple(r) for r in sample], np.int64).reshape(-1, 2).view(np.uint64)
+    words = words[np.lexsort((words[:, 1], words[:, 0]))]
+    return np.unique(words[np.arange(1, ranges) * len(words) // ranges], axis=0) if len(words) else np.empty((0, 2), np.uint64)

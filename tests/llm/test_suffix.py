@@ -86,3 +86,22 @@ def test_multikey_order():
     rows = rng.integers(0, 2, (500, 21)).astype(np.uint8)
     got = rows[suffix.multikey_order(rows)]
     assert [bytes(r) for r in got] == sorted(bytes(r) for r in rows)
+
+
+def test_splitters_of_few_long_documents(spark):
+    """However few documents there are, the ranges are even; equal first words are cut by the second."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["commonly", "w"]) + f" {rng.randrange(10**9)}" for _ in range(20_000))) for i in range(3)]
+    docs.append((3, "same head" * 20 + "".join(f"same head {rng.randrange(10**9):09d}" for _ in range(20_000))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    splitters = suffix._splitters(df, "doc_id", "text", 50, 16)
+    rows = []
+    for _, t in docs:
+        x = np.frombuffer(t.encode(), np.uint8)
+        at = suffix._anchors(x, np.array([len(x)]), 50)[0]
+        rows.append(x[at[:, None] + np.arange(16)])
+    rows = np.concatenate(rows)
+    goes = suffix._range_of(splitters, suffix._leading(rows, 0), suffix._leading(rows, 8))
+    keys, pairs = [bytes(r) for r in rows], [s.astype(">u8").tobytes() for s in splitters]
+    assert goes.tolist() == [sum(p <= k for p in pairs) for k in keys]
+    assert len(splitters) == 15 and np.bincount(goes).max() < 2 * len(rows) / 16

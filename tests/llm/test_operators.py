@@ -281,6 +281,22 @@ def test_languages(spark):
     assert langid.predict(odd.limit(0), filters).count() == 0
 
 
+def test_languages_of_many_characters(spark):
+    """Texts over thousands of characters are known, and no stage takes them for noise."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    say = lambda first, n, words: "".join(chr(first + int(i)) for i in (rng.zipf(1.2, 4 * words) * 7919 % n)[:words])
+    latin = [(r.doc_id, r.text, r.lang, "s") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    wide = [(10_000 + i, say(*((0x4E00, 6000), (0xAC00, 5000))[i % 2], 150), ("zh", "ko")[i % 2], "s") for i in range(400)]
+    df = documents(spark, latin + wide)
+    filters = langid.learn(df, langid.split_of("doc_id", 4) != 2)
+    out = langid.predict(df.where(langid.split_of("doc_id", 4) == 2), filters).where("doc_id >= 10000").collect()
+    assert len(out) > 50 and all(r.lang == r.lang_pred and r.score > 0.3 for r in out)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, df, SF).collect()}
+    assert kept == {d[0] for d in latin + wide}
+
+
 # --- 9: urls --------------------------------------------------------------------------
 
 

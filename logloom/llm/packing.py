@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate, filterfalse
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,92 +11,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.shared import cut
+from logloom.llm.tokens import ids_of
 
 CAPACITY = 4096
 UNIT = 64  # tokens; lengths are told apart in units, what is left over is a tail
 UNITS = CAPACITY // UNIT
 SLICE_BITS = 14  # rows of one slice: at most 2 ** 14
-_WORDS, _PARTS = 220_000, 100_000  # words, and parts of words, of one generation whose ids a Python worker remembers
-
-
-class _Remembered:
-    """A table of ids in two generations: when the younger is full the older is forgotten."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, keys: set[str], make) -> None:
-        """Have all ``keys`` in the younger generation; ``make(list)`` gives what is in neither."""
-        if len(self.young) + len(keys) > self.most:
-            self.young, self.old = {}, self.young
-        missing = list(filterfalse(self.young.__contains__, keys))
-        self.young.update((k, self.old[k]) for k in filter(self.old.__contains__, missing))
-        new = list(filterfalse(self.young.__contains__, missing))
-        self.young.update(zip(new, make(new)))
-
-
-def _encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes.
-
-    No token of this tokenizer spans white space, so ids are looked up word by
-    word, and of a word of plain letters with signs after it, both are encoded
-    apart and the letters in lower case, as the tokenizer does itself.  Texts
-    with a control sign that only Python counts as white space, or with a
-    special token's text, are encoded as a whole.  What a Python worker has
-    encoded it remembers for its next tasks, on the tokenizers' module, as
-    functions that travel by value have none of their own.
-    """
-    import os
-    import re
-    from array import array
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_logloom", {})
-    if path not in kept:
-        kept[path] = (tokenizers.Tokenizer.from_file(path), _Remembered(_WORDS), _Remembered(_PARTS))
-    tok, words_known, parts_known = kept[path]
-    odd = [*"\x1c\x1d\x1e\x1f", *(t.content for t in tok.get_added_tokens_decoder().values())]
-    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-
-    def encoded(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def spelled(words: list[str]) -> list[bytes]:
-        parts = [(m[1].lower(), m[2]) if (m := plain(w)) else (w, "") for w in words]
-        parts_known.get({p for two in parts for p in two}, encoded)
-        known = parts_known.young
-        return [known[a] + known[b] for a, b in parts]
-
-    def encode(text: str) -> bytes:
-        if any(x in text for x in odd):
-            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
-        words = text.split()
-        known = words_known.young
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            words_known.get(set(words), spelled)
-        known = words_known.young
-        return b"".join([known[w] for w in words])
-
-    return encode
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end: int) -> DataFrame:
     """Per row: length in tokens, a crc32 for every whole unit, and the ids of the tail."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        encode, last = _encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encode, last = ids_of(tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             n, crcs, tails = [], [], []
-            for text in b.column(1):
-                ids = encode(text.as_py() or "") + last
+            for found in encode(b.column(1).to_pylist()):
+                ids = found.astype("<u4").tobytes() + last
                 whole = len(ids) // (4 * UNIT)
                 view = memoryview(ids)
                 n.append(len(ids) // 4)

@@ -55,18 +55,14 @@ def lower_ascii(c: Column) -> Column:
 _BASE = 0x9E3779B97F4A7C15
 
 
-def token_hashes(x: np.ndarray, tables: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a byte array, and where they begin and end.
+def span_hashes(x: np.ndarray, begin: np.ndarray, end: np.ndarray, tables: dict) -> np.ndarray:
+    """64-bit hashes of the spans ``[begin, end)`` of a byte array.
 
-    Words are what stands between ASCII white space.  The hash is a polynomial
-    in the mixed bytes, taken as a difference of two running sums, so the work
-    is a few passes over the array however many words there are.  ``tables``
-    keeps the powers from one call to the next.
+    The hash is a polynomial in the mixed bytes, taken as a difference of two
+    running sums, so the work is a few passes over the array however many spans
+    there are.  ``tables`` keeps the powers from one call to the next.
     """
-    n, tables = len(x), {} if tables is None else tables
-    gap = (x == 32) | ((x >= 9) & (x <= 13))
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    n = len(x)
     if len(tables.get("power", ())) <= n:
         code = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
         code ^= code >> np.uint64(29)
@@ -81,4 +77,30 @@ def token_hashes(x: np.ndarray, tables: dict | None = None) -> tuple[np.ndarray,
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    return h, begin, end
+    return h
+
+
+def spans(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the longest stretches without a gap begin and end."""
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def token_hashes(x: np.ndarray, tables: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a byte array, and where they begin and end.
+
+    Words are what stands between ASCII white space.
+    """
+    begin, end = spans((x == 32) | ((x >= 9) & (x <= 13)))
+    return span_hashes(x, begin, end, {} if tables is None else tables), begin, end
+
+
+def chunks(sizes: list[int], most: int):
+    """``(first, last)`` of neighbouring texts of ``most`` bytes together, or one longer text."""
+    at = 0
+    while at < len(sizes):
+        first, size = at, 0
+        while at < len(sizes) and (at == first or size + sizes[at] <= most):
+            size += sizes[at]
+            at += 1
+        yield first, at

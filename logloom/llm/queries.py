@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import html, langid, maxent, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
+from logloom.llm import binpack, html, langid, maxent, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
 from logloom.llm.urlfilter import Rule
 
 #: Target shares of the sources; all others share the rest equally.
@@ -74,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent": op1_maxent,
     "op2_near_vectors": op2_near_vectors,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op13_best_fit": op13_best_fit,
 }
 ORACLES: dict[str, str] = {
     "op2_near_vectors": pivot_join.SQL,

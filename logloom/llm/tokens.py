@@ -12,7 +12,7 @@ from logloom.llm.shared import chunks, span_hashes, spans
 SLOT_BITS = 20  # units whose ids a Python worker remembers: at most 2 ** 20
 POOL = 1 << 24  # ids of remembered units; when it is full, all are forgotten
 LONGEST = 64  # bytes of a unit that is remembered
-CHUNK = 1 << 22  # bytes looked up at once
+CHUNK = 1 << 20  # bytes looked up at once
 GAP, LETTER, SIGN, OTHER = range(4)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import binpack, html, langid, maxent, maxsketch, mixing, packing, pivot_join, simhash, suffix, topk, urlfilter
+from logloom.llm import binpack, html, langid, maxent, maxsketch, mixing, packing, pivot_join, runs, simhash, suffix, topk, urlfilter
 from logloom.llm.urlfilter import Rule
 
 #: Target shares of the sources; all others share the rest equally.
@@ -74,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_read(spark, sf_dir, "documents"))
+
+
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxsketch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_runs": op11_runs,
     "op12_ranked": op12_ranked,
     "op13_best_fit": op13_best_fit,
 }

@@ -262,6 +262,23 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_without_ids_and_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_UNFOLD", 70)
+    some = [(None, f"t{i}", "en", "a") for i in range(1000)] + [(7, f"u{i}", "en", "b") for i in range(1000)] + [(8, "same", "en", "c")] * 1000 + [(None, None, None, None)] * 500 + [(i, "", "", "d") for i in range(500)]
+    df = documents(spark, some).repartition(5)
+    got = df.transform(mixing.mix, {"a": 0.25}).collect()
+    for src, n in (("a", 1000), ("b", 750), ("c", 750), (None, 750), ("d", 750)):
+        own = [r for r in got if r.source == src]
+        assert len(own) == pytest.approx(n, rel=0.12) and len({r.shuffle_key for r in own}) == len(own)
+    import duckdb
+
+    documents_ = df.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents_)
+    want = con.execute(mixing.mix_sql({"a": 0.25})).fetchall()
+    assert rows(mixing.mix(df, {"a": 0.25})) == sorted(want, key=repr)
+
+
 # --- 8: languages --------------------------------------------------------------------
 
 

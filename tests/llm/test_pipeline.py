@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 from logloom.llm import queries
-from tests.llm.test_operators import check_packing, documents, least_reachable, slow_fingerprint
+from tests.llm.test_operators import check_packing, documents, least_reachable
+from tests.llm.test_nearcopies import similar
 from tests.llm.test_suffix import brute
 
 SF = "/root/testdata/sf0.001"
@@ -34,11 +35,10 @@ def test_language(tables):
     assert gone == {9001, 9002, 9003}
 
 
-def test_simhash(tables):
-    before = {r.doc_id: slow_fingerprint(r.text) for r in tables["language"][1]}
-    ids = sorted(before)
-    comp = least_reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (before[a] ^ before[b]).bit_count() <= 2])
-    assert {r.doc_id for r in tables["simhash"][1]} == {i for i in ids if comp[i] == i}
+def test_near_copies(tables):
+    docs = [(r.doc_id, r.text) for r in tables["language"][1]]
+    root = least_reachable([i for i, _ in docs], similar(docs))
+    assert {r.doc_id for r in tables["simhash"][1]} == {i for i in root if root[i] == i}
 
 
 def test_repeats(tables):

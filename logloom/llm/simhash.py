@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.shared import cut
 
-SEGMENT_BITS = 16
+SEGMENTS, SEGMENT_BITS = 4, 16
+RADIUS = 2
 _CHUNK = 65536
 
 
@@ -52,26 +53,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, fp long")
 
 
-def _ball(fp: Column) -> Column:
-    """All fingerprints within one bit, segment by segment, and ``fp`` itself."""
-    segments = [F.transform(F.sequence(F.lit(s), F.lit(s + SEGMENT_BITS - 1)), lambda b: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))) for s in range(0, 64, SEGMENT_BITS)]
-    return F.concat(F.array(fp), *segments)
+def _tables(fp: Column) -> Column:
+    """The tables a fingerprint stands in: for each segment the bits outside it."""
+    return F.array(*[F.struct(F.lit(s).alias("table"), fp.bitwiseAND(F.lit(_outside(s))).alias("key")) for s in range(SEGMENTS)])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints that join all within 2 bits.
+def _probes(fp: Column) -> Column:
+    """Where to look for its neighbours: in each table its own key, and the ball of one bit in the segments after the table's."""
+    found = [_tables(fp)]
+    for s in range(SEGMENTS - 1):
+        key, bits = fp.bitwiseAND(F.lit(_outside(s))), F.sequence(F.lit((s + 1) * SEGMENT_BITS), F.lit(63))
+        found.append(F.transform(bits, lambda bit: F.struct(F.lit(s).alias("table"), key.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("key"))))
+    return F.concat(*found)
+
+
+def _outside(segment: int) -> int:
+    bits = ((1 << 64) - 1) ^ (((1 << SEGMENT_BITS) - 1) << (segment * SEGMENT_BITS))
+    return bits - (1 << 64) if bits >> 63 else bits
 
-    Both sides enumerate the radius-1 ball inside each segment and look it up in
-    one table of fingerprints.  Two of them differ in at most 2 bits exactly when
-    their balls share an entry, and an entry holds at most 65 fingerprints, so
-    no bucket can grow: 65 rows per fingerprint, whatever the group sizes.
-    Within an entry all link to the smallest; the complete distance is verified.
+
+def links(fps: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs of distinct fingerprints that differ in 1 or 2 bits.
+
+    Table ``s`` is keyed by the 48 bits outside segment ``s``.  Let ``s`` be the
+    first segment in which two fingerprints differ: outside it they differ in no
+    bit, or in one bit of a later segment.  So each fingerprint looks up, in table
+    ``s``, its own key and those with one bit of a later segment flipped, 100 keys
+    in all, and meets every pair there; the complete distance decides, and the pair
+    counts only in the table of that first segment, so it is returned once.  A key leaves 16 bits open, so no bucket outgrows 65,536 fingerprints,
+    and no fingerprint has more than 2,080 links.
     """
-    probes = fps.select("fp", F.explode(_ball(F.col("fp"))).alias("entry"))
-    from pyspark.sql import Window
+    stored = fps.select(F.col("fp").alias("b"), F.inline(_tables(F.col("fp"))))
+    asked = fps.select(F.col("fp").alias("a"), F.inline(_probes(F.col("fp")))).withColumnsRenamed({"table": "t", "key": "k"})
+    met = asked.join(stored, (F.col("t") == F.col("table")) & (F.col("k") == F.col("key")))
+    unlike = F.col("a").bitwiseXOR(F.col("b"))
+    in_segment = F.call_function("shiftrightunsigned", unlike, F.col("t") * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
+    return met.where((F.col("a") > F.col("b")) & (F.bit_count(unlike) <= RADIUS) & (in_segment != 0)).select("a", "b")
 
-    met = probes.withColumn("least", F.min("fp").over(Window.partitionBy("entry"))).where("fp > least")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+
+def near_pairs(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(a, b)``: ids that join all whose fingerprints are equal or within 2 bits."""
+    rows = cut(fingerprints(docs, id_col, text_col, size))
+    first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    same = rows.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    side = lambda k: first.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_id"))
+    near = links(first.select("fp")).join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp"))
+    return same.unionByName(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
@@ -90,16 +117,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(classes, F.col("fp") == F.col("class")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id.
-
-    Rows that repeat an id are one document and stay together; rows without an
-    id can't be told apart and all stay.
-    """
-    groups = simhash_groups(docs, id_col, text_col)
-    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_gone"), "left_anti")
-
-
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -47,29 +47,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = [_fingerprint(t, size, seed) for t in b.column(1).to_pylist()]
+            fps = [_fingerprint(t.as_py(), size, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {kind}, fp long")
 
 
-def _tables(fp: Column) -> Column:
-    """The tables a fingerprint stands in: for each segment the bits outside it."""
-    return F.array(*[F.struct(F.lit(s).alias("table"), fp.bitwiseAND(F.lit(_outside(s))).alias("key")) for s in range(SEGMENTS)])
+def _looked_up() -> list[tuple[int, int, int]]:
+    """(table, bits that count, bit that is flipped) of the keys a fingerprint looks up.
 
+    In each table its own key, and the ball of one bit in the segments after the table's.
+    """
+    own = [(s, _outside(s), 0) for s in range(SEGMENTS)]
+    return own + [(s, _outside(s), _signed(1 << bit)) for s in range(SEGMENTS) for bit in range((s + 1) * SEGMENT_BITS, 64)]
+
+
+def _keys(fps: DataFrame, name: str, rows: list[tuple[int, int, int]]) -> DataFrame:
+    """``(name, table, key)``: a row per fingerprint and entry of ``rows``, by plain arithmetic on numbers."""
+    number = fps.select(F.col("fp").alias(name), F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("i"))
+    table, mask, flip = (F.get(F.array(*[F.lit(x) for x in column]).cast(f"array<{kind}>"), F.col("i")) for column, kind in zip(zip(*rows), ("int", "long", "long")))
+    return number.select(name, table.alias("table"), F.col(name).bitwiseAND(mask).bitwiseXOR(flip).alias("key"))
 
-def _probes(fp: Column) -> Column:
-    """Where to look for its neighbours: in each table its own key, and the ball of one bit in the segments after the table's."""
-    found = [_tables(fp)]
-    for s in range(SEGMENTS - 1):
-        key, bits = fp.bitwiseAND(F.lit(_outside(s))), F.sequence(F.lit((s + 1) * SEGMENT_BITS), F.lit(63))
-        found.append(F.transform(bits, lambda bit: F.struct(F.lit(s).alias("table"), key.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("key"))))
-    return F.concat(*found)
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def _outside(segment: int) -> int:
     bits = ((1 << 64) - 1) ^ (((1 << SEGMENT_BITS) - 1) << (segment * SEGMENT_BITS))
-    return bits - (1 << 64) if bits >> 63 else bits
+    return _signed(bits)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -83,8 +89,9 @@ def links(fps: DataFrame) -> DataFrame:
     counts only in the table of that first segment, so it is returned once.  A key leaves 16 bits open, so no bucket outgrows 65,536 fingerprints,
     and no fingerprint has more than 2,080 links.
     """
-    stored = fps.select(F.col("fp").alias("b"), F.inline(_tables(F.col("fp"))))
-    asked = fps.select(F.col("fp").alias("a"), F.inline(_probes(F.col("fp")))).withColumnsRenamed({"table": "t", "key": "k"})
+    keys = _looked_up()
+    stored = _keys(fps, "b", keys[:SEGMENTS])
+    asked = _keys(fps, "a", keys).withColumnsRenamed({"table": "t", "key": "k"})
     met = asked.join(stored, (F.col("t") == F.col("table")) & (F.col("k") == F.col("key")))
     unlike = F.col("a").bitwiseXOR(F.col("b"))
     in_segment = F.call_function("shiftrightunsigned", unlike, F.col("t") * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)

@@ -86,8 +86,9 @@ def links(fps: DataFrame) -> DataFrame:
     bit, or in one bit of a later segment.  So each fingerprint looks up, in table
     ``s``, its own key and those with one bit of a later segment flipped, 100 keys
     in all, and meets every pair there; the complete distance decides, and the pair
-    counts only in the table of that first segment, so it is returned once.  A key leaves 16 bits open, so no bucket outgrows 65,536 fingerprints,
-    and no fingerprint has more than 2,080 links.
+    counts only in the table of that first segment, so it is returned once.  A key
+    leaves 16 bits open, so no bucket outgrows 65,536 fingerprints, and no
+    fingerprint has more than 2,080 links.
     """
     keys = _looked_up()
     stored = _keys(fps, "b", keys[:SEGMENTS])
@@ -99,8 +100,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(a, b)``: ids that join all whose fingerprints are equal or within 2 bits."""
-    rows = cut(fingerprints(docs, id_col, text_col, size))
+    """``(a, b)``: ids that join all whose fingerprints are equal or within 2 bits; rows of one id are one."""
+    rows = cut(fingerprints(docs, id_col, text_col, size).distinct())
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     same = rows.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     side = lambda k: first.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_id"))

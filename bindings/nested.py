@@ -11,10 +11,10 @@ from logloom.operators import slices as sl
 
 # Two slices per line item: "#1" stands first in the text, so it is number 0.
 ROWS = """WITH s AS (
-SELECT l_orderkey AS spread_id, l_linenumber AS stripe_id, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'R' AS is_null, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 7 AS ink, l_partkey % 500 AS dev FROM lineitem),
+SELECT l_orderkey AS spread_id, l_linenumber AS stripe_id, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'R' AS is_null, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 7 AS ink, l_partkey % 500 AS dev FROM lineitem),
 r AS (
-SELECT spread_id, stripe_id, seq, is_null, q, 0 AS group_index, 0 AS slice_index, 1 AS slice_id, ink AS ink_id, true AS station_active, 'HV_TO_PRINT' AS hv_target, dev AS v_developer FROM s UNION ALL
-SELECT spread_id, stripe_id, seq, is_null, q, 0, 1, 0, 0, false, 'HV_TO_NULL', 0 FROM s)
+SELECT spread_id, stripe_id, ts, seq, is_null, q, 0 AS group_index, 0 AS slice_index, 1 AS slice_id, ink AS ink_id, true AS station_active, 'HV_TO_PRINT' AS hv_target, dev AS v_developer FROM s UNION ALL
+SELECT spread_id, stripe_id, ts, seq, is_null, q, 0, 1, 0, 0, false, 'HV_TO_NULL', 0 FROM s)
 """
 
 
@@ -54,16 +54,17 @@ def f17(spark, d):
     return sl.spread_range(rows, 100, 900).select("seq", "slice_index").unionByName(sl.spread_range(rows, equals=5).select("seq", "slice_index"))
 
 
-@query("a10_slice_stats", ROWS + """, f AS (SELECT spread_id, stripe_id, count(*) AS n, count(*) FILTER (NOT is_null) AS p, count(*) FILTER (is_null) AS z, min(q) AS q1 FROM r GROUP BY ALL)
-SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS n_print, CAST(sum(z) AS BIGINT) AS n_null FROM f""")
+@query("a10_slice_stats", ROWS + """, f AS (SELECT spread_id, stripe_id, count(*) AS n, count(*) FILTER (NOT is_null) AS p, count(*) FILTER (is_null) AS z, arg_min(q, ROW(ts, seq, group_index, slice_index)) AS q1 FROM r GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS n_print, CAST(sum(z) AS BIGINT) AS n_null, sum(q1) / 1000.0 AS total_m FROM f""")
 def a10(spark, d):
-    return sl.slice_stats(_rows(spark, d)).drop("total_m")
+    return sl.slice_stats(_rows(spark, d))
 
 
 @query("p15_compact_rows", """
-SELECT event_id AS "ID", '{"user_id":' || CAST(user_id AS VARCHAR) || ',"event_type":"' || event_type || '","props":{"k":' || CAST(props::JSON->>'$.k' AS VARCHAR) || '}}' AS "DATA" FROM events""")
+SELECT event_id AS "ID", '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || CASE WHEN typeof(ts) = 'TIMESTAMP' THEN '' ELSE 'Z' END || '","user_id":' || CAST(user_id AS VARCHAR) || ',"event_type":"' || event_type || '","value":' || CAST(value AS VARCHAR)
+  || ',"props":{"k":' || CAST(props::JSON->>'$.k' AS VARCHAR) || '}}' AS "DATA" FROM events""")
 def p15(spark, d):
-    return jsonx.compact_rows(table(spark, d, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+    return jsonx.compact_rows(table(spark, d, "events"), "event_id")
 
 
 def _json_events(spark, d):
@@ -73,32 +74,51 @@ def _json_events(spark, d):
         F.lit('{"a":{"b":'), n, F.lit(',"c":"'), "event_type", F.lit('"},"list":[1,{"x":'), n, F.lit('}],"few":[1,2,3,4,5,6],"none":null'),
         F.when(F.col("event_id") % 2 == 0, F.lit(',"even":true')).otherwise(F.lit("")), F.lit("}"),
     )
-    return e.select("event_type", "event_id", "props", text.alias("doc"))
+    return e.withColumn("doc", text)
 
 
-@query("p16_flatten_json", """
-SELECT event_type, event_id, CAST(event_id AS VARCHAR) AS a_b, event_type AS a_c, '1' AS list_0, CAST(event_id AS VARCHAR) AS list_1_x, '1' AS few_0, '2' AS few_1, '3' AS few_2, '4' AS few_3, '5' AS few_4, '6' AS few_5,
+PLAIN = "event_id, ts, user_id, event_type, value"
+LEAVES = ["$.a.b", "$.a.c", "$.list[0]", "$.list[1].x", *[f"$.few[{i}]" for i in range(6)], "$.even"]
+
+
+@query("p16_flatten_json", f"""
+SELECT {PLAIN}, CAST(event_id AS VARCHAR) AS a_b, event_type AS a_c, '1' AS list_0, CAST(event_id AS VARCHAR) AS list_1_x, '1' AS few_0, '2' AS few_1, '3' AS few_2, '4' AS few_3, '5' AS few_4, '6' AS few_5,
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS even, props::JSON->>'$.k' AS k FROM events""")
 def p16(spark, d):
-    return jsonx.flatten_json(_json_events(spark, d)).withColumn("even", F.coalesce("even", F.lit("")))
+    paths = [*[("doc", p) for p in LEAVES], ("props", "$.k")]
+    return jsonx.flatten_json(_json_events(spark, d), paths).withColumn("even", F.coalesce("even", F.lit("")))
+
+
+@query("p16_json_long", """
+SELECT event_id, col, path, value FROM (
+  SELECT event_id, 'props' AS col, 'k' AS path, props::JSON->>'$.k' AS value FROM events
+  UNION ALL SELECT event_id, 'doc', unnest(['a_b', 'a_c', 'list_0', 'list_1_x', 'few_0', 'few_1', 'few_2', 'few_3', 'few_4', 'few_5', 'none']),
+    unnest([CAST(event_id AS VARCHAR), event_type, '1', CAST(event_id AS VARCHAR), '1', '2', '3', '4', '5', '6', '']) FROM events
+  UNION ALL SELECT event_id, 'doc', 'even', 'true' FROM events WHERE event_id % 2 = 0)""")
+def p16_long(spark, d):
+    rows = jsonx.json_long(_json_events(spark, d), keys=["event_id"])
+    return rows.select("event_id", "col", "path", F.coalesce("value", F.lit("")).alias("value"))
 
 
-@query("p17_expand_json", """
-SELECT event_type, event_id, '{' || chr(10) || '  "b": ' || CAST(event_id AS VARCHAR) || ',' || chr(10) || '  "c": "' || event_type || '"' || chr(10) || '}' AS a, '[1, {"x": ' || CAST(event_id AS VARCHAR) || '}]' AS list, '[1, 2, 3, 4, 5, 6]' AS few, 'null' AS none,
+@query("p17_expand_json", f"""
+SELECT {PLAIN}, '{{' || chr(10) || '  "b": ' || CAST(event_id AS VARCHAR) || ',' || chr(10) || '  "c": "' || event_type || '"' || chr(10) || '}}' AS a, '[1, {{"x": ' || CAST(event_id AS VARCHAR) || '}}]' AS list, '[1, 2, 3, 4, 5, 6]' AS few, 'null' AS none,
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS even, props FROM events""")
 def p17(spark, d):
-    return jsonx.expand_json(_json_events(spark, d), ["doc"]).withColumn("even", F.coalesce("even", F.lit("")))
+    paths = [("doc", f"$.{k}") for k in ("a", "list", "few", "none", "even")]
+    return jsonx.expand_json(_json_events(spark, d), paths).withColumn("even", F.coalesce("even", F.lit("")))
 
 
-@query("p18_summary_json", """
-SELECT event_type, event_id, props, CAST(event_id AS VARCHAR) AS "doc.a.b", event_type AS "doc.a.c", '1, {"x": ' || CAST(event_id AS VARCHAR) || '}' AS "doc.list", '1, 2, 3, 4, 5, 6' AS "doc.few", '' AS "doc.none",
+@query("p18_summary_json", f"""
+SELECT {PLAIN}, props, CAST(event_id AS VARCHAR) AS "doc.a.b", event_type AS "doc.a.c", '1, {{"x": ' || CAST(event_id AS VARCHAR) || '}}' AS "doc.list", '1, 2, 3, 4, 5, 6' AS "doc.few", '' AS "doc.none",
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS "doc.even" FROM events""")
 def p18(spark, d):
-    out = jsonx.flatten_json(_json_events(spark, d), ["doc"], mode="summary")
+    out = jsonx.flatten_json(_json_events(spark, d), [("doc", p) for p in ("$.a.b", "$.a.c", "$.list", "$.few", "$.none", "$.even")], mode="summary")
     return out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in ("doc.none", "doc.even")})
 
 
 @query("p16_leaf_paths", """
-SELECT 'props' AS col, 'k' AS path, count(*) AS n_filled FROM events""")
+SELECT 'props' AS col, 'k' AS path, '$["k"]' AS place, count(*) AS n_filled FROM events
+UNION ALL SELECT 'doc', path, place, CASE path WHEN 'even' THEN (SELECT count(*) FROM events WHERE event_id % 2 = 0) WHEN 'none' THEN 0 ELSE (SELECT count(*) FROM events) END
+FROM (SELECT unnest(['a.b', 'a.c', 'list', 'few', 'none', 'even']) AS path, unnest(['$["a"]["b"]', '$["a"]["c"]', '$["list"]', '$["few"]', '$["none"]', '$["even"]']) AS place)""")
 def p16b(spark, d):
-    return jsonx.leaf_paths(table(spark, d, "events"), ["props"])
+    return jsonx.leaf_paths(_json_events(spark, d), ["props", "doc"], "summary")

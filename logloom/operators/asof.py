@@ -1,6 +1,6 @@
 """As-of joins: the record of another log nearest in time.
 
-Both sides are put on one time line (a union), cut into time slices, and each
+Both sides are put on one time line (a union), cut into slices of equal size, and each
 left record looks at the last right record before it and the first one after
 it.  Slices without a right record get theirs from the slice table.  The cost
 is one shuffle of both sides; no pair list is ever built.
@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.timeslice import DEFAULT_WIDTH, SLICE, Grouping, add_slice, epoch_micros
+from logloom.operators.timeslice import SLICE, Grouping, add_slice, epoch_micros
 
 
-def _time_line(left, right, by, ts, seq, cols, left_cols, width):
+def _time_line(left, right, by, ts, seq, cols, left_cols, depth):
     """Union of both sides with ``_l``/``_r`` payloads and carried borders."""
     r_struct = F.struct(F.col(ts).alias("_ts"), *[F.col(c).alias(c) for c in cols])
     l_struct = F.struct(*[F.col(c).alias(c) for c in left_cols])
@@ -34,15 +34,15 @@ def _time_line(left, right, by, ts, seq, cols, left_cols, width):
     )
     line = right_rows.unionByName(left_rows)
     group = Grouping(line, by)
-    line = group.prepare(add_slice(line, "_at", width))
+    line = group.prepare(add_slice(line, by, ("_at", "_side", "_seq"), depth))
     order = [F.col("_at"), F.col("_side"), F.col("_seq")]
     return line, group, order
 
 
-def _asof(left, right, by, ts, seq, cols, width, forward):
+def _asof(left, right, by, ts, seq, cols, depth, forward):
     left = left.withColumn("_left_at", left[ts]) if "_left_at" not in left.columns else left
     left_cols = list(left.columns)
-    line, group, order = _time_line(left, right, by, ts, seq, cols, left_cols, width)
+    line, group, order = _time_line(left, right, by, ts, seq, cols, left_cols, depth)
     place = F.struct("_at", "_seq")
     seen = F.col("_r").isNotNull()
     edges = [F.max_by("_r", F.when(seen, place)).alias("_last")]
@@ -80,11 +80,11 @@ def asof_backward(
     cols: Sequence[str] | None = None,
     prefix: str = "right_",
     how: str = "left",
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """Each left record with the last right record at or before it."""
     cols = list(cols) if cols is not None else [c for c in right.columns if c not in by and c != ts]
-    found, left_cols = _asof(left, right, by, ts, seq, cols, width, forward=False)
+    found, left_cols = _asof(left, right, by, ts, seq, cols, depth, forward=False)
     if how == "inner":
         found = found.where(F.col("_b").isNotNull())
     return found.select(
@@ -106,7 +106,7 @@ def asof_nearest(
     cols: Sequence[str] | None = None,
     prefix: str = "right_",
     how: str = "left",
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """Each left record with the right record nearest in time.
 
@@ -117,7 +117,7 @@ def asof_nearest(
     """
     cols = list(cols) if cols is not None else [c for c in right.columns if c not in by and c != ts]
     shifted = left.withColumn("_left_at", F.col(ts) + F.make_dt_interval(secs=F.lit(offset)))
-    found, left_cols = _asof(shifted, right, by, ts, seq, cols, width, forward=True)
+    found, left_cols = _asof(shifted, right, by, ts, seq, cols, depth, forward=True)
     found = found.withColumns({"_b_ts": F.col("_b._ts"), "_f_ts": F.col("_f._ts")})
     at = epoch_micros(found, "_at")
     back, ahead = at - epoch_micros(found, "_b_ts"), epoch_micros(found, "_f_ts") - at
@@ -147,7 +147,7 @@ def assign_state(
     states: DataFrame,
     by: Sequence[str] = ("session",),
     ts: str = "ts",
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """The one state that holds each point (inner).
 
@@ -155,7 +155,7 @@ def assign_state(
     the very last end is inside.
     """
     starts = states.select(*by, F.col("start_ts").alias(ts), "end_ts", "state", F.col("seq"))
-    hit = asof_backward(points, starts, by, ts, "seq", ["end_ts", "state"], "state_", "inner", width)
+    hit = asof_backward(points, starts, by, ts, "seq", ["end_ts", "state"], "state_", "inner", depth)
     return hit.where(F.col(ts) <= F.col("state_end_ts")).withColumnsRenamed(
         {f"state_{ts}": "state_start_ts", "state_state": "state"}
     )

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.single import attach, join_on
-from logloom.operators.timeslice import SLICE, running_total
 
 STATIONS = range(1, 7)
 MISSING = (-1000.0, -2000.0)
@@ -376,41 +375,77 @@ def cal_stats(df: DataFrame, stations: Iterable[int] = STATIONS) -> DataFrame:
         return F.get(F.transform(F.array(vals), size), F.lit(0))
 
     names = [f"{a} {s}" for a in "YX" for s in stations] + ["Max Y", "Max X"]
-    # Series go by number until the end: numbers group faster than names.  The
-    # values are spread out raw and tested after, which keeps the code small.
+    # Series go by number: numbers group faster than names.  The values are
+    # spread out raw and tested after, which keeps the code small.
     cells = [F.struct(F.lit(i).alias("_i"), _raw(a, s, df).cast("double").alias("v")) for i, (a, s) in enumerate((a, s) for a in "YX" for s in stations)]
     # Missing values stay as nulls: a series without any value still shows.
-    seen = F.when(~F.col("v").isin(*MISSING) & ~F.isnan("v"), F.abs("v"))
-    each = df.select(F.inline(F.array(*cells))).select("_i", seen.alias("v"))
     tops = [F.struct(F.lit(len(cells) + k).alias("_i"), largest(a).alias("v")) for k, a in enumerate("YX")]
-    rows = each.unionByName(df.select(F.inline(F.array(*tops))))
-    # Equal values are counted before the shuffle.  The two values around each
-    # rank are found by running totals over the counted values, spread over
-    # slices of the value, so no task holds all values of a series.
-    counted = rows.groupBy("_i", "v").agg(F.count("*").alias("n"))
-    sized = counted.groupBy("_i").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("_size"))
-    known = counted.where("v is not null").withColumn(SLICE, F.floor(F.log2(F.col("v") + 1) * 64).cast("bigint"))
-    totals = running_total(known, {"_upto": F.col("n")}, ("_i",), ("v",)).select(F.col("_i").alias("_k"), "v", "n", "_upto")
-    placed = totals.join(sized, F.col("_k") == F.col("_i"))
-    picks = []
-    for name, point in (("p95", 0.95), ("p99", 0.99)):
-        rank = F.lit(point) * (F.col("_size") - 1)
-        low = F.min(F.when(F.col("_upto") > F.floor(rank), F.col("v")))
-        high = F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("v")))
-        share = F.max(rank - F.floor(rank))
-        picks.append((low * (1 - share) + high * share).alias(name))
-    quantiles = placed.groupBy("_k").agg(*picks)
-    found = sized.select("_i").join(quantiles, F.col("_i") == F.col("_k"), "left").select("_i", F.array("p95", "p99").alias("p"))
-    series = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i")).alias("series")
-    zero = F.lit(0.0)
-    found = found.select(
-        series, *[F.coalesce(F.get("p", F.lit(i)), zero).alias(n) for i, n in enumerate(("p95", "p99"))]
-    )
-    top = found.where(F.col("series").isin("Max X", "Max Y")).agg(F.max("p95").alias("p95"), F.max("p99").alias("p99"))
-    everything = found.unionByName(top.select(F.lit("Max CPR").alias("series"), "p95", "p99"))
+    seen = F.when(~F.col("v").isin(*MISSING) & ~F.isnan("v"), F.abs("v"))
+    rows = df.select(F.inline(F.array(*cells, *tops))).select("_i", F.when(F.col("_i") < len(cells), seen).otherwise(F.col("v")).alias("v"))
+    points = (0.95, 0.99)
+    found = {i: [x or 0.0 for x in p] for i, p in percentiles(rows, "_i", "v", points).items()}
+    each = [(names[i], *p) for i, p in found.items()]
+    most = [p for name, *p in each if name in ("Max Y", "Max X")]
+    each.append(("Max CPR", *[max((p[k] for p in most), default=None) for k in range(len(points))]))
+    everything = df.sparkSession.createDataFrame(each, "series string, p95 double, p99 double")
     return everything.select("series", _half_even(F.col("p95")).alias("p95"), _half_even(F.col("p99")).alias("p99"))
 
 
+BINS = 1024
+
+
+def percentiles(rows: DataFrame, key: str, value: str, points: Sequence[float]) -> dict[object, list[float | None]]:
+    """Exact, interpolated percentiles of few series of any length, by selection.
+
+    A percentile lies between the values of two ranks.  For each rank an interval
+    of values is known that holds it, at first the whole series.  A pass counts the
+    values of each interval in ``BINS`` bins, combined before the shuffle, and the
+    bin that holds the rank, cut to its least and greatest value, is the next
+    interval.  It ends with one or two values; no value is ever shuffled, whatever
+    their distribution, and the driver sees ``BINS`` rows per open interval.
+    A series without values has null percentiles.
+    """
+    sized = rows.groupBy(F.col(key).alias("k")).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+    wanted = {}  # (series, rank) -> (values in the interval, least, greatest, rank in it)
+    for r in sized:
+        for p in points if r["n"] else ():
+            for rank in {math.floor(p * (r["n"] - 1)), math.ceil(p * (r["n"] - 1))}:
+                wanted[r["k"], rank] = (r["n"], r["lo"], r["hi"], rank)
+    while True:
+        open_ = {(k, lo, hi): n for (k, _), (n, lo, hi, _) in wanted.items() if n > 2 and lo < hi}
+        if not open_:
+            break
+        spans = [(j, k, lo, hi, lo > 0 and hi > 1e6 * lo) for j, (k, lo, hi) in enumerate(open_)]
+        v = F.col(value)
+        inside = [F.when((F.col(key) == F.lit(k)) & (v >= lo) & (v <= hi), F.lit(j)) for j, k, lo, hi, _ in spans]
+        share = F.lit(None).cast("double")
+        for j, _, lo, hi, wide in spans:
+            part = (F.log(v) - math.log(lo)) / (math.log(hi) - math.log(lo)) if wide else (v - lo) / (hi - lo)
+            share = F.when(F.col("_j") == j, part).otherwise(share)
+        top = F.coalesce(*[F.when(F.col("_j") == j, F.lit(hi)) for j, _, _, hi, _ in spans])
+        bin_ = F.when(v == top, BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        placed = rows.withColumn("_j", F.coalesce(*inside)).where(F.col("_j").isNotNull()).select("_j", v.alias("v"), bin_.alias("bin"))
+        counted = placed.groupBy("_j", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        bins = {}
+        for r in sorted(counted, key=lambda r: (r["_j"], r["bin"])):
+            bins.setdefault(spans[r["_j"]][1:4], []).append(r)
+        for (k, rank), (_, lo, hi, at) in list(wanted.items()):
+            for r in bins.get((k, lo, hi), ()):
+                if at < r["n"]:
+                    wanted[k, rank] = (r["n"], r["lo"], r["hi"], at)
+                    break
+                at -= r["n"]
+    value_at = {kr: lo if at == 0 else hi for kr, (_, lo, hi, at) in wanted.items()}
+    out = {}
+    for r in sized:
+        out[r["k"]] = []
+        for p in points:
+            rank = p * (r["n"] - 1)
+            low, high, part = math.floor(rank), math.ceil(rank), rank - math.floor(rank)
+            out[r["k"]].append(value_at[r["k"], low] * (1 - part) + value_at[r["k"], high] * part if r["n"] else None)
+    return out
+
+
 def cal_offset_skew(df: DataFrame, axis: str = "Y", stations: Iterable[int] = STATIONS) -> DataFrame:
     """Mean y and x (rounded) and slope of the means by x, per station."""
     stations = list(stations)

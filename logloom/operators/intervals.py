@@ -87,7 +87,7 @@ def points_inside(
     ts: str = "ts",
     start: str = "start_ts",
     end: str = "end_ts",
-    width: float = 60.0,
+    depth: int | None = None,
 ) -> DataFrame:
     """Points that lie in at least one interval (inclusive), each once.
 
@@ -95,17 +95,18 @@ def points_inside(
     have ended before it.  No pairs are formed, however many intervals overlap.
     """
     payload = F.struct(*points.columns)
-    dots = points.select(*by, F.col(ts).alias("at"), F.lit(1).alias("edge"), payload.alias("_row"))
+    tie = F.xxhash64(*points.columns).alias("tie")  # points of one time may lie in several slices
+    dots = points.select(*by, F.col(ts).alias("at"), F.lit(1).alias("edge"), tie, payload.alias("_row"))
     dots = dots.where(F.col("at").isNotNull())
     borders = F.array(
         F.struct(F.col(start).alias("at"), F.lit(0).alias("edge")),
         F.struct(F.col(end).alias("at"), F.lit(2).alias("edge")),
     )
     edges = intervals.where(F.col(start) <= F.col(end)).select(
-        *by, F.inline(borders), F.lit(None).cast(dots.schema["_row"].dataType).alias("_row")
+        *by, F.inline(borders), F.xxhash64(start, end).alias("tie"), F.lit(None).cast(dots.schema["_row"].dataType).alias("_row")
     )
-    depth = F.when(F.col("edge") == 0, 1).when(F.col("edge") == 2, -1).otherwise(0)
-    swept = running_total(dots.unionByName(edges), {"_open": depth}, by, ("at", "edge"), width)
+    change = F.when(F.col("edge") == 0, 1).when(F.col("edge") == 2, -1).otherwise(0)
+    swept = running_total(dots.unionByName(edges), {"_open": change}, by, ("at", "edge", "tie"), depth)
     return swept.where((F.col("edge") == 1) & (F.col("_open") > 0)).select("_row.*")
 
 
@@ -117,7 +118,7 @@ def count_in_intervals(
     start: str = "start_ts",
     end: str = "end_ts",
     name: str = "n_points",
-    width: float = 60.0,
+    depth: int | None = None,
 ) -> DataFrame:
     """Number of points in each interval (inclusive), without listing pairs.
 
@@ -129,13 +130,13 @@ def count_in_intervals(
         F.struct(F.col(start).alias("at"), F.lit(0).alias("edge")),
         F.struct(F.col(end).alias("at"), F.lit(2).alias("edge")),
     )
-    edges = marked.select(*by, F.inline(ends), F.col("_row"))
-    dots = points.select(
-        *by, F.col(ts).alias("at"), F.lit(1).alias("edge"), F.lit(None).cast(edges.schema["_row"].dataType).alias("_row")
-    ).where(F.col("at").isNotNull())
+    edges = marked.select(*by, F.inline(ends), F.xxhash64(*intervals.columns).alias("tie"), F.col("_row"), F.lit(0).cast("bigint").alias("_points"))
+    # Points of one time are counted before the shuffle; they are one row.
+    dots = points.where(F.col(ts).isNotNull()).groupBy(*by, F.col(ts).alias("at")).agg(F.count("*").alias("_points"))
+    dots = dots.select(*by, "at", F.lit(1).alias("edge"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast(edges.schema["_row"].dataType).alias("_row"), "_points")
     line = edges.unionByName(dots)
     # Start edges sort before points of the same time, end edges after them.
-    counted = running_total(line, {"_n": (F.col("edge") == 1).cast("int")}, by, ("at", "edge"), width)
+    counted = running_total(line, {"_n": F.col("_points")}, by, ("at", "edge", "tie"), depth)
     at_end = F.max(F.when(F.col("edge") == 2, F.col("_n")))
     at_start = F.max(F.when(F.col("edge") == 0, F.col("_n")))
     sides = counted.where(F.col("_row").isNotNull()).groupBy("_row").agg(

@@ -1,20 +1,26 @@
-"""Tables with JSON text in their cells: compact, expand, flatten."""
+"""Tables with JSON text in their cells: compact, expand, flatten.
+
+Cells are parsed once, to variant values, and taken apart inside the engine.
+The long form (:func:`json_long`) holds every leaf of a table however many paths
+it has; the wide forms take the paths that are to become columns.  Numbers are
+shown as the engine writes them, members of nested objects in order of their
+names, texts as they are.  A cell that is no JSON, or names a member twice, has
+no leaves.
+"""
 
 from __future__ import annotations
 
-import json
+import re
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COLUMNS = 2000
 # Plain columns that come first in a flattened table.
 FIRST_COLUMNS = ("id", "time", "timestamp", "datetime", "date")
-LEAVES = T.MapType(T.StringType(), T.StringType())
+DEEPEST = 1000  # levels of JSON that can be parsed
 
 
 def looks_json(c: Column | str) -> Column:
@@ -39,97 +45,54 @@ def compact_rows(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("ID"), data.alias("DATA"))
 
 
-def _text(value) -> str | None:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return value
-
-
-def _leaves(value, path: str, out: dict) -> dict:
-    """Every leaf with its path; array places as ``_i``."""
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            _leaves(inner, f"{path}_{key}" if path else key, out)
-    elif isinstance(value, list):
-        for i, inner in enumerate(value):
-            _leaves(inner, f"{path}_{i}", out)
-    else:
-        out[path] = _text(value)
-    return out
-
+def _masked(c: Column) -> Column:
+    """JSON text whose quotes and backslashes inside strings are set aside: every quote left begins or ends a string."""
+    return F.replace(F.replace(c, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
 
-def _summary(value, path: str, out: dict) -> dict:
-    """Leaves, with an array as one text of all its values."""
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            _summary(inner, f"{path}.{key}" if path else key, out)
-    elif isinstance(value, list):
-        out[path] = ", ".join(_short(v) for v in value)
-    else:
-        out[path] = _text(value)
-    return out
 
+def _spaced(c: Column) -> Column:
+    """JSON text with a space after every colon and comma outside its strings."""
+    wide = F.regexp_replace(_masked(c), r'\G((?:[^":,]++|"[^"]*+")*+[:,])', "$1 ")
+    return F.replace(F.replace(wide, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
 
-def _short(value) -> str:
-    """A value inside a short list: text as it is, the rest as JSON."""
-    if value is None or isinstance(value, (str, bool)):
-        return _text(value) or ""
-    if isinstance(value, dict):
-        return "{" + ", ".join(f'"{k}": {_json(v)}' for k, v in value.items()) + "}"
-    return "[" + ", ".join(_json(v) for v in value) + "]"
 
+def _depth(c: Column) -> Column:
+    """How deep the arrays and objects of a JSON text are nested: how often the innermost ones can be taken away."""
+    bare = F.regexp_replace(F.regexp_replace(_masked(c), '"[^"]*+"', ""), r"[^\[\]{}]++", "")
+    start = F.struct(bare.alias("left"), F.lit(0).alias("n"))
+    step = lambda s, _: F.struct(F.regexp_replace(s["left"], r"\[\]|\{\}", "").alias("left"), (s["n"] + (F.length(s["left"]) > 0).cast("int")).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.length(bare) / 2 + 1, F.lit(DEEPEST)).cast("int")), start, step, lambda s: s["n"])
 
-def _json(value) -> str:
-    if isinstance(value, _Number):
-        return str(value)
-    return _short(value) if isinstance(value, (dict, list)) else json.dumps(value)
 
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, VOID, ... of a variant value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
-class _Number(str):
-    """Digits of a JSON number as they are written."""
 
+def _text(v: Column) -> Column:
+    """A value as text: strings as they are, the rest as spaced JSON; null stays null."""
+    return F.when(_kind(v).isin("OBJECT", "ARRAY"), _spaced(v.cast("string"))).otherwise(v.cast("string"))
 
-def _cell(value, nested: bool = False) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return _text(value)
-    if isinstance(value, _Number):
-        return str(value)
-    if isinstance(value, str):
-        return f'"{value}"'
-    if isinstance(value, dict):
-        if nested:
-            return _json(value)
-        return "{\n  " + ",\n  ".join(f'"{k}": {_cell(v, True)}' for k, v in value.items()) + "\n}"
-    return _json(value)
 
+def _listed(v: Column) -> Column:
+    """An array as one text of all its values; anything else as it is."""
+    values = F.transform(v.cast("array<variant>"), lambda x: F.coalesce(_text(x), F.lit("")))
+    return F.when(_kind(v) == "ARRAY", F.array_join(values, ", ")).otherwise(_text(v))
 
-def _top(value, _path: str, out: dict) -> dict:
-    return {k: _cell(v) for k, v in value.items()} if isinstance(value, dict) else out
 
+def _cell(v: Column) -> Column:
+    """A first-level value: strings quoted, an object with a line for each of its members."""
 
-_READERS = {"full": _leaves, "summary": _summary, "top": _top}
+    def plain(x: Column) -> Column:
+        return F.when(_kind(x) == "STRING", F.concat(F.lit('"'), x.cast("string"), F.lit('"'))).otherwise(F.coalesce(_text(x), F.lit("null")))
 
+    members = F.map_entries(F.when(_kind(v) == "OBJECT", v).cast("map<string,variant>"))
+    lines = F.transform(members, lambda m: F.concat(F.lit('"'), m["key"], F.lit('": '), plain(m["value"])))
+    return F.when(_kind(v) == "OBJECT", F.concat(F.lit("{\n  "), F.array_join(lines, ",\n  "), F.lit("\n}"))).otherwise(plain(v))
 
-def json_leaves(c: Column | str, mode: str = "full") -> Column:
-    """Leaves of a JSON text as a map path -> text (Arrow batches; null if unreadable)."""
-    reader = _READERS[mode]
 
-    @F.pandas_udf(LEAVES)
-    def leaves(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                value = json.loads(text, parse_int=_Number, parse_float=_Number)
-            except (TypeError, ValueError, RecursionError):
-                return None
-            if mode == "full" and not isinstance(value, dict):
-                return None
-            return {k: None if v is None else str(v) for k, v in reader(value, "", {}).items() if k}
-
-        return texts.map(one)
-
-    return leaves(F.col(f"`{c}`") if isinstance(c, str) else c)
+#: How a value becomes text, and which kinds of values are taken apart.
+_MODES = {"full": (_text, ("OBJECT", "ARRAY")), "summary": (_listed, ("OBJECT",)), "top": (_cell, ())}
 
 
 def json_columns(df: DataFrame) -> list[str]:
@@ -141,61 +104,80 @@ def json_columns(df: DataFrame) -> list[str]:
     return [n for i, n in enumerate(names) if row[f"c{i}"]]
 
 
-def leaf_paths(df: DataFrame, cols: Sequence[str], mode: str = "full") -> DataFrame:
-    """``(col, path, n_filled)`` over the whole table."""
-    out = None
-    for c in cols:
-        part = df.select(F.explode(json_leaves(c, mode)).alias("path", "value"))
-        part = part.groupBy("path").agg(F.count_if(F.col("value") != "").alias("n_filled"))
-        part = part.select(F.lit(c).alias("col"), "path", "n_filled")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _bounded_paths(df: DataFrame, cols: Sequence[str], mode: str, limit: int) -> list:
-    found = leaf_paths(df, cols, mode).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} JSON paths: name the columns or raise max_columns")
-    return sorted(found, key=lambda r: (cols.index(r["col"]), r["path"]))
-
-
-def flatten_json(
-    df: DataFrame,
-    cols: Sequence[str] | None = None,
-    mode: str = "full",
-    paths: Sequence[tuple[str, str]] | None = None,
-    max_columns: int = MAX_COLUMNS,
-) -> DataFrame:
-    """JSON cells spread over columns.
-
-    ``full``: every leaf is a column (``a.b[0]`` -> ``a_b_0``) and empty columns
-    go.  ``summary``: paths stop at arrays, columns are ``col.path``.  ``top``:
-    one column per first-level key.  ``paths`` as (column, path) pairs spares
-    the pass that finds them.
+def json_long(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "full", keys: Sequence[str] = ()) -> DataFrame:
+    """Every leaf as a row ``(*keys, col, path, place, value)``, whatever the number of paths.
+
+    ``full`` goes down to the last value (``a.b[0]`` has the path ``a_b_0``);
+    ``summary`` stops at arrays (``a.b``), ``top`` at the first level.  ``place``
+    is the path as :func:`flatten_json` takes it.  Cells are parsed once and
+    unfolded a level at a time, all in one pass; how many levels there are is
+    found by an aggregate before.
     """
     cols = json_columns(df) if cols is None else list(cols)
-    if not cols:
-        return df
-    if paths is None:
-        found = _bounded_paths(df, cols, mode, max_columns)
-        paths = [(r["col"], r["path"]) for r in found if mode != "full" or r["n_filled"] > 0]
+    show, opened = _MODES[mode]
+    glue = "." if mode == "summary" else "_"
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("_text")) for c in cols]) if cols else F.array().cast("array<struct<col: string, _text: string>>")
+    held = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    rows = df.select(*held, F.inline(cells)).where(looks_json("_text") & F.startswith(F.ltrim("_text"), F.lit("{")))
+    levels = 1 if not opened else rows.agg(F.max(_depth(F.col("_text")))).first()[0] or 0
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.select(*names, "col", F.lit("").alias("path"), F.lit("$").alias("place"), F.try_parse_json("_text").alias("v"), F.lit(None).cast("string").alias("value"))
+    for _ in range(levels):
+        found = df.sparkSession.sql("SELECT t.*, e.pos, e.key, e.value AS inner FROM {t} t, LATERAL variant_explode_outer(t.v) e", t=rows)
+        closed, inner = F.col("v").isNull(), F.col("inner")
+        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+        path = F.when(F.col("path") == "", step).otherwise(F.concat("path", F.lit(glue), step))
+        place = F.concat("place", F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit('["'), "key", F.lit('"]'))))
+        more = _kind(inner).isin(*opened) if opened else F.lit(False)
+        rows = found.where(closed | inner.isNotNull()).select(
+            *names, "col", F.when(closed, F.col("path")).otherwise(path).alias("path"), F.when(closed, F.col("place")).otherwise(place).alias("place"),
+            F.when(~closed & more, inner).alias("v"), F.when(closed, F.col("value")).when(~more, show(inner)).alias("value"),
+        )
+    done = rows.where(F.col("v").isNull() & (F.col("path") != ""))
+    return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "col", "path", "place", "value")
+
+
+def leaf_paths(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "full") -> DataFrame:
+    """``(col, path, place, n_filled)`` over the whole table."""
+    return json_long(df, cols, mode).groupBy("col", "path", "place").agg(F.count_if(F.col("value") != "").alias("n_filled"))
+
+
+def _path(place: str, mode: str) -> str:
+    """The name of a place: ``$.a["b"][0]`` is ``a_b_0``."""
+    steps = [next(x for x in found if x) for found in re.findall(r"""\.([^.\[]+)|\["([^"]*)"\]|\['([^']*)'\]|\[(\d+)\]""", place)]
+    return ("." if mode == "summary" else "_").join(steps)
+
+
+def flatten_json(df: DataFrame, paths: Sequence[tuple[str, str]], mode: str = "full") -> DataFrame:
+    """JSON cells spread over columns, one for each ``(column, place)`` of ``paths``, as ``("doc", "$.a.b[0]")``.
+
+    ``full``: the leaf there (``a_b_0``), and plain columns without a value in any
+    row go; ``summary``: columns are named ``col.path`` and an array is one text;
+    ``top``: the text of a first-level member.  A null where a row has no such
+    value.  :func:`leaf_paths` lists the paths there are.
+    """
+    show, opened = _MODES[mode]
+    cols = list(dict.fromkeys(c for c, _ in paths))
     plain = [c for c in df.columns if c not in cols]
     if mode == "full" and plain:
         counts = df.agg(*[F.count_if(F.col(f"`{c}`").cast("string") != "").alias(f"c{i}") for i, c in enumerate(plain)]).first()
         plain = [c for i, c in enumerate(plain) if counts[f"c{i}"]]
     first = [c for want in FIRST_COLUMNS for c in plain if c.lower() == want]
     plain = [*dict.fromkeys([*first, *plain])]
-    spread = df.withColumns({f"_leaves_{i}": json_leaves(c, mode) for i, c in enumerate(cols)})
     # A path that is a plain column's name too, or in several JSON columns, is
     # told apart by its column.
-    names = Counter([c.lower() for c in plain] + [path.lower() for _, path in paths])
+    names = Counter([c.lower() for c in plain] + [_path(place, mode).lower() for _, place in paths])
+    parsed = {c: F.when(looks_json(F.col(f"`{c}`")), F.try_parse_json(F.col(f"`{c}`"))).alias(f"_v{i}") for i, c in enumerate(cols)}
+    spread = df.select(*[F.col(f"`{c}`") for c in plain], *parsed.values())
     out = []
-    for col, path in paths:
-        name = f"{col}.{path}" if mode == "summary" or names[path.lower()] > 1 else path
-        out.append(F.try_element_at(F.col(f"_leaves_{cols.index(col)}"), F.lit(path)).alias(name))
+    for c, place in paths:
+        path = _path(place, mode)
+        inner = F.try_variant_get(F.col(f"_v{cols.index(c)}"), place, "variant")
+        value = F.when(~_kind(inner).isin(*opened), show(inner)) if opened else F.when(inner.isNotNull(), show(inner))
+        out.append(value.alias(f"{c}.{path}" if mode == "summary" or names[path.lower()] > 1 else path))
     return spread.select(*[F.col(f"`{c}`") for c in plain], *out)
 
 
-def expand_json(df: DataFrame, cols: Sequence[str] | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """One column per first-level key, value as text."""
-    return flatten_json(df, cols, "top", None, max_columns)
+def expand_json(df: DataFrame, paths: Sequence[tuple[str, str]]) -> DataFrame:
+    """One column for each named first-level member, its value as text."""
+    return flatten_json(df, paths, "top")

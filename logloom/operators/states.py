@@ -11,7 +11,9 @@ from logloom.functions.text import blank, equals_ci, from_state, is_transition,
 from logloom.operators.intervals import count_in_intervals
 from logloom.operators.single import attach, join_on
 from logloom.operators.timeslice import (
-    DEFAULT_WIDTH,
+    SLICE,
+    Splits,
+    find_splits,
     neighbours,
     number_rows,
     running_total,
@@ -27,10 +29,10 @@ LINK_DOWN_TEXT = "ERR-OPCUA is not operational. Go to Init state."
 MUST_FOLLOW = {"GET_READY": "DYNAMIC_READY", "MECH_INIT": "STANDBY"}
 
 
-def gaps(df: DataFrame, threshold: float = 2.0, by: Sequence[str] = BY, width: float = DEFAULT_WIDTH) -> DataFrame:
+def gaps(df: DataFrame, threshold: float = 2.0, by: Sequence[str] = BY, depth: int | None = None) -> DataFrame:
     """Pauses of at least ``threshold`` seconds between consecutive records."""
     slim = df.select(*by, "ts", "seq", "message")
-    pairs = neighbours(slim, ["ts", "message"], by, ("ts", "seq"), "prev", width).where(F.col("prev_ts").isNotNull())
+    pairs = neighbours(slim, ["ts", "message"], by, ("ts", "seq"), "prev", depth, keep_slice=True).where(F.col("prev_ts").isNotNull())
     pairs = pairs.withColumn("seconds", seconds_between(pairs, "prev_ts", "ts")).where(F.col("seconds") >= threshold)
     found = pairs.select(
         *by,
@@ -39,8 +41,9 @@ def gaps(df: DataFrame, threshold: float = 2.0, by: Sequence[str] = BY, width: f
         "seconds",
         F.when(blank("prev_message"), "(empty)").otherwise(F.col("prev_message")).alias("last_message"),
         "seq",
+        SLICE,
     )
-    return number_rows(found, by, ("end_ts", "seq"), "gap_no", width=86400.0).drop("seq")
+    return number_rows(found, by, ("end_ts", "seq"), "gap_no").drop("seq")
 
 
 def gap_totals(gap_rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -62,6 +65,11 @@ def transitions(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
     )
 
 
+def log_splits(logs: DataFrame, by: Sequence[str]) -> Splits:
+    """Slices of the log itself; its transitions and states are cut by them without being counted."""
+    return find_splits(logs, by, ("ts", "seq"))
+
+
 def _log_end(logs: DataFrame, by: Sequence[str]) -> DataFrame:
     return logs.groupBy(*by).agg(F.max("ts").alias("_log_end"))
 
@@ -69,8 +77,7 @@ def _log_end(logs: DataFrame, by: Sequence[str]) -> DataFrame:
 def plain_states(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
     """State intervals: each state lasts to the next transition, the last one
     to the end of the log."""
-    # Transitions are few next to the log, so wide slices do.
-    moves = neighbours(transitions(logs, by), ["ts", "to_state"], by, ("ts", "seq"), "next", width=3600.0)
+    moves = neighbours(transitions(logs, by), ["ts", "to_state"], by, ("ts", "seq"), "next", splits=log_splits(logs, by))
     joined = join_on(moves, _log_end(logs, by), by)
     return joined.select(
         *by,
@@ -102,7 +109,7 @@ def state_intervals(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFr
     failures = logs.where(
         (F.col("thread") == "Events") & F.contains("message", F.lit(FAILURE_TEXT))
     ).select(*by, "ts")
-    counted = count_in_intervals(failures, states, by, name="n_failures", width=3600.0)
+    counted = count_in_intervals(failures, states, by, name="n_failures")
     failed = (F.col("n_failures") > 0) | _breaks_rule(F.col("state"), F.col("next_state"))
     return counted.withColumns({
         "seconds": seconds_between(counted, "start_ts", "end_ts"),
@@ -110,21 +117,12 @@ def state_intervals(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFr
     }).drop("next_state")
 
 
-def state_runs(
-    df: DataFrame,
-    col: str,
-    by: Sequence[str] = (),
-    order: str = "idx",
-    width: int = 100_000,
-) -> DataFrame:
+def state_runs(df: DataFrame, col: str, by: Sequence[str] = (), order: str = "idx", depth: int | None = None) -> DataFrame:
     """Runs of equal state id in a sampled column, from index to index."""
     rows = df.select(*by, F.col(order).cast("bigint").alias("_i"), state_id(col).alias("state_id"))
-    # The index plays the part of time: slices of ``width`` samples.
-    rows = rows.withColumn("_at", F.timestamp_micros(F.col("_i")))
-    step = width / 1_000_000
-    rows = neighbours(rows, ["state_id"], by, ("_at",), "prev", step)
+    rows = neighbours(rows, ["state_id"], by, ("_i",), "prev", depth, keep_slice=True)
     starts = rows.where(F.col("prev_state_id").isNull() | (F.col("prev_state_id") != F.col("state_id")))
-    starts = neighbours(starts.select(*by, "_i", "_at", "state_id"), ["_i"], by, ("_at",), "next", step)
+    starts = neighbours(starts.select(*by, "_i", "state_id", SLICE), ["_i"], by, ("_i",), "next")
     if by:
         last = rows.groupBy(*by).agg(F.max("_i").alias("_last"))
         starts = join_on(starts, last, by)
@@ -140,7 +138,7 @@ def machine_state_intervals(logs: DataFrame, by: Sequence[str] = ("session",)) -
     axis = time_axis(logs, "ts", by)
     moves = transitions(logs, by)
     on_axis = join_on(moves, axis, ["ts", *by])
-    paired = neighbours(on_axis, ["idx"], by, ("ts", "seq"), "next", width=3600.0)
+    paired = neighbours(on_axis, ["idx"], by, ("ts", "seq"), "next", splits=log_splits(logs, by))
     ends = axis.groupBy(*by).agg(F.max("idx").alias("_last"))
     full = join_on(paired, ends, by)
     end = F.coalesce(F.col("next_idx") - 1, F.col("_last"))
@@ -162,15 +160,13 @@ def step_intervals(steps: DataFrame, by: Sequence[str] = ("session", "parent", "
     An interval cut to nothing by another state at its own index is dropped.
     The text is that of the first record of the interval.
     """
-    rows = steps.withColumn("_at", F.timestamp_micros(F.col("idx").cast("bigint")))
-    step = 100_000 / 1_000_000
-    rows = neighbours(rows, ["idx", "state"], by, ("_at", "seq"), "prev", step)
+    rows = neighbours(steps, ["idx", "state"], by, ("idx", "seq"), "prev", keep_slice=True)
     new = (
         F.col("prev_idx").isNull()
         | (F.col("prev_state") != F.col("state"))
         | (F.col("idx") > F.col("prev_idx") + 1)
     )
-    runs = running_total(rows, {"run": new.cast("int")}, by, ("_at", "seq"), step)
+    runs = running_total(rows, {"run": new.cast("int")}, by, ("idx", "seq"))
     place = F.struct("idx", "seq")
     folded = runs.groupBy(*by, "run").agg(
         F.min("idx").alias("start_idx"),
@@ -178,8 +174,7 @@ def step_intervals(steps: DataFrame, by: Sequence[str] = ("session", "parent", "
         F.min_by("state", place).alias("state"),
         F.min_by("message", place).alias("message"),
     )
-    folded = folded.withColumn("_at", F.timestamp_micros("run"))
-    cut = neighbours(folded, ["start_idx"], by, ("_at",), "next", step)
+    cut = neighbours(folded, ["start_idx"], by, ("run",), "next")
     end = F.coalesce(F.col("next_start_idx") - 1, F.col("_stay"))
     out = cut.select(*by, "run", "start_idx", end.alias("end_idx"), "state", "message")
     return out.where(F.col("end_idx") >= F.col("start_idx")).drop("run")
@@ -203,7 +198,8 @@ def timeline(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
         equals_ci("level", "Error").alias("_error"),
         F.coalesce(down, F.lit(False)).alias("_down"),
     )
-    runs = running_total(marked, {"_no": F.col("_move").cast("int")}, by)
+    splits = log_splits(logs, by)
+    runs = running_total(marked, {"_no": F.col("_move").cast("int")}, by, splits=splits)
     # The state a record reports to: a transition still reports to the old one.
     told = runs.withColumn("_to", F.col("_no") - F.col("_move").cast("int"))
     counts = told.where(F.col("_to") > 0).groupBy(*by, F.col("_to").alias("state_no")).agg(
@@ -212,7 +208,7 @@ def timeline(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
     opened = told.where(F.col("_move")).select(
         *by, F.col("_no").alias("state_no"), F.col("ts").alias("start_ts"), F.col("_state").alias("state"), "seq"
     )
-    opened = neighbours(opened, ["start_ts", "state"], by, ("start_ts", "seq"), "next", width=3600.0)
+    opened = neighbours(opened, ["start_ts", "state"], by, ("start_ts", "seq"), "next", splits=splits)
     opened = join_on(opened, _log_end(logs, by), by)
     full = join_on(opened, counts, ["state_no", *by], "left").select(
         *opened.columns,

@@ -2,15 +2,17 @@
 
 A window ``partitionBy(session).orderBy(ts)`` sends a whole session to one
 task; one session may hold a third of all rows.  Here the work key is
-``(by..., slice)`` where ``slice`` is the time divided by a fixed width, so a
-long or hot log is spread over as many tasks as it has slices.  What must cross
-a slice border travels in a table with one row per slice:
+``(by..., slice)``, where slices cut the rows, in order, into pieces of about
+equal size, so a long, hot or bursty log is spread over as many tasks as its
+rows ask for.  What must cross a slice border travels in a table with one row
+per slice:
 
 1. the input is reduced to one row per (by, slice) - map-side combined;
 2. an ordered pass over those few rows gives every slice its carried value;
 3. the rows are windowed inside their slice and joined to the carried value.
 
 The rows are shuffled once, on (by, slice); step 3's join reuses that layout.
+Slices are cut by the rows' own order, not by the clock: see :func:`find_splits`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE = "_slice"
-DEFAULT_WIDTH = 60.0  # seconds of log per slice
+DEPTH = 200_000  # rows of a slice, while that makes no more than PIECES slices
+PIECES = 8192  # slices of a table at most, whatever its size
+SAMPLES = 32  # sampled rows per slice
+_STEPS = 14  # halvings that search PIECES splitters
 _NULL = "\u0000"
 
 
@@ -42,16 +47,73 @@ def seconds_between(df: DataFrame, start: str, end: str) -> Column:
     return (epoch_micros(df, end) - epoch_micros(df, start)) / F.lit(1_000_000.0)
 
 
-def add_slice(df: DataFrame, ts: str = "ts", width: float = DEFAULT_WIDTH) -> DataFrame:
-    """Add the slice number; a null time gets the slice before all others.
+class Splits:
+    """Places that cut rows, in the order of ``by`` and ``order``, into slices of about equal size.
+
+    They are at most ``PIECES`` and travel as one literal, whatever the input.
+    A table cut by them need not be the one they were found on: a filtered or
+    joined table of the same logs has no more rows in a slice.
+    """
+
+    def __init__(self, places: str | None, fields: list[tuple[str, str]], keys: int) -> None:
+        self.places, self.fields, self.keys = places, fields, keys  # JSON; (name, type); how many fields are keys
+
+    def number(self, df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Column:
+        """The slice of each row: how many places are at or before its own.
+
+        ``order`` may go less far than that of the places, but begins as it does.
+        """
+        if self.places is None:
+            return F.lit(0).cast("bigint")
+        fields = self.fields[: self.keys + len(order)]
+        here = F.struct(*[c.cast(kind).alias(f) for c, (f, kind) in zip(_place(df, by, order), fields)])
+        places = F.from_json(F.lit(self.places), f"array<struct<{', '.join(f'{f}: {kind}' for f, kind in fields)}>>")
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            below, open_ = F.get(places, mid) <= here, s["lo"] < s["hi"]
+            return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.size(places).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, halve, lambda s: s["lo"].cast("bigint"))
+
+
+def _place(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> list[Column]:
+    """Where a row stands, in columns that JSON keeps: keys as text, times as microseconds."""
+    keys = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(_NULL)) for k in by]
+    time = (T.TimestampType, T.TimestampNTZType)
+    return keys + [epoch_micros(df, c) if isinstance(df.schema[c].dataType, time) else F.col(f"`{c}`") for c in order]
+
+
+def find_splits(df: DataFrame, by: Sequence[str], order: Sequence[str], depth: int | None = None) -> Splits:
+    """Split the rows of ``df`` into slices of about ``depth`` rows, ``PIECES`` slices at most.
+
+    One job counts the rows.  If they are more than ``depth``, a second takes a
+    sample by a hash of their place, ``SAMPLES`` for each slice, and every
+    ``SAMPLES``-th place of the sorted sample splits.  Bursts, dense logs and rows
+    without a time are cut like all others; only rows equal in ``by`` and ``order``
+    stay together.
+    """
+    rows = df.select(*[c.alias(f"p{i}") for i, c in enumerate(_place(df, by, order))])
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema]
+    n = rows.count()
+    pieces = min(PIECES, n // (depth or DEPTH))
+    if pieces < 2:
+        return Splits(None, fields, len(by))
+    place = F.struct(*rows.columns)
+    sampled = rows.where(F.pmod(F.xxhash64(place), F.lit(1 << 30)) < int(pieces * SAMPLES / n * (1 << 30)))
+    every = F.filter(F.array_sort(F.collect_list(place)), lambda x, i: i % SAMPLES == SAMPLES - 1)
+    return Splits(sampled.agg(F.to_json(F.array_distinct(every))).first()[0], fields, len(by))
+
+
+def add_slice(df: DataFrame, by: Sequence[str], order: Sequence[str], depth: int | None = None, splits: Splits | None = None) -> DataFrame:
+    """Add the slice number, by given ``splits`` or by those of the table itself.
 
     A table that brings its own slice column (file blocks, say) keeps it.
     """
     if SLICE in df.columns:
         return df
-    micros = int(width * 1_000_000)
-    number = F.floor(epoch_micros(df, ts) / F.lit(micros)).cast("bigint")
-    return df.withColumn(SLICE, F.coalesce(number, F.lit(-(2**62))))
+    return df.withColumn(SLICE, (splits or find_splits(df, by, order, depth)).number(df, by, order))
 
 
 class Grouping:
@@ -98,17 +160,20 @@ def neighbours(
     by: Sequence[str] = ("session", "source"),
     order: Sequence[str] = ("ts", "seq"),
     side: str = "prev",
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
+    splits: Splits | None = None,
     prefix: str | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Values of the record before (``prev``) or after (``next``) each record.
 
     Adds ``prev_<col>`` / ``next_<col>``; the same answer as ``lag``/``lead``
-    over the whole log.
+    over the whole log.  ``keep_slice`` leaves the slice column for a next step
+    over the same rows in the same order.
     """
     prefix = prefix or f"{side}_"
     group = Grouping(df, by)
-    rows = group.prepare(add_slice(df, order[0], width))
+    rows = group.prepare(add_slice(df, by, order, depth, splits))
     picked = _row_struct(cols)
     place = F.struct(*order)
     edge = F.max_by(picked, place) if side == "prev" else F.min_by(picked, place)
@@ -128,7 +193,7 @@ def neighbours(
     joined = rows.join(carried, [*group.keys, SLICE])
     best = F.coalesce(F.col("_near"), F.col("_carry"))
     joined = joined.withColumns({f"{prefix}{c}": best[c] for c in cols})
-    return group.restore(joined.drop("_near", "_carry", SLICE))
+    return group.restore(joined.drop("_near", "_carry", *([] if keep_slice else [SLICE])))
 
 
 def fill_forward(
@@ -136,12 +201,13 @@ def fill_forward(
     cols: Sequence[str],
     by: Sequence[str] = (),
     order: Sequence[str] = ("ts",),
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
+    splits: Splits | None = None,
     suffix: str = "",
 ) -> DataFrame:
     """Replace nulls by the last value seen before them, column by column."""
     group = Grouping(df, by)
-    rows = group.prepare(add_slice(df, order[0], width))
+    rows = group.prepare(add_slice(df, by, order, depth, splits))
     place = F.struct(*order)
     edges = [
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_edge_{i}") for i, c in enumerate(cols)
@@ -170,14 +236,15 @@ def running_total(
     sums: dict[str, Column],
     by: Sequence[str] = ("session", "source"),
     order: Sequence[str] = ("ts", "seq"),
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Running sum of each expression up to and including the record.
 
     ``running_total(df, {"n": F.lit(1)})`` numbers the records from 1.
     """
     group = Grouping(df, by)
-    rows = group.prepare(add_slice(df, order[0], width))
+    rows = group.prepare(add_slice(df, by, order, depth, splits))
     rows = rows.withColumns({f"_part_{n}": e.cast("bigint") for n, e in sums.items()})
     before = _between_slices(group.keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -202,16 +269,17 @@ def number_rows(
     by: Sequence[str] = ("session", "source"),
     order: Sequence[str] = ("ts", "seq"),
     name: str = "row_no",
-    width: float = DEFAULT_WIDTH,
+    depth: int | None = None,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Position of each record in its log, from 1."""
-    return running_total(df, {name: F.lit(1)}, by, order, width)
+    return running_total(df, {name: F.lit(1)}, by, order, depth, splits)
 
 
 def time_axis(
-    df: DataFrame, ts: str = "ts", by: Sequence[str] = ("session",), width: float = DEFAULT_WIDTH
+    df: DataFrame, ts: str = "ts", by: Sequence[str] = ("session",), depth: int | None = None, splits: Splits | None = None
 ) -> DataFrame:
     """Distinct times with their dense index from 0, per ``by``."""
     times = df.select(*by, ts).where(F.col(ts).isNotNull()).distinct()
-    numbered = number_rows(times, by, (ts,), "_n", width)
+    numbered = number_rows(times, by, (ts,), "_n", depth, splits)
     return numbered.select(*by, ts, (F.col("_n") - 1).alias("idx"))

@@ -23,8 +23,7 @@ def failure_windows(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFr
     tagged = tag_records(logs)
     failures = tagged.where("is_failure").select(*by, "ts", "seq", "message")
     moves = tagged.where("is_transition").select(*by, "ts", "seq", from_state().alias("from"), to_state().alias("to"))
-    # Both sides are few records of a log, so an hour makes a fair slice.
-    hit = asof_backward(failures, moves, by, cols=["from", "to"], prefix="t_", how="inner", width=3600.0)
+    hit = asof_backward(failures, moves, by, cols=["from", "to"], prefix="t_", how="inner")
     return hit.select(
         *by, F.col("seq").alias("failure_seq"), F.col("t_ts").alias("start_ts"), F.col("ts").alias("end_ts"),
         F.col("t_from").alias("from_state"), F.col("t_to").alias("to_state"), F.col("message").alias("failure_message"),
@@ -39,7 +38,7 @@ def failure_report(logs: DataFrame, by: Sequence[str] = ("session",)) -> DataFra
     Sorting by ``title`` gives the report's order.
     """
     windows = failure_windows(logs, by)
-    counted = count_in_intervals(errors(logs, ("error",)), windows, by, name="n_errors", width=3600.0)
+    counted = count_in_intervals(errors(logs, ("error",)), windows, by, name="n_errors")
     clock = F.date_format("end_ts", "HH:mm:ss")
     title = F.concat(F.lit("FAILED: "), "from_state", F.lit(" -> "), "to_state")
     seconds = seconds_between(counted, "start_ts", "end_ts")

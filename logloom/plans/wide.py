@@ -141,7 +141,7 @@ def wide_series(
     messages = [f"\u0001t:{t}" for t in names] + (["\u0001events"] if events else [])
     pivoted = single.groupBy(*by, "ts").pivot("key", keys + messages or ["\u0001none"]).agg(F.first("value"))
     plain = pivoted.toDF(*by, "ts", *[f"_c{i}" for i in range(len(pivoted.columns) - len(by) - 1)])
-    filled = fill_forward(plain, [f"_c{i}" for i in range(len(keys))], by, ("ts",), width=3600.0) if keys else plain
+    filled = fill_forward(plain, [f"_c{i}" for i in range(len(keys))], by, ("ts",)) if keys else plain
     out: list[Column] = [F.col("ts").alias("Time")]
     if unix_time:
         out.append(F.floor(epoch_micros(filled, "ts") / 1000).alias("Unix_Time"))

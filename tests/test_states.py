@@ -64,7 +64,7 @@ def test_step_intervals_merge_and_stretch(spark):
 def test_state_runs_over_whole_table(spark):
     vals = ["", "PRINT", " print", "7", "7", "POST_PRINT x", "DYNAMIC_READY_X"]
     df = spark.createDataFrame(list(enumerate(vals)), "idx bigint, v string")
-    got = [(r.start_idx, r.end_idx, r.state_id) for r in states.state_runs(df, "v", width=2).orderBy("start_idx").collect()]
+    got = [(r.start_idx, r.end_idx, r.state_id) for r in states.state_runs(df, "v", depth=2).orderBy("start_idx").collect()]
     assert got == [(0, 0, 0), (1, 2, 10), (3, 4, 7), (5, 5, 10), (6, 6, 8)]
 
 

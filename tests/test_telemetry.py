@@ -112,12 +112,53 @@ def test_measure_instructions(spark):
 
 
 def test_flatten_drops_empty_columns_and_orders_ids(spark):
-    df = spark.createDataFrame([("x", 1, '{"a":{"b":null},"c":[{"d":1.50}]}', None), ("y", 2, "[1]", None)], "z string, id int, doc string, gone string")
-    out = jsonx.flatten_json(df)
+    df = spark.createDataFrame([("x", 1, '{"a":{"b":null},"c":[{"d":1.5}]}', None), ("y", 2, "[1]", None)], "z string, id int, doc string, gone string")
+    out = jsonx.flatten_json(df, [("doc", "$.c[0].d")])
     assert out.columns == ["id", "z", "c_0_d"]
-    assert [r.c_0_d for r in out.orderBy("id").collect()] == ["1.50", None]
-    with pytest.raises(ValueError):
-        jsonx.flatten_json(df, max_columns=1)
+    assert [r.c_0_d for r in out.orderBy("id").collect()] == ["1.5", None]
+
+
+def slow_leaves(value, path="", place="$"):
+    if isinstance(value, (dict, list)):
+        for k, inner in value.items() if isinstance(value, dict) else enumerate(value):
+            step = f'["{k}"]' if isinstance(value, dict) else f"[{k}]"
+            yield from slow_leaves(inner, f"{path}_{k}" if path else str(k), place + step)
+    else:
+        yield path, place, value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def test_every_leaf_of_any_json(spark):
+    cells = [
+        '{"a":{"b":{"c":[[1,[2]],[]]}},"t":"{\\"no\\":[1]}","u":"é, \\\\ : \\"q\\" ]}","n":null,"f":false,"e":{},"k v":-7}', '{"x":' * 40 + "1" + "}" * 40,
+        "[1,2]", "{bad}", "", None, " {} ", "text", json.dumps({f"key{i}": i for i in range(3000)}),
+    ]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id int, doc string")
+    got = sorted((r.id, r.path, r.place, r.value) for r in jsonx.json_long(df, keys=["id"]).collect())
+    want = []
+    for i, c in enumerate(cells):
+        try:
+            value = json.loads(c)
+        except (TypeError, ValueError):
+            continue
+        want += [(i, *leaf) for leaf in slow_leaves(value)] if isinstance(value, dict) else []
+    assert got == sorted(want)
+    assert jsonx.leaf_paths(df.where("id = 8")).count() == 3000  # no limit
+    assert jsonx.json_long(df.limit(0), ["doc"]).count() == 0 and jsonx.json_long(df.where("id = 7")).count() == 0
+
+
+def test_texts_of_nested_values(spark):
+    df = spark.createDataFrame([('{"a":[1,"x, y",null,true,{"k":"q\\"","l":[1,2]}],"o":{"s":"t","n":null,"d":{"z":[1,"b"]}},"s":"v"}',)], "doc string")
+    summary = jsonx.flatten_json(df, [("doc", "$.a"), ("doc", "$.o.s"), ("doc", "$.o")], "summary").first()
+    assert summary["doc.a"] == '1, x, y, , true, {"k": "q\\"", "l": [1, 2]}' and summary["doc.o.s"] == "t" and summary["doc.o"] is None
+    top = jsonx.expand_json(df, [("doc", "$.o"), ("doc", "$.s"), ("doc", "$.gone")]).first()
+    assert top.o == '{\n  "d": {"z": [1, "b"]},\n  "n": null,\n  "s": "t"\n}' and top.s == '"v"' and top.gone is None
+
+
+def test_json_stays_in_the_engine(spark):
+    df = spark.createDataFrame([(1, '{"a":[{"b":1}]}')], "id int, doc string")
+    for out in (jsonx.json_long(df, ["doc"]), jsonx.flatten_json(df, [("doc", "$.a[0].b")])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_compact_keeps_nested_and_null(spark):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from logloom.operators.asof import asof_backward, asof_nearest, assign_state
 from logloom.operators.intervals import count_in_intervals, interval_join, points_inside
-from logloom.operators.timeslice import fill_forward, neighbours, number_rows, running_total, time_axis
+from logloom.operators import timeslice
+from logloom.operators.states import gaps, machine_state_intervals, state_intervals, timeline
+from logloom.operators.timeslice import SLICE, add_slice, fill_forward, neighbours, number_rows, running_total, time_axis
 
 T0 = datetime(2026, 1, 1)
 
@@ -23,33 +25,71 @@ def random_log(spark, seed, n=200, keys=("a", "b", None), spread=3600):
     return spark.createDataFrame(rows, "k string, ts timestamp, seq bigint, v string"), rows
 
 
-@pytest.mark.parametrize("width", [0.5, 60.0, 100000.0])
-def test_windows_do_not_depend_on_the_slice_width(spark, width):
+@pytest.mark.parametrize("depth", [1, 7, 60, None])
+def test_windows_do_not_depend_on_the_slices(spark, depth):
     df, _ = random_log(spark, 1)
     w = Window.partitionBy("k").orderBy("ts", "seq")
     whole = df.select(
         "k", "seq", F.lag("v").over(w).alias("p"), F.lead("seq").over(w).alias("n"),
         F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.row_number().over(w).alias("r"),
     )
-    sliced = neighbours(df, ["v"], ["k"], ["ts", "seq"], "prev", width)
-    sliced = neighbours(sliced, ["seq"], ["k"], ["ts", "seq"], "next", width)
-    sliced = fill_forward(sliced, ["v"], ["k"], ["ts", "seq"], width, suffix="_f")
-    sliced = number_rows(sliced, ["k"], ["ts", "seq"], "r", width)
+    sliced = neighbours(df, ["v"], ["k"], ["ts", "seq"], "prev", depth)
+    sliced = neighbours(sliced, ["seq"], ["k"], ["ts", "seq"], "next", depth)
+    sliced = fill_forward(sliced, ["v"], ["k"], ["ts", "seq"], depth, suffix="_f")
+    sliced = number_rows(sliced, ["k"], ["ts", "seq"], "r", depth)
     got = sliced.select("k", "seq", F.col("prev_v").alias("p"), F.col("next_seq").alias("n"), F.col("v_f").alias("f"), "r")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
 
 
+def burst(spark, n=3000):
+    """A log whose records are nearly all of one instant, some of them without a time, next to a quiet one."""
+    rng, rows = random.Random(12), []
+    states = ["GET_READY", "DYNAMIC_READY", "MECH_INIT", "STANDBY", "PRINT"]
+    for i in range(n):
+        ts = None if i % 29 == 0 else T0 + timedelta(microseconds=500 * (i % 2) if i > 20 else 0, seconds=3 * (i > n - 9))
+        kind = rng.randrange(12)
+        if kind == 0:
+            a, b = rng.sample(states, 2)
+            rows.append(("hot", "PLC", ts, i, "Info", "Manager", f"PlcMngr: {a} -> {b}"))
+        elif kind == 1:
+            rows.append(("hot", "PLC", ts, i, "Info", "Events", "Enqueue event PLC_FAILURE_STATE_CHANGE from Main_PLC"))
+        else:
+            rows.append(("hot", "PLC", ts, i, rng.choice(["Error", "Info"]), "Axis", f"m{i}"))
+    rows += [("quiet", "PLC", T0 + timedelta(seconds=5 * i), i, "Info", "Manager", f"PlcMngr: {states[i % 5]} -> {states[(i + 1) % 5]}") for i in range(40)]
+    schema = "session string, source string, ts timestamp, seq bigint, level string, thread string, message string"
+    return spark.createDataFrame(rows, schema).withColumn("logger", F.lit("l"))
+
+
+def test_a_burst_is_cut_like_any_log(spark, monkeypatch):
+    from logloom.plans.failures import failure_report
+
+    logs = burst(spark).repartition(4).cache()
+    by = ("session",)
+    made = {
+        "gaps": lambda: gaps(logs, 2.0), "states": lambda: state_intervals(logs.where("ts is not null"), by),
+        "timeline": lambda: timeline(logs.where("ts is not null"), by), "machine": lambda: machine_state_intervals(logs.where("ts is not null"), by),
+        "report": lambda: failure_report(logs.where("ts is not null"), by), "numbered": lambda: number_rows(logs, by, name="n"),
+    }
+    whole = {k: sorted(map(str, f().collect())) for k, f in made.items()}
+    monkeypatch.setattr(timeslice, "DEPTH", 150)
+    assert {k: sorted(map(str, f().collect())) for k, f in made.items()} == whole
+    sizes = [r["count"] for r in add_slice(logs, by, ("ts", "seq")).groupBy("session", SLICE).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * logs.count() / len(sizes)
+    axis = time_axis(logs, "ts", by).count()
+    assert axis == logs.select("session", "ts").where("ts is not null").distinct().count()
+
+
 def test_running_total_over_numeric_keys_with_nulls(spark):
     df = spark.createDataFrame([(1, T0, 1), (1, T0 + timedelta(hours=1), 2), (None, T0, 3), (None, T0 + timedelta(days=1), 4)], "g int, ts timestamp, seq bigint")
     out = running_total(df, {"n": F.lit(1), "s": F.col("seq")}, ["g"], ["ts", "seq"])
     assert {(r.g, r.seq): (r.n, r.s) for r in out.collect()} == {(1, 1): (1, 1), (1, 2): (2, 3), (None, 3): (1, 3), (None, 4): (2, 7)}
 
 
-@pytest.mark.parametrize("seed,tie,tolerance,width", [(1, "later", None, 60.0), (2, "earlier", 30, 5.0), (3, "later", 2, 1e6), (4, "earlier", None, 600.0)])
-def test_nearest_is_brute_force(spark, seed, tie, tolerance, width):
+@pytest.mark.parametrize("seed,tie,tolerance,depth", [(1, "later", None, 3), (2, "earlier", 30, 1), (3, "later", 2, None), (4, "earlier", None, 40)])
+def test_nearest_is_brute_force(spark, seed, tie, tolerance, depth):
     left, lrows = random_log(spark, seed, 80, spread=600)
     right, rrows = random_log(spark, seed + 100, 60, spread=600)
-    got = {(r.k, r.seq): (r.right_seq, r.delta_us) for r in asof_nearest(left, right, ["k"], tolerance=tolerance, tie=tie, width=width, cols=["seq"]).collect()}
+    got = {(r.k, r.seq): (r.right_seq, r.delta_us) for r in asof_nearest(left, right, ["k"], tolerance=tolerance, tie=tie, depth=depth, cols=["seq"]).collect()}
     for k, ts, seq, _ in lrows:
         near = [(abs((t - ts).total_seconds()), t, s) for kk, t, s, _ in rrows if kk == k]
         best = None

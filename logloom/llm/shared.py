@@ -104,3 +104,30 @@ def chunks(sizes: list[int], most: int):
             size += sizes[at]
             at += 1
         yield first, at
+
+
+SIEVE = 1 << 27  # bits: 16 MB, whatever the number of keys
+
+
+def may_be_in(rows: DataFrame, key: Column, keys: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``rows`` with a flag that is true wherever ``key`` is among ``keys`` (one column), and hardly elsewhere.
+
+    The keys' hashes set bits of a map of ``SIEVE`` bits, broadcast in pieces of
+    4 KB.  With n keys one in ``SIEVE / n`` other rows is flagged as well, so an
+    exact join on the flagged rows must follow; what it saves is moving the rest.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    bits = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("at"))
+    maps = bits.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    placed = rows.withColumn("_at", place(key)).withColumn("_in", F.bitmap_bucket_number("_at"))
+    met = placed.join(F.broadcast(maps), F.col("_in") == F.col("_bucket"), "left")
+    spot = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    flag = F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    return met.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_at", "_in", "_bucket", "_bits")
+
+
+def only_in(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column ``name`` is among ``keys`` (a column of that name); the others are not moved."""
+    flagged = may_be_in(rows, F.col(name), keys).where("_maybe").drop("_maybe")
+    return flagged.join(keys, name, "left_semi")

@@ -238,3 +238,55 @@ SELECT CASE WHEN lower(level) = 'error' THEN 'error' WHEN source <> 'APP' AND lo
 def t5(spark, d):
     out = _drain(spark, live.live_tags(_stream(spark, d, "t5")), "t5")
     return out.groupBy(F.coalesce("tag", F.lit("")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+# Files of records in no order: up to five days late, of sessions mixed.
+DELAY = "10 days"
+FINAL = """, last AS (SELECT epoch_ms(max(ts)) - 10 * 86400000 AS mark FROM logs)"""
+
+
+def _late(spark, d, label):
+    path = scratch_dir(spark, label)
+    rows = logs(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrives = F.unix_seconds("ts") + F.pmod(F.xxhash64("seq"), F.lit(5 * 86400))
+    rows = rows.withColumn("file", F.floor(arrives / (15 * 86400)))
+    for n in sorted(r["file"] for r in rows.select("file").distinct().collect()):
+        rows.where(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return live.stream_logs(spark, path, rows.drop("file").schema, max_files=1)
+
+
+def _follow(spark, stream, step, label):
+    path = scratch_dir(spark, f"{label}-told")
+    live.follow(stream, step, path, DELAY, available_now=True, width="1 hour").awaitTermination()
+    return live.found(spark, path)
+
+
+@query("t6_live_gaps", with_logs("""
+SELECT session, source, pts AS start_ts, ts AS end_ts, round((epoch_us(ts) - epoch_us(pts)) / 1000000.0, 3) AS seconds, pm AS last_message
+FROM (SELECT session, source, seq, ts, message, lag(ts) OVER w AS pts, lag(message) OVER w AS pm FROM logs WINDOW w AS (PARTITION BY session, source ORDER BY ts, seq)), last
+WHERE epoch_us(ts) - epoch_us(pts) >= 1800 * 1000000 AND (epoch_ms(ts) // 3600000 + 1) * 3600000 <= mark""", FINAL))
+def t6(spark, d):
+    out = _follow(spark, _late(spark, d, "t6"), live.live_gaps(1800), "t6")
+    return out.withColumns({"seconds": F.round("seconds", 3), **{c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}})
+
+
+LIVE_MOVES = """, plc AS (SELECT * FROM logs WHERE source = 'PLC'), last AS (SELECT epoch_ms(max(ts)) - 10 * 86400000 AS mark FROM plc),
+m AS (SELECT session, seq, ts, trim(split_part(substr(message, 9), '->', 1)) AS from_state, trim(split_part(message, '->', 2)) AS to_state FROM plc WHERE thread = 'Manager')"""
+
+
+@query("t7_live_states", with_logs("""
+SELECT session, seq, state, from_state || ' -> ' || state AS title, ts AS start_ts, nts AS end_ts FROM (
+  SELECT session, seq, ts, from_state, to_state AS state, lead(ts) OVER (PARTITION BY session ORDER BY ts, seq) AS nts FROM m), last
+WHERE (epoch_ms(nts) // 3600000 + 1) * 3600000 <= mark""", LIVE_MOVES))
+def t7(spark, d):
+    out = _follow(spark, _late(spark, d, "t7").where("source = 'PLC'"), live.live_states(), "t7")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+
+
+@query("t8_live_failures", with_logs("""
+SELECT f.session, f.seq AS failure_seq, f.ts AS failure_ts, m.ts AS start_ts, m.from_state, m.to_state,
+  (SELECT count(*) FROM plc e WHERE e.session = f.session AND lower(e.level) = 'error' AND e.ts BETWEEN m.ts AND f.ts) AS n_errors
+FROM (SELECT plc.* FROM plc, last WHERE thread = 'Events' AND contains(message, 'PLC_FAILURE_STATE_CHANGE') AND (epoch_ms(ts) // 3600000 + 1) * 3600000 <= mark) f ASOF JOIN m ON f.session = m.session AND f.ts >= m.ts""", LIVE_MOVES))
+def t8(spark, d):
+    out = _follow(spark, _late(spark, d, "t8").where("source = 'PLC'"), live.live_failures(), "t8")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "failure_ts")})

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from logloom.functions.text import blank, contains_ci
+from logloom.functions.text import blank, contains_ci, is_transition
+from logloom.operators import states
 from logloom.operators.fields import tag_default
 from logloom.operators.filters import default_view, filter_out, filter_tree, where_in
+from logloom.plans.failures import failure_report
 
 
 def stream_logs(
@@ -62,87 +64,105 @@ def live_tags(stream: DataFrame) -> DataFrame:
     return tag_default(stream)
 
 
-# --- state carried from batch to batch, one small state per log ---------------
-
-_GAP_OUT = "session string, source string, start_ts timestamp, end_ts timestamp, seconds double, last_message string"
-_GAP_STATE = "ts timestamp, seq bigint, message string"
-
-
-def stream_gaps(stream: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Gaps of a live log; equal to the batch result when records come in order."""
-
-    def step(key, batches, state):
-        session, source = key
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        last = state.get if state.exists else None
-        out = []
-        before = (pd.Timestamp(last[0]), last[1], last[2]) if last else None
-        for ts, seq, message in rows[["ts", "seq", "message"]].itertuples(index=False):
-            if before is not None:
-                seconds = (ts - before[0]).total_seconds()
-                if seconds >= threshold:
-                    out.append((session, source, before[0], ts, seconds, before[2] or "(empty)"))
-            if before is None or (ts, seq) >= before[:2]:
-                before = (ts, seq, message)
-        state.update((before[0].to_pydatetime(), int(before[1]), before[2]))
-        yield pd.DataFrame(out, columns=["session", "source", "start_ts", "end_ts", "seconds", "last_message"])
-
-    slim = stream.select("session", "source", F.col("ts").cast("timestamp").alias("ts"), "seq", "message")
-    return slim.groupBy("session", "source").applyInPandasWithState(step, _GAP_OUT, _GAP_STATE, "append", "NoTimeout")
-
-
-_STATE_OUT = "session string, seq bigint, state string, title string, start_ts timestamp, end_ts timestamp"
-_STATE_STATE = "ts timestamp, seq bigint, state string, title string"
-
-
-def stream_states(stream: DataFrame) -> DataFrame:
-    """State intervals of a live log, each given out when the next state begins."""
-    from logloom.operators.states import transitions
-
-    def step(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        held = tuple(state.get) if state.exists else None
-        out = []
-        for ts, seq, left, entered in rows[["ts", "seq", "from_state", "to_state"]].itertuples(index=False):
-            if held is not None:
-                out.append((key[0], held[1], held[2], held[3], pd.Timestamp(held[0]), ts))
-            held = (ts.to_pydatetime(), int(seq), entered, f"{left} -> {entered}")
-        state.update(held)
-        yield pd.DataFrame(out, columns=["session", "seq", "state", "title", "start_ts", "end_ts"])
-
-    moves = transitions(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    return moves.groupBy("session").applyInPandasWithState(step, _STATE_OUT, _STATE_STATE, "append", "NoTimeout")
-
-
-_FAIL_OUT = "session string, failure_seq bigint, failure_ts timestamp, start_ts timestamp, from_state string, to_state string, n_errors bigint"
-_FAIL_STATE = "start_ts timestamp, from_state string, to_state string, n_errors bigint"
-
-
-def stream_failures(stream: DataFrame) -> DataFrame:
-    """Failures of a live log with the transition before them and the errors since."""
-    from logloom.functions.text import from_state, to_state
-    from logloom.operators.fields import tag_records
-
-    def step(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        held = tuple(state.get) if state.exists else None
-        out = []
-        cols = ["ts", "seq", "is_transition", "is_failure", "is_error", "from", "to"]
-        for ts, seq, moved, failed, error, left, entered in rows[cols].itertuples(index=False):
-            if moved:
-                held = (ts.to_pydatetime(), left, entered, 0)
-            if error and held is not None:
-                held = (*held[:3], held[3] + 1)
-            if failed and held is not None:
-                out.append((key[0], int(seq), ts, pd.Timestamp(held[0]), held[1], held[2], held[3]))
-        if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=["session", "failure_seq", "failure_ts", "start_ts", "from_state", "to_state", "n_errors"])
-
-    tagged = tag_records(stream.withColumn("ts", F.col("ts").cast("timestamp"))).select(
-        "session", "ts", "seq", "is_transition", "is_failure", (F.lower("level") == "error").alias("is_error"),
-        from_state().alias("from"), to_state().alias("to"),
-    )
-    # Only these records matter; the rest never leaves the JVM.
-    wanted = tagged.where(F.col("is_transition") | F.col("is_failure") | F.col("is_error"))
-    return wanted.groupBy("session").applyInPandasWithState(step, _FAIL_OUT, _FAIL_STATE, "append", "NoTimeout")
+# --- what is told of a live log, over records that are complete -------------------
+
+
+def ordered(stream: DataFrame, delay: str = "10 minutes", width: str = "10 seconds", salt: int = 16) -> DataFrame:
+    """Records as soon as no earlier one can come any more, whatever order they arrive in.
+
+    They wait in slices of time, each in ``salt`` groups, so a hot session or a
+    burst is spread over many small states; a slice is given out when the
+    watermark passes its end.  Batches of the result never overlap in time.
+    Records that come more than ``delay`` late, or without a time, take no part.
+    """
+    kept = with_event_time(stream, delay)
+    parts = F.pmod(F.xxhash64(*[c for c in ("session", "source", "seq") if c in kept.columns]), F.lit(salt)).alias("_part")
+    waiting = kept.groupBy(F.window("ts", width).alias("_slice"), "session", parts).agg(F.collect_list(F.struct(*kept.columns)).alias("_rows"))
+    return waiting.select(F.inline("_rows"))
+
+
+def live_gaps(threshold: float = 2.0):
+    """Step for :func:`follow`: pauses of a log, across batches as inside them."""
+
+    def step(rows: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        slim = rows.select("session", "source", "ts", "seq", "message")
+        slim = slim if held is None else slim.unionByName(held)
+        last = F.max_by(F.struct("ts", "seq", "message"), F.struct("ts", "seq")).alias("l")
+        return states.gaps(slim, threshold).drop("gap_no"), slim.groupBy("session", "source").agg(last).select("session", "source", "l.*")
+
+    return step
+
+
+def live_states():
+    """Step for :func:`follow`: state intervals, each when the next state has begun."""
+
+    def step(rows: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        moves = _last_columns(rows).where(is_transition())
+        moves = moves if held is None else moves.unionByName(held)
+        done = states.plain_states(moves).where(F.col("next_state").isNotNull()).drop("next_state")
+        return done, _last(moves)
+
+    return step
+
+
+def live_failures():
+    """Step for :func:`follow`: failures with the transition before them and the errors since.
+
+    Of a session only its last transition is carried, and how many errors came since.
+    """
+
+    def step(rows: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        slim = _last_columns(rows)
+        before = held if held is not None else slim.limit(0).withColumn("n_before", F.lit(0).cast("long"))
+        every = slim.unionByName(before.drop("n_before"))
+        since = before.select(F.col("session").alias("_s"), F.col("ts").alias("_t"), "n_before")
+        carried = lambda df, ts: df.join(since, F.col("session").eqNullSafe(F.col("_s")) & (F.col(ts) == F.col("_t")), "left")
+        report = carried(failure_report(every), "start_ts")
+        columns = ["session", "failure_seq", "failure_ts", "start_ts", "from_state", "to_state"]
+        found = report.select(*columns, (F.col("n_errors") + F.coalesce("n_before", F.lit(0))).alias("n_errors"))
+        last = _last(every.where(is_transition()))
+        errors = every.where(F.lower("level") == "error").select(F.col("session").alias("_e"), F.col("ts").alias("_at"))
+        counted = last.join(errors, F.col("session").eqNullSafe(F.col("_e")) & (F.col("_at") >= F.col("ts")), "left").groupBy(*slim.columns).agg(F.count("_at").alias("n"))
+        total = carried(counted, "ts").select(*slim.columns, (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("n_before"))
+        return found, total
+
+    return step
+
+
+def _last_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("session", "source", "ts", "seq", "level", "thread", "logger", "message")
+
+
+def _last(moves: DataFrame) -> DataFrame:
+    """The last record of each session."""
+    one = F.max_by(F.struct(*moves.columns), F.struct("ts", "seq")).alias("l")
+    return moves.groupBy(F.col("session").alias("_session")).agg(one).select("l.*")
+
+
+def follow(stream: DataFrame, step, path: str, delay: str = "10 minutes", available_now: bool = False, **slices) -> StreamingQuery:
+    """Runs a step over every batch of complete records and writes what it finds below ``path``.
+
+    A step takes the batch and what the batch before has left, and returns what
+    is found and what is left for the next: one row a log.  It is made of the
+    batch operators, so a hot session is cut like any long log.  Both results
+    are written under the number of their batch, and a batch that is run again
+    after a failure replaces its own.  ``path`` must lie on shared storage.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        try:
+            found, left = step(rows, spark.read.parquet(f"{path}/left/{number - 1}") if number else None)
+            left.write.mode("overwrite").parquet(f"{path}/left/{number}")
+            found.write.mode("overwrite").parquet(f"{path}/found/batch={number}")
+        finally:
+            rows.unpersist()
+
+    writer = ordered(stream, delay, **slices).writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def found(spark: SparkSession, path: str) -> DataFrame:
+    """What a followed log has told so far."""
+    return spark.read.parquet(f"{path}/found").drop("batch")

@@ -94,7 +94,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end: i
         seen, whole = np.zeros(capacity, np.int64), 0
         for b in batches:
             n, ranks, wholes, crcs = [], [], [], []
-            for found in encode(b.column(1).to_pylist()):
+            for found in encode(b.column(1)):
                 ids = memoryview(found.astype("<u4").tobytes() + last)
                 tokens = len(ids) // 4
                 n.append(tokens)

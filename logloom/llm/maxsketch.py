@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from logloom.llm.shared import chunks, span_hashes, spans, text_blocks, write_and_read
+from logloom.llm.shared import span_hashes, spans, text_blocks, text_chunks, write_and_read
 
 TOP = 20
 BITS = 12  # a document's sketch has 2 ** BITS coordinates
@@ -69,9 +69,8 @@ def _statistics(docs: DataFrame, pack: _Pack) -> tuple[int, int, dict[int, int]]
         tables, some, total = {}, 0, 0
         holding = np.zeros(len(pack.vocabulary), np.int64)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for first, last in chunks([len(t or b"") for t in texts], CHUNK):
-                h, starts = _terms(texts[first:last], tables)
+            for _, texts in text_chunks(b.column(1), CHUNK):
+                h, starts = _terms(texts, tables)
                 some += int((np.diff(starts) > 0).sum())
                 total += len(h)
                 at = np.searchsorted(pack.vocabulary, h)
@@ -153,12 +152,11 @@ def _search_pack(docs: DataFrame, items: list[tuple], kind: DataType, k: int) ->
 
         tables, best, sketch = {}, [_Best(k) for _ in items], np.zeros((1 << BITS, DOCS), np.float32)
         for b in batches:
-            ids, texts = b.column(0).fill_null(_LAST).to_numpy(), b.column(1).to_pylist()
-            for at in range(0, len(texts), DOCS):
-                for first, last in chunks([len(t or b"") for t in texts[at : at + DOCS]], CHUNK):
-                    h, starts = _terms(texts[at + first : at + last], tables)
-                    if len(h):
-                        _search_chunk(ids[at + first : at + last], h, starts, pack, documents, total, best, sketch)
+            ids = b.column(0).fill_null(_LAST).to_numpy()
+            for first, texts in text_chunks(b.column(1), CHUNK, DOCS):
+                h, starts = _terms(texts, tables)
+                if len(h):
+                    _search_chunk(ids[first : first + len(texts)], h, starts, pack, documents, total, best, sketch)
         item = np.repeat(np.arange(len(items)), [len(x.ids) for x in best])
         ids, scores = (np.concatenate([np.zeros(0, np.int64), *(getattr(x, c) for x in best)]) for c in ("ids", "scores"))
         names = pa.array([i for i, _ in items], item_type).take(pa.array(item))

@@ -28,7 +28,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end:
         encode, last = ids_of(tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             n, crcs, tails = [], [], []
-            for found in encode(b.column(1).to_pylist()):
+            for found in encode(b.column(1)):
                 ids = found.astype("<u4").tobytes() + last
                 whole = len(ids) // (4 * UNIT)
                 view = memoryview(ids)

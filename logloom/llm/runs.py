@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import chunks, token_hashes
+from logloom.llm.shared import text_chunks, token_hashes
 
 TIMES, LEAST = 4, 6  # a run is at least so many periods, and so many words, long
 CHUNK = 1 << 21  # bytes of text whose grammar is built at once
@@ -285,10 +285,9 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         tables: dict = {}
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
-            out = []
-            for first, last in chunks([len(t) for t in texts], CHUNK):
-                out += _tell(ids[first:last], texts[first:last], tables, tails)
+            ids, out = b.column(0).to_pylist(), []
+            for first, texts in text_chunks(b.column(1), CHUNK):
+                out += _tell(ids[first : first + len(texts)], texts, tables, tails)
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)]], ["id", *names])
 

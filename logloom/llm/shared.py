@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,17 @@ def chunks(sizes: list[int], most: int):
         yield first, at
 
 
+def text_chunks(texts: pa.Array, most: int, rows: int = 1 << 30):
+    """``(first, texts)`` of neighbouring texts of an Arrow column as bytes, ``most`` bytes and ``rows`` texts together, or one longer text.
+
+    Only one chunk at a time is held as Python objects; a null is empty.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a in range(0, len(sizes), rows):
+        for first, last in chunks(sizes[a : a + rows], most):
+            yield a + first, [t or b"" for t in texts.slice(a + first, last - first).to_pylist()]
+
+
 SIEVE = 1 << 27  # bits: 16 MB, whatever the number of keys
 
 

@@ -6,8 +6,9 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 
-from logloom.llm.shared import chunks, span_hashes, spans
+from logloom.llm.shared import span_hashes, spans, text_chunks
 
 SLOT_BITS = 20  # units whose ids a Python worker remembers: at most 2 ** 20
 POOL = 1 << 24  # ids of remembered units; when it is full, all are forgotten
@@ -115,11 +116,10 @@ class Ids:
             out[k] = np.array(self.tok.encode(texts[k].decode(errors="replace"), add_special_tokens=False).ids, np.uint32)
         return out
 
-    def __call__(self, texts: list[bytes | None]):
-        """The ids of every text in turn; null has none."""
-        texts = [t or b"" for t in texts]
-        for a, b in chunks([len(t) for t in texts], CHUNK):
-            yield from self._chunk(texts[a:b])
+    def __call__(self, texts: pa.Array):
+        """The ids of every text of an Arrow column in turn; null has none."""
+        for _, some in text_chunks(texts, CHUNK):
+            yield from self._chunk(some)
 
 
 def ids_of(path: str) -> Ids:

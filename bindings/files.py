@@ -93,73 +93,97 @@ def s7(spark, d):
     return back.select(F.col("sn").cast("bigint").alias("sn"), F.col("iteration").cast("bigint").alias("iteration"), "cycle", "x", "y", "y1", "y2", "revolution", "calibration_time")
 
 
-@query("s8_loose_csv", """
-SELECT CAST(c_custkey AS VARCHAR) AS "Key", c_name AS "Name", c_mktsegment AS "Key_2" FROM customer""")
-def s8(spark, d):
+def _loose(spark, d):
     path = scratch_dir(spark, "loose")
     c = table(spark, d, "customer")
-    # The third header repeats the first.
-    c.select(F.col("c_custkey").alias("Key "), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias(" Key")).write.csv(path, header=True)
-    return tables.read_loose_csv(spark, path).select("Key", "Name", "Key_2")
+    # Two kinds of tables in one folder; a header repeats another.
+    c.select(F.col("c_custkey").alias("Key "), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias(" Key"), F.col("c_nationkey").alias("nation")).write.csv(f"{path}/a", header=True)
+    table(spark, d, "supplier").select(F.col("s_name").alias("Name"), F.col("s_suppkey").alias("supplier")).write.csv(f"{path}/b", header=True)
+    return path
 
 
-def _files(spark, d):
-    """Files of bundles made of the customers, a bundle per hundred."""
-    rows = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
-    names = F.array_join(F.transform("c", lambda r: F.concat(F.lit("name="), r["c_name"])), "\n")
-    key = F.col("grp").cast("string")
-    entries = {
-        "Configuration/customers.ini": F.concat(names, F.lit("\n\n")), "Configuration/sub/customers.ini": F.lit("name=second file of this name"), "Configuration/main.db": F.lit("db"),
-        "backup/Configuration/old.ini": names, "TerminalLogs/term.txt": F.concat(F.lit("started "), key, F.lit("\nname=Customer")),
-        "Readme.txt": F.concat(F.lit("Release notes\nVersion: 1."), key, F.lit("\nPressPlcVersion: 0.1\n")),
-        "x_setupInfo.json": F.concat(F.lit('{"parts": [{"Name": "press-content-mcs-plc", "Version": "7.'), key, F.lit('"}]}')),
-    }
-    each = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(i).alias("entry_no"), F.encode(t, "UTF-8").alias("content")) for i, (e, t) in enumerate(entries.items())])
-    return bundles.route_files(rows.select(F.concat(F.lit("b"), key, F.lit(".zip")).alias("session"), F.inline(each)))
+@query("s8_loose_csv", """
+SELECT CAST(c_custkey AS VARCHAR) AS "Key", c_name AS "Name", c_mktsegment AS "Key_2", CAST(c_nationkey AS VARCHAR) AS nation, '' AS supplier FROM customer UNION ALL
+SELECT '', s_name, '', '', CAST(s_suppkey AS VARCHAR) FROM supplier""")
+def s8(spark, d):
+    names = ["Key", "Name", "Key_2", "nation", "supplier"]
+    return tables.read_loose_csv(spark, _loose(spark, d), names).select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])
 
 
-BUNDLE = "WITH g AS (SELECT c_custkey // 100 AS grp, c_custkey, c_name, c_mktsegment FROM customer)"
+@query("s8_loose_long", """
+SELECT name, value, count(*) AS n FROM (SELECT unnest(['Key', 'Name', 'Key_2', 'nation']) AS name, unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value FROM customer
+UNION ALL SELECT unnest(['Name', 'supplier']), unnest([s_name, CAST(s_suppkey AS VARCHAR)]) FROM supplier) GROUP BY ALL""")
+def s8b(spark, d):
+    return tables.read_loose_long(spark, _loose(spark, d)).groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
-@query("s4_explode_bundles", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) || '.zip' AS session, e.entry, e.kind FROM (SELECT DISTINCT grp FROM g) CROSS JOIN (VALUES ('Configuration/customers.ini', 'config'), ('Configuration/main.db', 'db'),
- ('TerminalLogs/term.txt', 'terminal'), ('Readme.txt', 'readme'), ('x_setupInfo.json', 'setup_info')) e(entry, kind)""")
-def s4(spark, d):
-    return _files(spark, d).select("session", "entry", "kind")
+def _sep_record():
+    """A record of the text logs' first shape."""
+    sep = F.lit("\x1e")
+    return F.concat(
+        _stamp(), sep, "thread", sep, F.lit("r"), sep, F.lit("f"), sep, F.lit("n"), sep, F.lit(""), sep, F.lit("c"), sep,
+        "level", F.lit(" "), "logger", sep, F.coalesce("method", F.lit("loc")), sep, "message", sep, F.lit(""), sep, "data", sep,
+    )
 
 
-@query("s5_bundle_versions", BUNDLE + """
-SELECT DISTINCT 'b' || CAST(grp AS VARCHAR) || '.zip' AS session, '1.' || CAST(grp AS VARCHAR) AS sw_version, '7.' || CAST(grp AS VARCHAR) AS plc_version FROM g""")
-def s5(spark, d):
-    return bundles.bundle_versions(_files(spark, d))
+def _bundles(spark, d):
+    """A folder of bundles, one per session, with the files a machine leaves."""
+    path = scratch_dir(spark, "bundles")
+    for s in ("S0", "S1", "S2"):
+        df, at = logs(spark, d).where(F.col("session") == s), f"{path}/{s}"
+        df.where("source = 'PLC'").drop("session", "source").write.parquet(f"{at}/Logs/engineGroupA.file")
+        df.where("source = 'APP'").select(_sep_record().alias("value")).write.text(f"{at}/Logs/Logger Files/press.host.app 1.log")
+        when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+        df.where("thread = 'Events'").select(F.col("level").alias("Severity"), when.alias("Event Time"), F.col("message").alias("Info"), F.col("thread").alias("EventName")).write.csv(
+            f"{at}/event-history__from_x.csv", header=True, quoteAll=True
+        )
+        lines = table(spark, d, "customer").where(F.col("c_custkey") % 3 == int(s[1])).select(F.concat(F.lit("name="), "c_name").alias("value"))
+        lines.write.text(f"{at}/Configuration/customers.ini")
+        one = lambda text, name: spark.sql(f"SELECT explode(split('{text}', ';')) AS value").coalesce(1).write.text(f"{at}/{name}")  # noqa: B023, E731
+        one("name=second file of this name", "Configuration/sub/customers.ini")
+        one("name=old", "backup/Configuration/old.ini")
+        one(f"started {s};name=Customer", "TerminalLogs/term.txt")
+        one(f"Release notes;Version: 1.{s};PressPlcVersion: 0.1", "Readme.txt")
+        one('{"parts": [{"Name": "press-content-mcs-plc",;"Version": "7.' + s + '"}]}', "x_setupInfo.json")
+    return path
 
 
-def _customers(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"))
-    return rows, F.concat(F.lit("b"), F.floor(F.col("id") / 100).cast("string"))
+FILES = "WITH g AS (SELECT 'S' || CAST(c_custkey % 3 AS VARCHAR) AS session, c_name FROM customer), s AS (SELECT unnest(['S0', 'S1', 'S2']) AS session)"
 
 
-@query("s9_read_db_tables", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) AS session, 'main.db' AS db, 'cust' AS "table", c_custkey AS rowid,
-  '{"id":' || CAST(c_custkey AS VARCHAR) || ',"name":"' || c_name || '","seg":"' || c_mktsegment || '"}' AS row_json FROM g""")
-def s9(spark, d):
-    rows, session = _customers(spark, d)
-    return bundles.table_rows(rows, session, "main.db", "cust", "id")
+@query("s4_list_bundle", FILES + """
+SELECT session, e.entry, e.kind FROM s CROSS JOIN (VALUES ('Logs/engineGroupA.file', 'main_log'), ('Logs/Logger Files/press.host.app 1.log', 'app_text'), ('event-history__from_x.csv', 'events_csv'),
+ ('Configuration/customers.ini', 'config'), ('TerminalLogs/term.txt', 'terminal'), ('Readme.txt', 'readme'), ('x_setupInfo.json', 'setup_info')) e(entry, kind)""")
+def s4(spark, d):
+    return bundles.list_bundle(spark, _bundles(spark, d)).select("session", "entry", "kind")
+
 
+@query("s4_bundle_records", with_logs("""
+SELECT session, source, CASE source WHEN 'PLC' THEN ts ELSE date_trunc('millisecond', ts) END AS ts, CASE source WHEN 'PLC' THEN level ELSE upper(level) END AS level, thread, logger,
+  CASE source WHEN 'PLC' THEN coalesce(method, '') ELSE coalesce(method, 'loc') END AS method, message, coalesce(data, '') AS data,
+  thread = 'Manager' AND contains(message, '->') AND source = 'PLC' AS is_transition, contains(message, 'PLC_FAILURE_STATE_CHANGE') AND source = 'PLC' AS is_failure FROM logs"""))
+def s4b(spark, d):
+    rows = bundles.bundle_records(bundles.read_bundle(spark, _bundles(spark, d)))
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("method", "data")}
+    return rows.orderBy("session", "ts", "source", "seq").drop("seq", "file").withColumns(texts)
 
-@query("s10_db_catalog", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) AS session, c.col AS "column", c.type, c.pk AS primary_key, n AS n_rows
-FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp) CROSS JOIN (VALUES ('id', 'bigint', 1), ('name', 'string', 0), ('seg', 'string', 0)) c(col, type, pk)""")
-def s10(spark, d):
-    rows, session = _customers(spark, d)
-    return bundles.table_catalog(rows, session, "main.db", "cust", "id").select("session", "column", "type", F.col("primary_key").cast("int"), "n_rows")
+
+@query("s4_bundle_events", with_logs("SELECT session, date_trunc('millisecond', ts) AS ts, thread AS name, level AS severity, message AS description FROM logs WHERE thread = 'Events'"))
+def s4c(spark, d):
+    rows = bundles.read_bundle(spark, _bundles(spark, d))["events"]
+    return rows.select("session", F.col("ts").cast("timestamp_ntz").alias("ts"), "name", "severity", "description")
+
+
+@query("s5_bundle_versions", FILES + " SELECT session, '1.' || session AS sw_version, '7.' || session AS plc_version FROM s")
+def s5(spark, d):
+    return bundles.bundle_versions(spark, _bundles(spark, d))
 
 
-@query("s11_grep_lines", BUNDLE + """
-SELECT 'b' || CAST(grp AS VARCHAR) || '.zip' AS session, 'Configuration/customers.ini' AS entry, 'name=' || c_name AS line FROM g WHERE contains(lower('name=' || c_name), 'customer') UNION ALL
-SELECT DISTINCT 'b' || CAST(grp AS VARCHAR) || '.zip', 'TerminalLogs/term.txt', 'name=Customer' FROM g""")
+@query("s11_grep_lines", FILES + """
+SELECT session, 'Configuration/customers.ini' AS entry, 'name=' || c_name AS line FROM g WHERE contains(lower('name=' || c_name), 'customer') UNION ALL
+SELECT session, 'TerminalLogs/term.txt', 'name=Customer' FROM s""")
 def s11(spark, d):
-    return bundles.grep_lines(_files(spark, d), "CUSTOMER").select("session", "entry", "line")
+    return bundles.grep_lines(bundles.bundle_lines(spark, _bundles(spark, d)), "CUSTOMER").select("session", "entry", "line")
 
 
 @query("k2_slice_csv", """

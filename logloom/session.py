@@ -31,11 +31,14 @@ def build_session(name: str = "logloom", master: str | None = None, **conf: str)
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables, on the cluster's shared storage.
 
-    The place comes from ``spark.checkpoint.dir``.  Only a session without that
-    setting (a local test) falls back to a folder on this machine.
+    The place is ``spark.checkpoint.dir``, or what the context's
+    ``setCheckpointDir`` has set.  Only a local session without either gets a
+    folder of this machine; a cluster without it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    leaf = f"{label}-{uuid.uuid4().hex[:12]}"
-    if base:
-        return f"{base.rstrip('/')}/logloom/{leaf}"
-    return f"{tempfile.mkdtemp(prefix='logloom-')}/{leaf}"
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="logloom-")
+    return f"{base.rstrip('/')}/logloom/{label}-{uuid.uuid4().hex[:12]}"

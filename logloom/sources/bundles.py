@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import contains_ci
-
-SCHEMA = "session string, entry string, name string, kind string, entry_no int, content binary"
+from logloom.operators.fields import tag_records
+from logloom.sources.lines import number_lines, read_lines
+from logloom.sources.logs import read_app_text_logs
+from logloom.sources.tables import read_events_csv
+
+#: Columns of decoded records.
+RECORD = "seq bigint, ts timestamp_ntz, level string, thread string, logger string, method string, message string, data string"
+FEW_FILES = 100_000  # up to so many names the listing is broadcast
 # Folders whose files are copies, and how files are told apart.
 SKIPPED_FOLDERS = r"(?i)[/\\](backup|old|temp|archive)[/\\]"
 CONFIG_FOLDER = r"(?i)(^|[/\\])configuration[/\\]"
@@ -20,7 +28,12 @@ ONE_PER_NAME = ("config", "terminal", "db")
 
 def route_entry(entry: Column | str) -> Column:
     """Kind of a file by its path inside the bundle; null means not wanted."""
-    e = F.col(entry) if isinstance(entry, str) else entry
+    entry = F.col(entry) if isinstance(entry, str) else entry
+    # As the one element of an array the path is worked out once.
+    return F.get(F.transform(F.array(entry), _route), F.lit(0))
+
+
+def _route(e: Column) -> Column:
     name = F.lower(F.regexp_extract(e, r"([^/\\]*)$", 1))
     named_app = F.lit(False)
     for n in APP_NAMES:
@@ -43,45 +56,103 @@ def route_entry(entry: Column | str) -> Column:
     )
 
 
-def route_files(files: DataFrame) -> DataFrame:
-    """Wanted files with their kind; of files of one name in a session the first
-    counts for configuration, terminal and database files."""
-    every = files.withColumns({
-        "kind": route_entry("entry"), "name": F.regexp_extract("entry", r"([^/\\]*)$", 1),
-    }).where(F.col("kind").isNotNull())
-    once = F.col("kind").isin(*ONE_PER_NAME)
-    # The first of a name is found on names alone; contents are not shuffled for it.
-    firsts = every.where(once).groupBy("session", "kind", "name").agg(
-        F.min(F.struct("entry_no", "entry")).alias("_first")
-    ).select("session", "kind", "name", "_first.entry_no", "_first.entry")
-    kept = every.where(once).join(firsts, ["session", "kind", "name", "entry_no", "entry"], "left_semi")
-    cols = ["session", "entry", "name", "kind", "entry_no", "content"]
-    return every.where(~once).select(*cols).unionByName(kept.select(*cols))
-
-
-def explode_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """``(session, entry, name, kind, entry_no, content)`` of every wanted file
-    of an unpacked bundle; the session is the top folder below ``path``.
-    """
+def entry_of(path: Column, root: str) -> Column:
+    """Path of a file below ``root``.  A folder of parts, as Spark writes it, counts as one file."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    bare = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), scheme, "")
+    folder = re.sub(scheme, "", root).rstrip("/") + "/"
+    return F.regexp_replace(F.substr(bare, F.instr(bare, F.lit(folder)) + F.lit(len(folder))), r"[/\\]part-[^/\\]*$", "")
+
+
+def _placed(path: Column, root: str) -> Column:
+    """``session, entry, kind`` of a file: the top folder below ``root``, the path inside it, and what it is."""
+
+    def parts(e: Column) -> Column:
+        deep = F.contains(e, F.lit("/"))
+        inner = F.when(deep, F.substr(e, F.instr(e, F.lit("/")) + 1)).otherwise(e)
+        session = F.when(deep, F.split_part(e, F.lit("/"), F.lit(1))).otherwise(F.lit("loose"))
+        return F.struct(session.alias("session"), inner.alias("entry"), route_entry(inner).alias("kind"))
+
+    return F.get(F.transform(F.array(entry_of(path, root)), parts), F.lit(0))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.col("length") > 0)
-    root = F.lit(path.rstrip("/") + "/")
-    below = F.substr("path", F.instr(F.col("path"), root) + F.length(root))
-    loose = files.select(
-        F.when(F.contains(below, F.lit("/")), F.split_part(below, F.lit("/"), F.lit(1))).otherwise(F.lit("loose")).alias("session"),
-        below.alias("entry"), F.lit(0).alias("entry_no"), "content",
+    # Here paths come as they are, and not with %20 for a space as next to a scan.
+    return files.withColumn("_p", _placed(F.replace(F.col("path"), F.lit("%"), F.lit("%25")), path))
+
+
+def list_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """``(session, entry, name, kind, length)`` of the wanted files of unpacked bundles; nothing is opened.
+
+    The session is the top folder below ``path``.  Of configuration, terminal
+    and database files of one name in a session the first counts.
+    """
+    whole = _listed(spark, path).where(F.col("_p.kind").isNotNull()).groupBy("_p").agg(F.sum("length").alias("length")).where("length > 0")
+    named = whole.select("_p.*", "length", F.regexp_extract("_p.entry", r"([^/\\]*)$", 1).alias("name"))
+    once = F.col("kind").isin(*ONE_PER_NAME)
+    cols = ["session", "entry", "name", "kind", "length"]
+    firsts = named.where(once).groupBy("session", "kind", "name").agg(F.min(F.struct("entry", "length")).alias("f"))
+    return named.where(~once).select(*cols).unionByName(firsts.select("session", "kind", "name", "f.*").select(*cols))
+
+
+def _of_kind(path: str, *kinds: str):
+    """Test of a file's path for the readers: is it of one of these kinds?"""
+    return lambda file: F.coalesce(_placed(file, path)["kind"].isin(*kinds), F.lit(False))
+
+
+def bundle_lines(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("config", "terminal")) -> DataFrame:
+    """``(session, entry, line_no, line)`` of the files of some kinds, read by blocks."""
+    lines = number_lines(read_lines(spark, path, _of_kind(path, *kinds)))
+    rows = lines.withColumn("_p", _placed(F.col("file"), path)).select(
+        "_p.session", "_p.entry", F.col("line_no").cast("int").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line")
     )
-    return route_files(loose)
+    listed = list_bundle(spark, path).where(F.col("kind").isin(*kinds)).select("session", "entry")
+    small = listed.count() <= FEW_FILES
+    return rows.join(F.broadcast(listed) if small else listed, ["session", "entry"], "left_semi")
+
 
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Everything a folder of unpacked bundles holds, as tables.
 
-def _as_text(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    ``files`` (the listing), ``main`` (decoded records of the main and numeric
+    logs, Parquet), ``app`` (application text logs), ``events``, ``lines``
+    (configuration and terminal files), ``versions``.  Files are told apart by
+    their paths before any is opened; each kind is one scan that splits its
+    files into blocks, so no log has to fit a cell or a task.
+    """
+    placed = lambda df: df.withColumn("_p", _placed(F.col("file"), path))
+    own = lambda df: placed(df).withColumns({"session": F.col("_p.session"), "file": F.col("_p.entry")}).drop("_p")
+    main = spark.read.schema(RECORD).option("recursiveFileLookup", "true").parquet(path)
+    main = main.where(_of_kind(path, "main_log", "app_numeric")(F.col("_metadata.file_path"))).withColumn("file", F.col("_metadata.file_path"))
+    source = F.when(F.col("_p.kind") == "main_log", "PLC").otherwise("APP")
+    return {
+        "files": list_bundle(spark, path),
+        "main": own(placed(main).withColumn("source", source)),
+        "app": own(read_app_text_logs(spark, path, _of_kind(path, "app_text"))),
+        "events": own(read_events_csv(spark, path, _of_kind(path, "events_csv"))),
+        "lines": bundle_lines(spark, path),
+        "versions": bundle_versions(spark, path),
+    }
+
+
+def bundle_records(bundle: dict[str, DataFrame]) -> DataFrame:
+    """The records of all logs of a bundle in one table, transitions and failures marked.
+
+    Sorted by session, time, source and number they are in the order of the log view.
+    """
+    app = bundle["app"].withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("process", "pattern", "exception")
+    return tag_records(bundle["main"].unionByName(app))
 
 
-def bundle_versions(files: DataFrame) -> DataFrame:
-    """Software and PLC version per session; the setup file beats the readme."""
-    text = _as_text(F.col("content"))
+def bundle_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Software and PLC version per session; the setup file beats the readme.
+
+    Only these small files are read as a whole.
+    """
+    files = _listed(spark, path).select("_p.session", "_p.kind", "content")
     wanted = files.where(F.col("kind").isin("readme", "setup_info"))
+    text = F.decode("content", "UTF-8")
     setup = r'(?i)"Name"\s*:\s*"press-content-mcs-plc"[\s\S]*?"Version"\s*:\s*"([^"]+)"'
     plc_rank = F.when(F.col("kind") == "setup_info", 1).otherwise(0)
     parsed = wanted.select(
@@ -92,7 +163,7 @@ def bundle_versions(files: DataFrame) -> DataFrame:
     found = parsed.groupBy("session").agg(
         F.max("_sw").alias("sw"), F.max_by("_plc", F.when(F.col("_plc").isNotNull(), F.col("_rank"))).alias("plc")
     )
-    sessions = files.select("session").distinct()
+    sessions = list_bundle(spark, path).select("session").distinct()
     return sessions.join(found, "session", "left").select(
         "session", F.coalesce("sw", F.lit("Unknown")).alias("sw_version"), F.coalesce("plc", F.lit("Unknown")).alias("plc_version")
     )
@@ -102,28 +173,6 @@ def _group(text: Column, pattern: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\r", "")), F.lit(""))
 
 
-def grep_lines(files: DataFrame, text: str, kinds: tuple[str, ...] = ("config", "terminal")) -> DataFrame:
-    """Lines of configuration and terminal files that contain a text."""
-    rows = files.where(F.col("kind").isin(*kinds))
-    lines = rows.select("session", "entry", F.posexplode(F.split(_as_text(F.col("content")), r"\r?\n")).alias("_n", "line"))
-    found = lines.where((F.trim("line") != "") & contains_ci("line", text))
-    return found.select("session", "entry", (F.col("_n") + 1).alias("line_no"), "line")
-
-
-def table_rows(df: DataFrame, session: Column, db: str, table: str, key: str) -> DataFrame:
-    """Rows of a table as ``(session, db, table, rowid, row_json)``, for browsing
-    tables of different columns in one."""
-    return df.select(
-        session.alias("session"), F.lit(db).alias("db"), F.lit(table).alias("table"), F.col(key).cast("bigint").alias("rowid"),
-        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row_json"),
-    )
-
-
-def table_catalog(df: DataFrame, session: Column, db: str, table: str, key: str) -> DataFrame:
-    """Columns of a table and its number of rows, per session."""
-    fields = F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(not f.nullable).alias("not_null"), F.lit(f.name == key).alias("primary_key"))
-        for f in df.schema.fields
-    ])
-    counted = df.groupBy(session.alias("session")).agg(F.count("*").alias("n_rows"))
-    return counted.select("session", F.lit(db).alias("db"), F.lit(table).alias("table"), "n_rows", F.inline(fields))
+def grep_lines(lines: DataFrame, text: str) -> DataFrame:
+    """Lines of :func:`bundle_lines` that contain a text."""
+    return lines.where((F.trim("line") != "") & contains_ci("line", text))

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.timeslice import SLICE, number_rows
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(file, _slice, _at, value)`` of every line.
 
+    ``wanted`` tells from a file's path whether it is read; others are not opened.
+
     ``_slice`` is the start of the block the line was read from and ``_at`` its
     place inside it, so (file, _slice, _at) is the order of the file while a
     block, not a file, is the unit of ordered work.
     """
     options = {"recursiveFileLookup": "true"}
     # The block a line was read from is known only next to the scan.
-    return spark.read.options(**options).text(path).select(
+    rows = spark.read.options(**options).text(path)
+    rows = rows if wanted is None else rows.where(wanted(F.col("_metadata.file_path")))
+    return rows.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias(SLICE),
         F.monotonically_increasing_id().alias("_at"),

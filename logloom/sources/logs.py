@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,8 +100,8 @@ def parse_app_records(records: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def read_app_text_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Application text logs, one row per record of one or many lines."""
-    records = assemble_records(read_lines(spark, path))
+def read_app_text_logs(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Application text logs, one row per record of one or many lines; ``wanted`` as in ``read_lines``."""
+    records = assemble_records(read_lines(spark, path, wanted))
     parsed = parse_app_records(records)
     return parsed.select(session_of().alias("session"), F.lit("APP").alias("source"), *parsed.columns)

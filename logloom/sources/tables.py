@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,9 +48,9 @@ def _first_lines(lines: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= n).groupBy(F.col("file").alias("_file")).agg(head.alias("_head"))
 
 
-def _with_header(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def _with_header(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Lines below each file's first one, with that line as ``_header``."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, wanted)
     head = _first_lines(lines, 1).select("_file", F.col("_head")[0]["value"].alias("_header"), F.col("_head")[0]["_at"].alias("_first"))
     below = lines.join(head, F.col("file") == F.col("_file"))
     return below.where((F.col(SLICE) != 0) | (F.col("_at") != F.col("_first"))).drop("_file", "_first")
@@ -62,13 +62,13 @@ def _place(names: Column, fits) -> Column:
     return F.get(F.filter(spots, lambda i: fits(F.get(names, i))), F.lit(0))
 
 
-def read_events_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_events_csv(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Machine events from tables with freely named columns.
 
-    Rows whose time cannot be read are dropped.
+    Rows whose time cannot be read are dropped; ``wanted`` as in ``read_lines``.
     """
     names = F.transform(F.split("_header", ","), lambda h: F.lower(F.trim(F.trim(h), F.lit('"'))))
-    rows = _with_header(spark, path).where(F.trim("value") != "").withColumn("_n", names)
+    rows = _with_header(spark, path, wanted).where(F.trim("value") != "").withColumn("_n", names)
 
     def fits(rule: dict):
         def test(name: Column) -> Column:
@@ -202,20 +202,32 @@ def calibration_time(raw: Column) -> Column:
     return F.when(local.isNull(), raw).when(zone != "", F.concat_ws(" ", shown, zone)).otherwise(shown)
 
 
-def read_loose_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Plain comma separated text: no quoting, blank headers ``ColN``, equal
-    headers numbered ``_2``, ``_3``; blank lines dropped."""
+def read_loose_long(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Plain comma separated text as ``(file, row_no, col, name, value)``, however many columns and headers.
+
+    No quoting; blank headers are ``ColN``, equal headers numbered ``_2``, ``_3``;
+    blank lines are dropped, missing cells empty.  Names are worked out once for
+    each different header and joined.
+    """
     rows = _with_header(spark, path).where(F.trim("value") != "")
-    headers = [r[0] for r in rows.select("_header").distinct().orderBy("_header").collect()]
-    if not headers:
-        return spark.createDataFrame([], "file string")
-    places = {h: {n: i for i, n in enumerate(loose_headers(h))} for h in headers}
-    names = list(dict.fromkeys(n for h in headers for n in places[h]))
-    # A header's places of all columns, -1 for those it has not.
-    known = F.create_map(*[x for h in headers for x in (F.lit(h), F.array(*[F.lit(places[h].get(n, -1)) for n in names]))])
-    cells = rows.select("file", F.split("value", ",").alias("_c"), F.element_at(known, F.col("_header")).alias("_p"))
-    cell = lambda k: F.when(F.get("_p", F.lit(k)) >= 0, F.coalesce(F.trim(F.get("_c", F.get("_p", F.lit(k)))), F.lit("")))
-    return cells.select("file", *[cell(k).alias(n) for k, n in enumerate(names)])
+    numbered = number_lines(rows, "row_no").withColumn("row_no", F.col("row_no") - 1)
+    headers = rows.select("_header").distinct().mapInPandas(_loose_names, "_of string, col int, name string")
+    cells = numbered.select("file", "row_no", "_header", F.split("value", ",").alias("_c"))
+    named = cells.join(headers, F.col("_header") == F.col("_of"))
+    return named.select("file", "row_no", "col", "name", F.coalesce(F.trim(F.get("_c", F.col("col"))), F.lit("")).alias("value"))
+
+
+def _loose_names(batches):
+    for pdf in batches:
+        rows = [(h, i, n) for h in pdf["_header"] for i, n in enumerate(loose_headers(h))]
+        yield pd.DataFrame(rows, columns=["_of", "col", "name"])
+
+
+def read_loose_csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The named columns of :func:`read_loose_long`, a row per line; null where a file has no such column."""
+    long = read_loose_long(spark, path)
+    pick = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+    return long.groupBy("file", "row_no").agg(*pick).select("file", *names)
 
 
 def loose_headers(line: str) -> list[str]:

@@ -54,7 +54,7 @@ def test_bad_cells_and_repeated_headers(spark, tmp_path):
     assert sorted(rows) == [(0, 0, 0.0), (0, 0, float("inf")), (1, 2, 3.5)]
     (tmp_path / "loose").mkdir()
     (tmp_path / "loose" / "l.csv").write_text("a,b\n1,2\na,b\n")
-    assert sorted(tuple(r)[1:] for r in tables.read_loose_csv(spark, str(tmp_path / "loose")).collect()) == [("1", "2"), ("a", "b")]
+    assert sorted(tuple(r)[1:] for r in tables.read_loose_csv(spark, str(tmp_path / "loose"), ["a", "b"]).collect()) == [("1", "2"), ("a", "b")]
     odd = spark.createDataFrame([("Infinity",), ("NaN",), ("-1e300",), ("1700000000",)], "t string").select(parse_time("t").alias("t"))
     assert [r.t is None for r in odd.collect()] == [True, True, True, False]
 
@@ -100,7 +100,10 @@ def test_calibration_table(spark, tmp_path):
 def test_loose_headers(spark, tmp_path):
     assert tables.loose_headers(" a ,, a,a") == ["a", "Col2", "a_2", "a_3"]
     (tmp_path / "l.csv").write_text("a,,a\n1,\"x\n\n 2 ,3,4,5\n")
-    assert [tuple(r)[1:] for r in tables.read_loose_csv(spark, str(tmp_path)).orderBy("a").collect()] == [("1", '"x', ""), ("2", "3", "4")]
+    assert [tuple(r)[1:] for r in tables.read_loose_csv(spark, str(tmp_path), ["a", "Col2", "a_2"]).orderBy("a").collect()] == [("1", '"x', ""), ("2", "3", "4")]
+    (tmp_path / "m.csv").write_text("b," + ",".join(f"c{i}" for i in range(5000)) + "\n7\n")
+    long = tables.read_loose_long(spark, str(tmp_path))
+    assert long.count() == 6 + 5001 and [r.value for r in long.where("name = 'b'").collect()] == ["7"]
 
 
 def test_column_lookup():
@@ -123,30 +126,25 @@ def test_bundles_from_folders(spark, tmp_path):
     for name, text in {"one/Readme.txt": "PressPlcVersion= 3\r\n", "one/backup/old.ini": "no", "two/TerminalLogs/a.txt": "Hit\n\nmiss\nanother HIT", "two/empty.png": ""}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(text.encode())
-    files = bundles.explode_bundles(spark, f"file:{tmp_path}")
-    assert {(r.session, r.kind) for r in files.collect()} == {("one", "readme"), ("two", "terminal")}
-    assert [(r.session, r.line_no, r.line) for r in bundles.grep_lines(files, "hit").orderBy("line_no").collect()] == [("two", 1, "Hit"), ("two", 4, "another HIT")]
-    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(files).collect()} == {"one": ("3", "3"), "two": ("Unknown", "Unknown")}
-
-
-def test_long_texts_are_compared_whole(spark):
-    same = "".join(chr(97 + i * 7 % 26) for i in range(1500))
-    pairs = [(1, same + "left end", same + "right end"), (2, "x" + same + "y" * 1200, "z" + same[::-1] + "y" * 700)]
-    for r in diff_texts(spark.createDataFrame(pairs, "id int, left_message string, right_message string")).collect():
-        left, right = ([(s.text, s.type) for s in x] for x in (r.left_segments, r.right_segments))
-        assert "".join(t for t, _ in left) == r.left_message and "".join(t for t, _ in right) == r.right_message
-        assert "".join(t for t, k in left if k == "Unchanged") == "".join(t for t, k in right if k == "Unchanged")
-        assert any(k == "Removed" for _, k in left) and any(k == "Added" for _, k in right)
-        if r.id == 1:
-            assert left[0][0].startswith(same) and [k for _, k in left][0] == "Unchanged"
-
-
-def test_diff_segments(spark):
-    df = spark.createDataFrame([(1, "abcd", "abXd"), (2, "n 12", "n 34"), (3, "a" * 510 + "x", "a" * 510 + "yy"), (4, None, "b")], "id int, left_message string, right_message string")
-    df = df.select("id", F.coalesce("left_message", F.lit("")).alias("left_message"), "right_message")
-    got = {r.id: r for r in diff_texts(df).collect()}
-    assert [(s.text, s.type) for s in got[1].left_segments] == [("ab", "Unchanged"), ("c", "Removed"), ("d", "Unchanged")]
-    assert [(s.text, s.type) for s in got[1].right_segments] == [("ab", "Unchanged"), ("X", "Added"), ("d", "Unchanged")]
-    assert got[2].are_equal and got[2].left_segments[0].text == "n 12"
-    assert not got[3].are_equal and "".join(s.text for s in got[3].right_segments) == "a" * 510 + "yy"
-    assert [(s.text, s.type) for s in got[4].right_segments] == [("b", "Added")]
+    path = f"file:{tmp_path}"
+    assert {(r.session, r.kind, r.length) for r in bundles.list_bundle(spark, path).collect()} == {("one", "readme", 20), ("two", "terminal", 21)}
+    lines = bundles.bundle_lines(spark, path)
+    assert [(r.session, r.line_no, r.line) for r in bundles.grep_lines(lines, "hit").orderBy("line_no").collect()] == [("two", 1, "Hit"), ("two", 4, "another HIT")]
+    assert {r.session: (r.sw_version, r.plc_version) for r in bundles.bundle_versions(spark, path).collect()} == {"one": ("3", "3"), "two": ("Unknown", "Unknown")}
+
+
+def test_bundle_to_records(spark, tmp_path):
+    """Odd names, a log of many lines, an unwanted folder with files no reader could open."""
+    at = tmp_path / "b 1%+x"
+    rows = [(i, f"2026-01-01 00:00:0{i}", "Info", "Manager", "L", None, "PlcMngr: A -> B", None) for i in range(4)]
+    names = "seq bigint, ts string, level string, thread string, logger string, method string, message string, data string"
+    main = spark.createDataFrame(rows, names).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    main.write.parquet(str(at / "x" / "EngineGroupA.file"))
+    main.withColumn("thread", F.lit("T")).write.parquet(str(at / "x" / "50300001.file.log.8865"))
+    for name, text in {"logs/Logger Files/AppDev.log": "head\n2026-01-01 00:00:01,500 |t| |r| |f| |n| || |c| WARN  A.B\n|Run|\nmsg ||\n", "old/enginegroupa.file": "no table", "q/enginegroupb.txt": "?"}.items():
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_text(text)
+    got = bundles.bundle_records(bundles.read_bundle(spark, str(tmp_path) + "/")).orderBy("ts", "source", "seq").collect()
+    assert [(r.source, r.file, r.is_transition) for r in got if r.seq == 1 and r.message != "msg"] == [("APP", "x/50300001.file.log.8865", False), ("PLC", "x/EngineGroupA.file", True)]
+    assert len(got) == 9 and {r.session for r in got} == {"b 1%+x"}
+    assert [(r.level, r.method, r.file) for r in got if r.message == "msg"] == [("WARN", "Run", "logs/Logger Files/AppDev.log")]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import cut
+from logloom.llm.shared import TEXTS, cut
 from logloom.llm.tokens import ids_of
 
 CAPACITY = 2048
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     count as empty (one token, ``end``), null ids stay, repeated rows are
     documents of their own; an empty table gives no pieces.
     """
-    rows = cut(measured(docs, id_col, text_col, tokenizer, end, capacity)).withColumn("size", F.col("n") % capacity)
+    rows = cut(measured(docs, id_col, text_col, tokenizer, end, capacity), TEXTS).withColumn("size", F.col("n") % capacity)
     known = rows.where("size > 0").groupBy("task", "size").agg((F.max("rank") + 1).alias("rows"))
     known = cut(known.withColumn("first", F.sum("rows").over(Window.partitionBy("size").orderBy("task")) - F.col("rows")))
     counts = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.sum("rows").alias("n")).collect()}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import cut
+from logloom.llm.shared import TEXTS, cut
 from logloom.llm.tokens import ids_of
 
 CAPACITY = 4096
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     and tails are shuffled, never texts or ids.
     """
     spark = docs.sparkSession
-    rows = cut(tokenized(docs, id_col, text_col, tokenizer, end)).withColumns({
+    rows = cut(tokenized(docs, id_col, text_col, tokenizer, end), TEXTS).withColumns({
         "slice": F.expr(f"shiftright(row, 33) * {1 << (33 - SLICE_BITS)} + shiftright(row & {(1 << 33) - 1}, {SLICE_BITS})"),
         "size": F.expr(f"n div {UNIT} % {UNITS}"),
     })

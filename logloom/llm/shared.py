@@ -26,10 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there; Spark removes it when nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS = 1000  # whole texts that go to Python at once
+
+
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there; Spark removes it when nothing refers to it.
+
+    ``batch`` bounds the rows that go to Python at once while this is worked
+    out, for rows that hold whole texts.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if batch is None:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.shared import cut
+from logloom.llm.shared import TEXTS, cut
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 RADIUS = 2
@@ -101,7 +101,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_pairs(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``(a, b)``: ids that join all whose fingerprints are equal or within 2 bits; rows of one id are one."""
-    rows = cut(fingerprints(docs, id_col, text_col, size).distinct())
+    rows = cut(fingerprints(docs, id_col, text_col, size).distinct(), TEXTS)
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     same = rows.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     side = lambda k: first.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_id"))
@@ -116,7 +116,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty.  A null id gets its group's component; it is
     never a component's id unless all ids of the group are null.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, size, seed))
+    rows = cut(fingerprints(docs, id_col, text_col, size, seed), TEXTS)
     first = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(first.select("fp")), "a", "b")
     placed = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

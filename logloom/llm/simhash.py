@@ -17,7 +17,8 @@ RADIUS = 2
 _CHUNK = 65536
 
 
-def _fingerprint(text: bytes | None, size: int, seed: int) -> int:
+def fingerprint(text: bytes | None, size: int, seed: int) -> int:
+    """The 64-bit SimHash of a text's shingles of ``size`` words, signed."""
     import xxhash
 
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
@@ -47,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = [_fingerprint(t.as_py(), size, seed) for t in b.column(1)]
+            fps = [fingerprint(t.as_py(), size, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {kind}, fp long")
@@ -99,9 +100,9 @@ def links(fps: DataFrame) -> DataFrame:
     return met.where((F.col("a") > F.col("b")) & (F.bit_count(unlike) <= RADIUS) & (in_segment != 0)).select("a", "b")
 
 
-def near_pairs(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(a, b)``: ids that join all whose fingerprints are equal or within 2 bits; rows of one id are one."""
-    rows = cut(fingerprints(docs, id_col, text_col, size).distinct(), TEXTS)
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """``(a, b)``: ids of rows ``(id, fp)`` that join all whose fingerprints are equal or within 2 bits; rows of one id are one."""
+    rows = cut(rows.select("id", "fp").distinct())
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     same = rows.join(first.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     side = lambda k: first.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_id"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query
 from bindings.tables import calib, logs, slices, table, with_calib, with_logs
-from logloom.operators import stats
 from logloom.operators.slices import explode_slices, slice_columns
 from logloom.session import scratch_dir
 from logloom.sources import bundles, tables
@@ -24,12 +23,12 @@ def _write_text(df, path, col="value"):
 
 
 @query("s1_read_logs", with_logs("""
-SELECT count(*) AS n, count(*) FILTER (thread = 'Manager' AND contains(message, '->')) AS n_transitions, count(*) FILTER (contains(message, 'PLC_FAILURE_STATE_CHANGE')) AS n_failures FROM logs"""))
+SELECT *, thread = 'Manager' AND contains(message, '->') AS is_transition, contains(message, 'PLC_FAILURE_STATE_CHANGE') AS is_failure FROM logs"""))
 def s1(spark, d):
     path = scratch_dir(spark, "decoded")
     logs(spark, d).write.partitionBy("session", "source").parquet(path)
     back = log_files.read_logs(spark, path)
-    return back.agg(F.count("*").alias("n"), F.count_if("is_transition").alias("n_transitions"), F.count_if("is_failure").alias("n_failures"))
+    return back.withColumns({c: F.col(c).cast("string") for c in ("session", "source")})
 
 
 # Two shapes of record, the second over several lines, in one folder.
@@ -196,15 +195,6 @@ def k2(spark, d):
     return back.select("spread_id", "stripe_id", "slice_index", "hv_target")
 
 
-@query("k5_write_report", with_logs("SELECT CAST(7 AS BIGINT) AS n_sections, CAST(1 AS BIGINT) AS has_lines FROM (SELECT count(*) FROM logs)"))
-def k5(spark, d):
-    path = scratch_dir(spark, "report")
-    stats.write_report(stats.stats_report(logs(spark, d), threshold=1800), path)
-    back = spark.read.text(path)
-    section = F.regexp_extract("value", r"^\[([^\]]*)\]", 1)
-    return back.agg((F.count_distinct(section) - 1).alias("n_sections"), (F.count("*") > 0).cast("bigint").alias("has_lines"))
-
-
 # --- live logs: the stream's result is read back from its sink ----------------
 
 

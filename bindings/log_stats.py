@@ -8,6 +8,7 @@ from bindings.log_times import MOVES
 from bindings.registry import query
 from bindings.tables import logs, table, with_logs
 from logloom.operators import filters, stats
+from logloom.session import scratch_dir
 
 KEY = ["session", "source", "seq"]
 
@@ -111,10 +112,31 @@ def a24(spark, d):
     return stats.build_word_index(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-@query("a24_word_lookup", with_logs("""
-SELECT session, source, seq FROM logs WHERE list_contains(string_split(translate(lower(message), ' .:,[]()' || chr(9) || '-_/\\', repeat(chr(1), 13)), chr(1)), 'failed')"""))
+def _kept_index(spark, d):
+    path = scratch_dir(spark, "words")
+    stats.write_word_index(stats.build_word_index(logs(spark, d)), path)
+    return path
+
+
+_WORDS = "string_split(translate(lower(message), ' .:,[]()' || chr(9) || '-_/\\', repeat(chr(1), 13)), chr(1))"
+
+
+@query("a24_word_lookup", with_logs(f"SELECT session, source, seq FROM logs WHERE list_contains({_WORDS}, 'failed')"))
 def a24b(spark, d):
-    return stats.word_lookup(stats.build_word_index(logs(spark, d)), "Failed")
+    return stats.word_lookup(spark, _kept_index(spark, d), "Failed")
+
+
+@query("a24_word_and", with_logs(f"SELECT session, source, seq FROM logs WHERE list_contains({_WORDS}, 'failed') AND list_contains({_WORDS}, 'u3') AND list_contains({_WORDS}, 'code')"))
+def a24c(spark, d):
+    return stats.word_lookup(spark, _kept_index(spark, d), "code", "FAILED", "u3")
+
+
+@query("a24_kept_index", with_logs(f"""
+SELECT word, session, source, block, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT DISTINCT unnest({_WORDS}) AS word, session, source, CAST(seq // 100000 AS BIGINT) AS block, seq FROM logs)
+WHERE length(word) >= 2 GROUP BY ALL"""))
+def a24d(spark, d):
+    rows = spark.read.parquet(_kept_index(spark, d))
+    return rows.select("word", "session", "source", "block", F.size("seqs").cast("bigint").alias("n"), F.array_min("seqs").alias("first_seq"), F.array_max("seqs").alias("last_seq"))
 
 
 @query("a25_grep_summary", with_logs("""
@@ -173,24 +195,39 @@ def w7b(spark, d):
     from logloom.operators.calibration import smooth
     from logloom.operators.timeslice import number_rows
 
-    sampled = _signals(spark, d).withColumn("_t", F.timestamp_micros("idx"))
-    dense = number_rows(sampled, ["signal"], ["_t"], "n", 0.1).select("signal", (F.col("n") - 1).alias("idx"), "value")
+    dense = number_rows(_signals(spark, d), ["signal"], ["idx"], "n").select("signal", (F.col("n") - 1).alias("idx"), "value")
     return smooth(dense, 10).select("signal", "idx", F.round(F.coalesce("value", F.lit(-1.0)), 6).alias("value"))
 
 
-@query("k5_stats_report", _with("""
+def _load(title: str, source: str, col: str, short: bool = False) -> str:
+    """A load section of the report."""
+    name = f"array_to_string(list_slice(string_split({col}, '.'), -2, -1), '.')" if short else col
+    return f"""SELECT '{title}' AS section, name, c, full_name || ': ' || format('{{:,}}', c) || ' (' || printf('%.1f', c / total * 100) || '%)' AS text
+  FROM (SELECT {name} AS name, count(*) AS c, arg_min({col}, ROW(ts, seq)) AS full_name, (SELECT count(*) FROM logs WHERE source = '{source}') AS total FROM logs WHERE source = '{source}' GROUP BY 1)"""
+
+
+_CUT = "CASE WHEN length({0}) > 100 THEN left({0}, 100) || '...' ELSE {0} END".format
+REPORT = f"""
 , e AS (SELECT * FROM logs WHERE lower(level) IN ('error', 'fatal')),
 r AS (
-  SELECT 'PLC TOP ERRORS' AS section, message AS name, count(*) AS c, '[' || CAST(count(*) AS VARCHAR) || '] ' || message AS text FROM e WHERE source = 'PLC' GROUP BY message
-  UNION ALL SELECT 'APP ERRORS BY LOGGER', array_to_string(list_slice(string_split(logger, '.'), -2, -1), '.'), count(*), '' FROM e WHERE source = 'APP' GROUP BY 2
-  UNION ALL SELECT 'APP ERRORS BY THREAD', thread, count(*), '' FROM e WHERE source = 'APP' GROUP BY 2
-  UNION ALL SELECT 'PLC THREAD LOAD', thread, count(*), '' FROM logs WHERE source = 'PLC' GROUP BY 2
-  UNION ALL SELECT 'APP THREAD LOAD', thread, count(*), '' FROM logs WHERE source = 'APP' GROUP BY 2
-  UNION ALL SELECT 'APP LOGGER LOAD', array_to_string(list_slice(string_split(logger, '.'), -2, -1), '.'), count(*), '' FROM logs WHERE source = 'APP' GROUP BY 2),
+  SELECT 'PLC TOP ERRORS' AS section, message AS name, count(*) AS c, '[' || CAST(count(*) AS VARCHAR) || '] ' || {_CUT('message')} AS text FROM e WHERE source = 'PLC' GROUP BY message
+  UNION ALL SELECT 'APP ERRORS BY LOGGER', n, c, n || ' (' || CAST(c AS VARCHAR) || ' errors)' FROM (SELECT array_to_string(list_slice(string_split(logger, '.'), -2, -1), '.') AS n, count(*) AS c FROM e WHERE source = 'APP' GROUP BY 1)
+  UNION ALL SELECT 'APP ERRORS BY THREAD', thread, count(*), thread || ' (' || CAST(count(*) AS VARCHAR) || ' errors)' FROM e WHERE source = 'APP' GROUP BY 2
+  UNION ALL {_load('PLC THREAD LOAD', 'PLC', 'thread')} UNION ALL {_load('APP THREAD LOAD', 'APP', 'thread')} UNION ALL {_load('APP LOGGER LOAD', 'APP', 'logger', True)}),
 k AS (SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY c DESC, name) AS INT) AS rank, name, c AS count, text FROM r),
-p AS (SELECT session, source, seq, ts, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS g FROM logs WINDOW w AS (PARTITION BY session, source ORDER BY ts, seq)),
-gg AS (SELECT source || ' GAPS' AS section, CAST(row_number() OVER (PARTITION BY session, source ORDER BY ts, seq) AS INT) AS rank, session AS name,
-  row_number() OVER (PARTITION BY session, source ORDER BY ts, seq) AS count FROM p WHERE g >= 1800000000)
-SELECT section, rank, name, count FROM k WHERE rank <= 10 UNION ALL SELECT * FROM gg""".lstrip()))
+p AS (SELECT session, source, seq, ts, lag(ts) OVER w AS pts, lag(message) OVER w AS pm, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS g FROM logs WINDOW w AS (PARTITION BY session, source ORDER BY ts, seq)),
+gg AS (SELECT source || ' GAPS' AS section, row_number() OVER (PARTITION BY session, source ORDER BY ts, seq) AS count, session AS name, g, pts, ts, pm FROM p WHERE g >= 1800000000),
+report AS (SELECT section, rank, name, count, text FROM k WHERE rank <= 10 UNION ALL SELECT section, CAST(count AS INT), name, count,
+  '#' || CAST(count AS VARCHAR) || ' | ' || printf('%.1f min', g / 60000000.0) || ' | Start: ' || strftime(pts, '%H:%M:%S.%g') || ' | End: ' || strftime(ts, '%H:%M:%S.%g') || ' | Last Log: ' || {_CUT('pm')} FROM gg)"""
+
+
+@query("k5_stats_report", _with(REPORT.lstrip() + " SELECT section, rank, name, count, text FROM report"))
 def k5(spark, d):
-    return stats.stats_report(logs(spark, d), threshold=1800).drop("text")
+    return stats.stats_report(logs(spark, d), threshold=1800)
+
+
+@query("k5_write_report", _with(REPORT.lstrip() + " SELECT '[' || section || ']  ' || text AS line FROM report"))
+def k5b(spark, d):
+    path = scratch_dir(spark, "report")
+    stats.write_report(stats.stats_report(logs(spark, d), threshold=1800), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")

@@ -138,7 +138,7 @@ def x1(spark, d):
 
 GAPS = """, p AS (SELECT session, source, seq, ts, message, lag(ts) OVER w AS pts, lag(message) OVER w AS pm FROM logs WINDOW w AS (PARTITION BY session, source ORDER BY ts, seq)),
 g AS (SELECT session, source, pts AS start_ts, ts AS end_ts, round((epoch_us(ts) - epoch_us(pts)) / 1000000.0, 3) AS seconds,
-  CASE WHEN length(pm) > 100 THEN left(pm, 100) || '...' ELSE pm END AS last_message,
+  pm AS last_message,
   row_number() OVER (PARTITION BY session, source ORDER BY ts, seq) AS gap_no FROM p WHERE epoch_us(ts) - epoch_us(pts) >= 1800 * 1000000)"""
 
 
@@ -279,3 +279,21 @@ def j11(spark, d):
     shown = F.array_join(F.transform("left_segments", lambda s: s["text"]), "")
     whole = F.when(F.col("are_equal"), shown).when(shown == T.mask_text("left_message"), F.col("left_message")).otherwise("?")
     return out.select("seq", "right_seq", F.col("are_equal").cast("int"), whole.alias("left_text"))
+
+
+_SIDE = "'Unchanged:' || thread || ' ¦{0}:{1}¦Unchanged: ' || message || ' ¦{0}:{2}'".format
+
+
+@query("j11_diff_segments", with_logs(f"""
+SELECT seq, {_SIDE('Removed', '111', '22')} AS left_segments, {_SIDE('Added', 'éé', 'üüü')} AS right_segments FROM logs WHERE seq % 2 = 0
+UNION ALL SELECT seq, 'Unchanged:' || message || '¦Removed: gone', 'Unchanged:' || message FROM logs WHERE seq % 2 = 1"""))
+def j11b(spark, d):
+    """Whole segments of texts whose differences are known: two replaced words around a message, or a lost end."""
+    t, m = F.col("thread"), F.col("message")
+    even = F.col("seq") % 2 == 0
+    left = F.when(even, F.concat(t, F.lit(" 111 "), m, F.lit(" 22"))).otherwise(F.concat(m, F.lit(" gone")))
+    right = F.when(even, F.concat(t, F.lit(" éé "), m, F.lit(" üüü"))).otherwise(m)
+    pairs = logs(spark, d).select("seq", left.alias("left_message"), right.alias("right_message"))
+    out = links.diff_texts(pairs, mask=None)
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["type"], F.lit(":"), s["text"])), "¦").alias(c)
+    return out.select("seq", shown("left_segments"), shown("right_segments"))

@@ -146,28 +146,38 @@ _CARRIED = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER w, '') AS {c}"
 c AS (SELECT session, ts, max(value) FILTER (key = 'event') AS ev, {_CELLS} FROM v GROUP BY session, ts)
 SELECT session, ts AS "Time", epoch_us(ts) // 1000 AS "Unix_Time", '' AS "Machine_State", coalesce(ev, '') AS "Events_Message", {_CARRIED} FROM c WINDOW w AS (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING)""".lstrip(), PARTS).replace("LIKE 'CHStep:%')\n, v AS", "LIKE 'CHStep:%'), v AS"))
 def m1(spark, d):
-    out = wide.wide_series(logs(spark, d), events=True, unix_time=True, columns=KEYS)
+    out = wide.wide_series(logs(spark, d), KEYS, events=True, unix_time=True)
     texts = ["Events_Message", *[c for _, c in KEYS]]
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 
 @query("m1_wide_all_columns", with_logs("""
-SELECT session, ts AS "Time" FROM (SELECT session, ts FROM ax UNION SELECT session, ts FROM io UNION SELECT session, ts FROM sp)""", PARTS))
+, v AS (SELECT session, ts, subsystem || '-' || component || '-' || param AS key, value, seq * 100 + pos AS place FROM ax UNION ALL
+  SELECT session, ts, subsystem || '-' || component || '-' || param, value, seq * 100 + pos FROM io UNION ALL
+  SELECT session, ts, parent || '§' || name || '§7-Data-State', state, seq * 100 FROM sp),
+k AS (SELECT DISTINCT key FROM v UNION SELECT DISTINCT subsystem || '-' || component || '-' || p FROM ax, (SELECT unnest(['SetP', 'ActP', 'SetV', 'ActV', 'Trq', 'LagErr', 'Trigger']) AS p)),
+t AS (SELECT DISTINCT session, ts FROM v), c AS (SELECT session, ts, key, max_by(value, place) AS value FROM v GROUP BY ALL)
+SELECT t.session, t.ts AS "Time", k.key, coalesce(last_value(c.value IGNORE NULLS) OVER (PARTITION BY t.session, k.key ORDER BY t.ts ROWS UNBOUNDED PRECEDING), '') AS value
+FROM t CROSS JOIN k LEFT JOIN c ON c.session = t.session AND c.ts = t.ts AND c.key = k.key""".lstrip(), PARTS).replace("LIKE 'CHStep:%')\n, v AS", "LIKE 'CHStep:%'), v AS"))
 def m1b(spark, d):
-    out = wide.wide_series(logs(spark, d))
-    return out.select("session", "Time")
+    """Every column there is, cell by cell; of a step's eight values its state."""
+    df = logs(spark, d)
+    columns = wide.signal_columns(df).where("kind <> 'Step' or param = 'State'")
+    pairs = [(key, key) for key, _ in wide.column_pairs(columns)]
+    out = wide.wide_series(df, pairs, machine_state=False)
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.col(f"`{k}`"), F.lit("")).alias("value")) for k, _ in pairs])
+    return out.select("session", "Time", F.inline(cells))
 
 
 @query("s13_wide_round_trip", with_logs("""
-, v AS (SELECT session, ts, subsystem || '-' || component || '-' || param AS key, value, seq * 100 + pos AS place FROM ax UNION ALL
-  SELECT session, ts, subsystem || '-' || component || '-' || param, value, seq * 100 + pos FROM io UNION ALL SELECT session, ts, 'step', '', seq FROM sp),
-t AS (SELECT ts FROM v GROUP BY ts), k AS (SELECT DISTINCT subsystem || '-' || component AS comp, 'Axis' AS kind FROM ax UNION SELECT DISTINCT subsystem || '-' || component, 'IO' FROM io)
-SELECT count(*) AS n_times, (SELECT count(*) FROM t) * (SELECT count(*) FROM k WHERE kind = 'IO') AS n_io_cells FROM t""".lstrip(), PARTS).replace("LIKE 'CHStep:%')\n, v AS", "LIKE 'CHStep:%'), v AS"))
+, v AS (SELECT ts, subsystem || '-' || component || '-' || param AS key, value, seq * 100 + pos AS place FROM ax UNION ALL SELECT ts, subsystem || '-' || component || '-' || param, value, seq * 100 + pos FROM io
+  UNION ALL SELECT ts, 'step', '', seq FROM sp),
+t AS (SELECT DISTINCT ts FROM v), k AS (SELECT DISTINCT key FROM v WHERE key LIKE '%-SetP' OR key LIKE '%-Value'), c AS (SELECT ts, key, max_by(value, place) AS value FROM v GROUP BY ALL)
+SELECT strftime(t.ts, '%Y-%m-%d %H:%M:%S.%g') AS time, k.key AS signal, coalesce(last_value(c.value IGNORE NULLS) OVER (PARTITION BY k.key ORDER BY t.ts ROWS UNBOUNDED PRECEDING), '') AS value
+FROM t CROSS JOIN k LEFT JOIN c ON c.ts = t.ts AND c.key = k.key""".lstrip(), PARTS).replace("LIKE 'CHStep:%')\n, v AS", "LIKE 'CHStep:%'), v AS"))
 def s13(spark, d):
     path = scratch_dir(spark, "wide")
     one = logs(spark, d).withColumn("session", F.lit("all"))
-    wide.write_wide(wide.wide_series(one).drop("session"), path)
-    back = read_wide_export(spark, path)
-    return back["signals"].agg(
-        F.count_distinct("time").alias("n_times"), F.count_if(F.col("category") == "IO").alias("n_io_cells")
-    )
+    pairs = [(key, key) for key, _ in wide.column_pairs(wide.signal_columns(one).where("param in ('SetP', 'Value')"))]
+    wide.write_wide(wide.wide_series(one, pairs).drop("session"), path)
+    return read_wide_export(spark, path)["signals"].select("time", "signal", F.coalesce(F.col("num").cast("bigint").cast("string"), F.lit("")).alias("value"))

@@ -13,10 +13,12 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.single import attach, join_on
+from logloom.operators.timeslice import number_rows
 
 STATIONS = range(1, 7)
 MISSING = (-1000.0, -2000.0)
@@ -24,6 +26,7 @@ MISSING = (-1000.0, -2000.0)
 REVOLUTIONS = {"One Only": "1 of 1", "First of Many": "1 of 2", "Last of Many": "2 of 2"}
 # The spectrum's frequency range and the five known frequencies.
 SPECTRUM_FROM, SPECTRUM_TO, SPECTRUM_SIZE = 0.0005, 0.015, 1000
+_MEANS = 1024  # means that are multiplied at once
 REFERENCE_FREQUENCIES = {"ASiD": 0.0013153, "T1": 0.00229, "ITM": 0.0022298, "Stir": 0.0055843, "CR": 0.01326}
 
 
@@ -71,13 +74,25 @@ def cal_filter(
     return df.where(keep)
 
 
+BLOCK = 100_000  # points of a series that are worked on together
+
+
 def rolling_mean(df: DataFrame, w: int, value: str = "y", order: str = "x", by: Sequence[str] = ("series",)) -> DataFrame:
-    """Mean of the last ``w`` points; missing points are skipped."""
+    """Mean of the last ``w`` points; missing points are skipped.
+
+    Points are numbered in their order and cut into blocks by the number; a
+    point also serves the block after its own where that looks back to it, so no
+    series has to fit one task.
+    """
     if w <= 1:
         return df
-    window = Window.partitionBy(*by).orderBy(order).rowsBetween(-(w - 1), 0)
+    size = max(BLOCK, w)
+    numbered = number_rows(df, by, (order,), "_no")
+    spots = F.array_distinct(F.array(*[F.floor((F.col("_no") + d) / size) for d in (0, w - 1)]))
+    copies = numbered.withColumn("_block", F.explode(spots)).withColumn("_own", F.col("_block") == F.floor(F.col("_no") / size))
+    window = Window.partitionBy(*by, "_block").orderBy("_no").rowsBetween(-(w - 1), 0)
     c = F.col(value)
-    return df.withColumn(value, F.avg(F.when(~F.isnan(c), c)).over(window))
+    return copies.withColumn(value, F.avg(F.when(~F.isnan(c), c)).over(window)).where("_own").select(*df.columns)
 
 
 def smooth(df: DataFrame, w: int = 10, value: str = "value", order: str = "idx", by: Sequence[str] = ("signal",)) -> DataFrame:
@@ -89,7 +104,7 @@ def smooth(df: DataFrame, w: int = 10, value: str = "value", order: str = "idx",
     half = w // 2
     if half < 1:
         return df
-    block = max(100_000, 4 * half)
+    block = max(BLOCK, 4 * half)
     keep = list(df.columns)
     # A row serves its own block and, near a border, the neighbour block.
     spots = F.array_distinct(F.array(*[F.floor((F.col(order) + d) / block) for d in (-half, 0, half)]))
@@ -173,8 +188,9 @@ def cal_x_scaling(df: DataFrame) -> DataFrame:
 def cal_spectrum(df: DataFrame, axis: str = "Y", pair: tuple[int, int] = (1, 0), size: int = SPECTRUM_SIZE) -> DataFrame:
     """Amplitude of each frequency per cycle; a missing value counts as 1.
 
-    The input is reduced to means per (cycle, y) before the frequencies come
-    in, so only those means are multiplied.
+    The input is reduced to means per (cycle, y).  Batches of means are
+    multiplied with sines and cosines of all frequencies, and what leaves a
+    batch is one pair of sums per cycle and frequency.
     """
 
     def filled(station: int) -> Column:
@@ -183,14 +199,32 @@ def cal_spectrum(df: DataFrame, axis: str = "Y", pair: tuple[int, int] = (1, 0),
 
     means = df.groupBy("cycle", "y").agg(F.avg(filled(pair[0]) - filled(pair[1])).alias("v"))
     per_cycle = means.groupBy("cycle").agg(F.avg("v").alias("_mean"), F.count("*").alias("_n")).where(F.col("_n") >= 2)
-    centred = means.join(per_cycle, "cycle").select("cycle", "y", (F.col("v") - F.col("_mean")).alias("v"), "_n")
+    centred = means.join(per_cycle, "cycle").select("cycle", "y", (F.col("v") - F.col("_mean")).alias("v"))
     step = (SPECTRUM_TO - SPECTRUM_FROM) / (size - 1)
-    spots = centred.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+
+    def waves(batches):
+        """Per cycle of a block of means the sums of all frequencies: a matrix product, not a row for each."""
+        turn = 2 * math.pi * (SPECTRUM_FROM + step * np.arange(size))
+        for b in batches:
+            cycle, y, v = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            names, which = np.unique(np.asarray(cycle.dictionary_encode().indices.fill_null(-1)), return_inverse=True)
+            first = pa.array([int(np.flatnonzero(which == k)[0]) for k in range(len(names))], pa.int64())
+            sums = np.zeros((2, len(names), size))
+            for at in range(0, len(v), _MEANS):
+                part = slice(at, at + _MEANS)
+                angle = np.multiply.outer(y[part], turn)
+                own = np.zeros((len(names), len(y[part])))
+                own[which[part], np.arange(len(y[part]))] = v[part]
+                sums += np.stack([own @ np.sin(angle), own @ np.cos(angle)])
+            yield pa.RecordBatch.from_arrays([cycle.take(first), *[pa.array(list(x), pa.list_(pa.float64())) for x in sums]], ["cycle", "s", "c"])
+
+    kind = centred.schema["cycle"].dataType.simpleString()
+    known = centred.where(F.col("y").isNotNull() & F.col("v").isNotNull()).select("cycle", F.col("y").cast("double"), F.col("v").cast("double"))
+    parts = known.mapInArrow(waves, f"cycle {kind}, s array<double>, c array<double>")
+    each = parts.select("cycle", F.posexplode(F.arrays_zip("s", "c")).alias("_i", "_p"))
+    sums = each.groupBy("cycle", "_i").agg(F.sum("_p.s").alias("_s"), F.sum("_p.c").alias("_c"))
+    sums = join_on(sums, per_cycle.select("cycle", "_n"), ["cycle"])
     frequency = F.lit(SPECTRUM_FROM) + F.col("_i") * F.lit(step)
-    angle = F.lit(2 * math.pi) * frequency * F.col("y")
-    sums = spots.groupBy("cycle", "_i").agg(
-        F.sum(F.col("v") * F.sin(angle)).alias("_s"), F.sum(F.col("v") * F.cos(angle)).alias("_c"), F.first("_n").alias("_n")
-    )
     amplitude = F.lit(2.0) / F.col("_n") * F.sqrt(F.col("_s") * F.col("_s") + F.col("_c") * F.col("_c"))
     return sums.select(
         F.concat(F.lit("Cycle"), F.col("cycle").cast("string")).alias("series"),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
+from array import array
 from collections.abc import Sequence
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from logloom.operators.timeslice import epoch_micros
 
 # Fixed value: how far a soft link may be off.
 LINK_MICROS = 100_000
-_CELLS = 1 << 20  # of the table of a text comparison; larger ones are halved first
+EDITS, FEW_EDITS = 2000, 64  # texts of up to so many edits are compared at one go; halves of others, of half as many
 
 
 def match_annotations(logs: DataFrame, annotations: DataFrame, key: str = "ann_id") -> DataFrame:
@@ -63,83 +62,162 @@ def match_annotations(logs: DataFrame, annotations: DataFrame, key: str = "ann_i
 def resolve_hits(hits: DataFrame, logs: DataFrame, key: str = "hit_id", by: Sequence[str] = ("session", "source")) -> DataFrame:
     """The record of each grep hit: same time, message and thread; else same
     time and message; else same time.  The first record in order is taken."""
-    h = hits.select(F.col(key).alias("_hit"), *[F.col(k).alias(f"_h_{k}") for k in (*by, "ts", "message", "thread")])
+    times = hits.select(*[F.col(k).alias(f"_t_{k}") for k in (*by, "ts")]).distinct()
     rows = logs.select(*by, "ts", "seq", "message", "thread")
-    on = (F.col("ts") == F.col("_h_ts")) & F.lit(True)
-    for k in by:
-        on &= F.col(k) == F.col(f"_h_{k}")
-    text = F.col("message").eqNullSafe(F.col("_h_message"))
-    rank = F.when(text & F.col("thread").eqNullSafe(F.col("_h_thread")), 0).when(text, 1).otherwise(2)
-    best = rows.join(h, on).groupBy("_hit").agg(F.min(F.struct(rank.alias("rank"), "seq")).alias("b"))
-    joined = hits.join(best, hits[key] == best["_hit"], "left")
-    return joined.select(*[hits[c] for c in hits.columns], F.col("b.seq").alias("log_seq"), F.col("b.rank").alias("match_rank"))
+    there = F.lit(True)
+    for k in (*by, "ts"):
+        there &= F.col(k) == F.col(f"_t_{k}")
+    # The least number at each level; a level is made of the one below it, so
+    # the cost is rows plus hits, however many records share a time.
+    levels = [[*by, "ts", "message", "thread"], [*by, "ts", "message"], [*by, "ts"]]
+    least = rows.join(times, there, "left_semi").withColumn("_seq", F.col("seq"))
+    found = hits
+    for rank, keys in enumerate(levels):
+        least = least.groupBy(*keys).agg(F.min("_seq").alias("_seq"))
+        side = least.select(*[F.col(k).alias(f"_l{rank}_{k}") for k in keys], F.col("_seq").alias(f"_seq{rank}"))
+        same = F.lit(True)
+        for k in keys:
+            mine, its = F.col(k), F.col(f"_l{rank}_{k}")
+            same &= mine.eqNullSafe(its) if k in ("message", "thread") else mine == its
+        found = found.join(side, same, "left")
+    rank = F.when(F.col("_seq0").isNotNull(), 0).when(F.col("_seq1").isNotNull(), 1).when(F.col("_seq2").isNotNull(), 2)
+    return found.select(*hits.columns, F.coalesce("_seq0", "_seq1", "_seq2").alias("log_seq"), rank.alias("match_rank"))
 
 
 _SEGMENT = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("type", T.StringType())]))
 _BOTH = T.StructType([T.StructField("left", _SEGMENT), T.StructField("right", _SEGMENT)])
 
 
-def _lengths(x: np.ndarray, y: np.ndarray, keep: bool) -> np.ndarray:
-    """Lengths of longest common subsequences: the whole table or its last row."""
-    rows = [np.zeros(len(y) + 1, np.int32)]
-    for c in x:
-        # Within a row the best value only grows, so a running maximum does it.
-        last = rows[-1]
-        row = np.zeros(len(y) + 1, np.int32)
-        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (y == c)), out=row[1:])
-        rows = [*rows, row] if keep else [row]
-    return np.stack(rows) if keep else rows[-1]
-
-
-def _steps(a: str, b: str) -> list[tuple[str, str]]:
-    """Kept, removed and added characters along a longest common subsequence."""
-    head = len(os.path.commonprefix([a, b]))
-    tail = len(os.path.commonprefix([a[head:][::-1], b[head:][::-1]]))
-    kept = lambda text: [("Unchanged", c) for c in text]
-    if head or tail:
-        return kept(a[:head]) + _steps(a[head : len(a) - tail], b[head : len(b) - tail]) + kept(a[len(a) - tail :])
-    if not a or not b:
-        return [("Removed", c) for c in a] + [("Added", c) for c in b]
-    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    if len(a) > 1 and len(a) * len(b) > _CELLS:
-        # Halve the first text where a longest subsequence crosses: memory for one row.
-        half = len(a) // 2
-        cross = _lengths(x[:half], y, False) + _lengths(x[half:][::-1], y[::-1], False)[::-1]
-        at = int(cross.argmax())
-        return _steps(a[:half], b[:at]) + _steps(a[half:], b[at:])
-    table, steps, i, j = _lengths(x, y, True), [], len(x), len(y)
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            steps.append(("Unchanged", a[i]))
-        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
-            j -= 1
-            steps.append(("Added", b[j]))
+def _common(a: str, b: str, i: int, j: int) -> int:
+    """How many characters from ``i`` and ``j`` on are the same; whole stretches are compared at once."""
+    most, done, step = min(len(a) - i, len(b) - j), 0, 32
+    while done < most and a[i + done] == b[j + done]:
+        size = min(step, most - done)
+        if a[i + done : i + done + size] == b[j + done : j + done + size]:
+            done, step = done + size, step * 4
+        elif step == 1:
+            break
         else:
-            i -= 1
-            steps.append(("Removed", a[i]))
-    return steps[::-1]
+            step = max(1, size // 2)
+    return done
 
 
-def _pair_segments(a: str, b: str) -> tuple[list, list]:
-    """Segments of two texts along a longest common subsequence."""
-    return _runs(_steps(a, b))
+def _common_back(a: str, b: str, i: int, j: int) -> int:
+    """How many characters before ``i`` and ``j`` are the same."""
+    most, done, step = min(i, j), 0, 32
+    while done < most and a[i - done - 1] == b[j - done - 1]:
+        size = min(step, most - done)
+        if a[i - done - size : i - done] == b[j - done - size : j - done]:
+            done, step = done + size, step * 4
+        elif step == 1:
+            break
+        else:
+            step = max(1, size // 2)
+    return done
+
+
+def _lengths(a: str, b: str) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every beginning of ``b``: bit-parallel, one integer."""
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    bits = {}
+    for c in set(a) & set(places):
+        marks = np.zeros(len(b), np.uint8)
+        marks[places[c]] = 1
+        bits[c] = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    v = full
+    for c in a:
+        u = v & bits.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    free = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - free.astype(np.int64))])
+
+
+def _furthest(a: str, b: str, most: int) -> list[array] | None:
+    """For each number d of edits, how far in ``a`` the diagonals -d, -d + 2, ... d are reached, -1 for not; None beyond ``most`` edits."""
+    n, m, reached = len(a), len(b), []
+    for d in range(most + 1):
+        before, here = reached[-1] if d else (), array("i")
+        for t in range(d + 1):
+            k = 2 * t - d
+            x = 0 if not d else max(before[t - 1] + 1 if t and before[t - 1] >= 0 else -1, before[t] if t < d else -1)
+            here.append(x + _common(a, b, x, x - k) if 0 <= x <= n and 0 <= x - k <= m else -1)
+        reached.append(here)
+        if abs(n - m) <= d and (n - m + d) % 2 == 0 and here[(n - m + d) // 2] >= n:
+            return reached
+    return None
+
+
+def _blocks(a: str, b: str, i: int = 0, j: int = 0, most: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """Stretches (begin, end in a; begin, end in b) in turn kept or changed, along a longest common subsequence.
+
+    Going back from the ends, equal characters are kept, and where both ways are
+    as short the character of ``b`` goes first.  Texts of few edits cost the
+    square of the edits; others are halved, where a longest subsequence crosses,
+    by bit-parallel lengths in linear memory.
+    """
+    head = _common(a, b, 0, 0)
+    tail = _common_back(a[head:], b[head:], len(a) - head, len(b) - head)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    i, j = i + head, j + head
+    out = [(i - head, i, j - head, j)] if head else []
+    if x and y:
+        reached = _furthest(x, y, min(most, len(x) + len(y)) if len(x) > 1 else len(x) + len(y))
+        if reached is None:
+            half = len(x) // 2
+            cross = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+            at = int(cross.argmax())
+            fewer = max(FEW_EDITS, most // 2)
+            out += _blocks(x[:half], y[:at], i, j, fewer) + _blocks(x[half:], y[at:], i + half, j + at, fewer)
+        else:
+            out += _walk_back(x, y, reached, i, j)
+    elif x or y:
+        out.append((i, i + len(x), j, j + len(y)))
+    if tail:
+        out.append((i + len(x), i + len(x) + tail, j + len(y), j + len(y) + tail))
+    return out
 
 
-def _runs(steps: list) -> tuple[list, list]:
-    """Segments of both sides; a changed stretch is one segment per side."""
-    left, right = [], []
-    for kept, run in groupby(steps, key=lambda s: s[0] == "Unchanged"):
-        run = list(run)
+def _walk_back(a: str, b: str, reached: list[array], i: int, j: int) -> list[tuple[int, int, int, int]]:
+    x, y, d, out = len(a), len(b), len(reached) - 1, []
+    while x or y:
+        kept = _common_back(a, b, x, y)
         if kept:
-            text = "".join(c for _, c in run)
-            left.append([text, "Unchanged"])
-            right.append([text, "Unchanged"])
-            continue
-        for side, kind in ((left, "Removed"), (right, "Added")):
-            text = "".join(c for k, c in run if k == kind)
-            if text:
-                side.append([text, kind])
+            out.append((i + x - kept, i + x, j + y - kept, j + y))
+            x, y = x - kept, y - kept
+        elif y and (not x or (x - y + 1 <= d - 1 and reached[d - 1][(x - y + d) // 2] >= x)):
+            out.append((i + x, i + x, j + y - 1, j + y))
+            y, d = y - 1, d - 1
+        else:
+            out.append((i + x - 1, i + x, j + y, j + y))
+            x, d = x - 1, d - 1
+    return out[::-1]
+
+
+def _pair_segments(a: str, b: str) -> tuple[list, list]:
+    """Segments of both texts; a changed stretch is one segment per side."""
+    left, right, gone, new = [], [], [], []
+
+    def close() -> None:
+        for side, parts, kind in ((left, gone, "Removed"), (right, new, "Added")):
+            if parts:
+                side.append(["".join(parts), kind])
+                parts.clear()
+
+    for i0, i1, j0, j1 in _blocks(a, b):
+        if i1 - i0 == j1 - j0 and a[i0:i1] == b[j0:j1]:
+            close()
+            for side in (left, right):
+                if side and side[-1][1] == "Unchanged":
+                    side[-1][0] += a[i0:i1]
+                else:
+                    side.append([a[i0:i1], "Unchanged"])
+        else:
+            gone += [a[i0:i1]] if i1 > i0 else []
+            new += [b[j0:j1]] if j1 > j0 else []
+    close()
     return left, right
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank, duration_text, short_logger, truncate_text
@@ -187,17 +187,49 @@ def overview(logs: DataFrame, cells: int, by: Sequence[str] = BY, tick_height: f
 
 
 def build_word_index(logs: DataFrame, text: str = "message", key: Sequence[str] = ("session", "source", "seq")) -> DataFrame:
-    """Distinct words (2 characters or more, lower case) of every record.
-
-    Write the result partitioned or bucketed by ``word`` to look words up often.
-    """
+    """Distinct words (2 characters or more, lower case) of every record."""
     signs = "[" + "".join("\\" + c if c in "[]\\-" else c for c in WORD_DELIMITERS) + "]+"
     words = F.array_distinct(F.split(F.lower(text), signs))
     return logs.where(~blank(text)).select(*key, F.explode(F.filter(words, lambda w: F.length(w) >= 2)).alias("word"))
 
 
-def word_lookup(index: DataFrame, word: str) -> DataFrame:
-    return index.where(F.col("word") == word.lower()).drop("word")
+BUCKETS = 64  # folders of a kept index
+POSTINGS = 100_000  # record numbers that share a row of it
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def write_word_index(index: DataFrame, path: str, mode: str = "error") -> None:
+    """Keeps a word index: a row per word, log and range of record numbers with the numbers in order.
+
+    Rows lie in folders by the word's hash, sorted by word, so a look-up opens
+    one folder and in its files the blocks that hold the word.  However
+    frequent a word is, a row has ``POSTINGS`` numbers at most.
+    """
+    block = F.floor(F.col("seq") / POSTINGS).alias("block")
+    rows = index.groupBy("word", "session", "source", block).agg(F.array_sort(F.collect_set("seq")).alias("seqs"))
+    dealt = rows.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket", "word")
+    dealt.sortWithinPartitions("bucket", "word", "session", "source", "block").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def word_lookup(spark: SparkSession, path: str, *words: str) -> DataFrame:
+    """Records of a kept index that hold all of the words, ignoring case.
+
+    Only these words' folders are read; rows of one log and range are merged, so
+    no list of all records with a word is built.
+    """
+    wanted = list(dict.fromkeys(w.lower() for w in words))
+    if not wanted:
+        raise ValueError("name a word")
+    hit = F.lit(False)
+    for w in wanted:
+        hit |= (F.col("bucket") == _bucket(F.lit(w))) & (F.col("word") == w)
+    rows = spark.read.parquet(path).where(hit)
+    met = rows.groupBy("session", "source", "block").agg(F.collect_list("seqs").alias("lists"), F.count_distinct("word").alias("n"))
+    both = F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    return met.where(F.col("n") == len(wanted)).select("session", "source", F.explode(both).alias("seq"))
 
 
 def grep_summary(hits: DataFrame) -> DataFrame:

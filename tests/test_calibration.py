@@ -1,5 +1,7 @@
 """Calibration edge rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,39 @@ def test_settings_of_the_second_run(spark):
     df = frame(spark, [(c, 1.0, 0.0, float(c)) for c in (1, 2)])
     out = cal.compare_runs(df, df, lambda d, cycle: d.where(F.col("cycle") == cycle), {"cycle": 1}, {"cycle": 2})
     assert {(r.run, r.y1) for r in out.collect()} == {("A", 1.0), ("B", 2.0)}
+
+
+def test_rolling_mean_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, x * 0.5, None if rng.random() < 0.1 else float("nan") if rng.random() < 0.05 else rng.uniform(-9, 9)) for k in ("a", None) for x in range(200)]
+    df = spark.createDataFrame(rows, "series string, x double, y double")
+    whole = sorted(map(str, cal.rolling_mean(df, 7).collect()))
+    monkeypatch.setattr(cal, "BLOCK", 11)
+    assert sorted(map(str, cal.rolling_mean(df, 7).collect())) == whole
+    want = {}
+    for k in ("a", None):
+        ys = [y for s, _, y in rows if s == k]
+        for i in range(200):
+            part = [y for y in ys[max(0, i - 6) : i + 1] if y is not None and y == y]
+            want[k, i * 0.5] = sum(part) / len(part) if part else None
+    got = {(r.series, r.x): r.y for r in cal.rolling_mean(df, 7).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("kind", ["close", "skewed", "few", "equal", "infinite"])
+def test_percentiles_by_selection(spark, monkeypatch, kind):
+    monkeypatch.setattr(cal, "BINS", 16)
+    rng = random.Random(kind)
+    make = {
+        "close": lambda: 1 + rng.random() / 1000, "skewed": lambda: 10 ** rng.uniform(-12, 12), "few": lambda: float(rng.randrange(3)),
+        "equal": lambda: 5.0, "infinite": lambda: rng.choice([float("inf"), rng.random()]),
+    }[kind]
+    rows = [(i, make()) for i in range(3) for _ in range(3000 if i else 1)] + [(7, None)]
+    got = cal.percentiles(spark.createDataFrame(rows, "i int, v double").repartition(4), "i", "v", (0.0, 0.5, 0.95, 0.99, 1.0))
+    for i in range(3):
+        ys = sorted(v for k, v in rows if k == i)
+        for p, have in zip((0.0, 0.5, 0.95, 0.99, 1.0), got[i]):
+            rank = p * (len(ys) - 1)
+            lo, hi, part = ys[int(rank)], ys[min(int(rank) + (rank > int(rank)), len(ys) - 1)], rank - int(rank)
+            assert have == pytest.approx(lo if not part else lo * (1 - part) + hi * part)
+    assert got[7] == [None] * 5

@@ -1,13 +1,13 @@
 """Telemetry, slices and JSON: rows written by hand."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import jsonx, slices, telemetry
+from logloom.operators import jsonx, slices, telemetry, timeslice
 from logloom.plans import wide
 
 T0 = datetime(2026, 1, 1)
@@ -62,7 +62,7 @@ def test_event_text(spark):
 def test_wide_fill_starts_empty_and_last_value_wins(spark):
     df = log(spark, [("M1", "IO: S,V=1"), ("M1", "AxM: S,A,SetP=5,1"), ("M2", "IO: S,V=2"), ("LogStats", "LogStat: Logs(Total=10 IsReady=1) nSemMissed(total=0 Mult=3) Lost=0 bufFull=0 Max(num=3 cat=2)"), ("Events", "Alarm")])
     same = df.unionByName(df.where("seq = 2").withColumns({"message": F.lit("IO: S,V=7"), "seq": F.lit(9).cast("bigint")}))
-    out = wide.wide_series(same, threads=["m1"], events=True)
+    out = wide.wide_series(same, wide.column_pairs(wide.signal_columns(same)), threads=["m1"], events=True)
     rows = out.orderBy("Time").collect()
     value = "S-V-Value [M2]"
     assert [r[value] for r in rows] == ["1", "1", "7", "7", "7"]
@@ -72,16 +72,44 @@ def test_wide_fill_starts_empty_and_last_value_wins(spark):
     assert "S-A-LagErr [M1]" in out.columns
     marked = wide.mark_warnings(out).orderBy("Time").collect()
     assert marked[4]["LogStats-Metrics-nSemMissed_Mult [LogStats]"] == "[!] 3" and marked[4]["LogStats-Metrics-Lost [LogStats]"] == "0"
-    with pytest.raises(ValueError):
-        wide.wide_series(same, max_columns=2)
 
 
 def test_wide_selection(spark):
     df = log(spark, ["IO: S,V=1", "IO: S,W=1", "AxM: S,A,SetP=5,1"])
-    out = wide.wide_series(df, io=["s|v"], axis=[], steps=[], machine_state=False)
+    chosen = {"io": ["s|v"], "axis": [], "steps": []}
+    out = wide.wide_series(df, wide.column_pairs(wide.signal_columns(df, **chosen)), machine_state=False, **chosen)
     assert out.columns == ["session", "Time", "S-V-Value [t]"] and out.count() == 1
 
 
+def test_wide_fill_over_slices_and_batches(spark, monkeypatch):
+    """Cells of two logs, one of them in one second, do not depend on where they are cut."""
+    rng = random.Random(5)
+    rows = [(["a", "b", None][i % 3], f"2026-01-01 00:{i // 60 if i % 3 else 0:02d}:{i % 60 if i % 3 else 1:02d}.{i % 1000:03d}", i, "t", f"IO: S,V{rng.randrange(9)}={i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "session string, ts string, seq long, thread string, message string").withColumns({"ts": F.col("ts").cast("timestamp"), "level": F.lit("Info")})
+    pairs = [(f"S-V{k}-Value", f"v{k}") for k in range(9)]
+    last, want = {}, {}
+    for s, ts, seq, _, m in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        k, v = m[6:].split("=")
+        last.setdefault(s, {})["v" + k.strip("V")] = v
+        want[s, ts] = dict(last[s])
+    for cells, depth in ((1 << 20, None), (30, 40), (95, 7)):
+        monkeypatch.setattr(wide, "CELLS", cells)
+        if depth:
+            monkeypatch.setattr(wide, "find_splits", lambda d, by, order, _, n=depth: timeslice.find_splits(d, by, order, n))
+        out = wide.wide_series(df, pairs, machine_state=False).collect()
+        got = {(r.session, r.Time.strftime("%Y-%m-%d %H:%M:%S.%f")[:-3]): {c: r[c] for _, c in pairs if r[c] is not None} for r in out}
+        assert got == want and len(out) == len(want)
+
+
+def test_wide_reads_the_log_once(spark, tmp_path):
+    log(spark, ["IO: S,V=1", "AxM: S,A,SetP=5,1"]).write.parquet(str(tmp_path / "log"))
+    out = wide.wide_series(spark.read.parquet(str(tmp_path / "log")), [("S-V-Value", "v")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "Window" in plan
+    out.collect()
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+
+
 def stripe(groups, **more):
     return "x " + json.dumps({"stripeDescriptor": {"parentSpreadId": 4, "stripeId": 2, "stripeLenUm": 1235, "sliceGroups": groups, **more}}) + " y }"
 

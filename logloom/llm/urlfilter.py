@@ -98,7 +98,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", h
     a target) is blocked by a rule the page is blocked, else it is allowed.  So
     an explicit allow goes before what aliases say.  Null and malformed urls
     have no aliases and are allowed; existing columns of these names are
-    replaced.  Page contents are read once, for links, and never shuffled.
+    replaced.  Page contents are read for links; they are moved only if the
+    caller keeps that column.
     """
     edges = cut(page_links(pages, url_col, html_col))
     best = matching_rule(rules)
@@ -107,7 +108,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", h
     bad = host_path(placed.withColumn("_full", F.concat(F.lit("http://"), "node")), "_full").where(best["verdict"] == "block").select(F.col("root").alias("_bad")).distinct()
     aliases = placed.join(bad, F.col("root") == F.col("_bad"), "left_semi").select(F.col("node").alias("_alias"))
     judged = host_path(pages.drop("host", "path", "rule", "verdict"), url_col).withColumns({"_best": best, "_node": node(F.col(url_col))})
-    told = judged.join(aliases, F.col("_node") == F.col("_alias"), "left")
+    # Pages without a node would all meet in one task: they get keys of their own that no node has.
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).cast("string"))
+    told = judged.withColumn("_key", F.coalesce("_node", own)).join(aliases, F.col("_key") == F.col("_alias"), "left").drop("_key")
     decided = F.coalesce("_best.verdict", F.when(F.col("_alias").isNotNull(), "block"), F.lit("allow"))
     return told.withColumns({"rule": F.col("_best.text"), "verdict": decided}).drop("_best", "_node", "_alias")
 

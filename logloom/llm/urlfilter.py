@@ -109,7 +109,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", h
     aliases = placed.join(bad, F.col("root") == F.col("_bad"), "left_semi").select(F.col("node").alias("_alias"))
     judged = host_path(pages.drop("host", "path", "rule", "verdict"), url_col).withColumns({"_best": best, "_node": node(F.col(url_col))})
     # Pages without a node would all meet in one task: they get keys of their own that no node has.
-    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).cast("string"))
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict")]).cast("string"))
     told = judged.withColumn("_key", F.coalesce("_node", own)).join(aliases, F.col("_key") == F.col("_alias"), "left").drop("_key")
     decided = F.coalesce("_best.verdict", F.when(F.col("_alias").isNotNull(), "block"), F.lit("allow"))
     return told.withColumns({"rule": F.col("_best.text"), "verdict": decided}).drop("_best", "_node", "_alias")

@@ -10,10 +10,10 @@ import pyarrow as pa
 
 from logloom.llm.shared import span_hashes, spans, text_chunks
 
-SLOT_BITS = 20  # units whose ids a Python worker remembers: at most 2 ** 20
-POOL = 1 << 24  # ids of remembered units; when it is full, all are forgotten
+SLOT_BITS = 19  # units whose ids a Python worker remembers: at most 2 ** 19
+POOL = 1 << 23  # ids of remembered units; when it is full, all are forgotten
 LONGEST = 64  # bytes of a unit that is remembered
-CHUNK = 1 << 20  # bytes looked up at once
+CHUNK = 1 << 18  # bytes looked up at once
 GAP, LETTER, SIGN, OTHER = range(4)
 
 

@@ -476,7 +476,8 @@ def percentiles(rows: DataFrame, key: str, value: str, points: Sequence[float])
         for p in points:
             rank = p * (r["n"] - 1)
             low, high, part = math.floor(rank), math.ceil(rank), rank - math.floor(rank)
-            out[r["k"]].append(value_at[r["k"], low] * (1 - part) + value_at[r["k"], high] * part if r["n"] else None)
+            at = lambda x: value_at[r["k"], x]  # noqa: B023, E731
+            out[r["k"]].append((at(low) * (1 - part) + at(high) * part if part else at(low)) if r["n"] else None)
     return out
 
 

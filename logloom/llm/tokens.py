@@ -10,10 +10,11 @@ import pyarrow as pa
 
 from logloom.llm.shared import span_hashes, spans, text_chunks
 
-SLOT_BITS = 19  # units whose ids a Python worker remembers: at most 2 ** 19
+SLOT_BITS = 20  # units whose ids a Python worker remembers: at most 2 ** 20
 POOL = 1 << 23  # ids of remembered units; when it is full, all are forgotten
 LONGEST = 64  # bytes of a unit that is remembered
 CHUNK = 1 << 18  # bytes looked up at once
+LINE = 1000  # new words that are encoded as one line
 GAP, LETTER, SIGN, OTHER = range(4)
 
 
@@ -45,6 +46,9 @@ class Ids:
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.classes, self.tables, self.lower = _classes(), {}, np.frombuffer(bytes(range(256)).lower(), np.uint8)
         self.pool = np.empty(1 << 16, np.uint32)
@@ -55,7 +59,8 @@ class Ids:
         self.used, self.key = 0, np.zeros(1 << SLOT_BITS, np.uint64)
         self.key[0] = 1 << 63  # no hash of this slot; zeros are none of theirs elsewhere
 
-    def _units(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where units begin and end, and which are letters or signs alone."""
         kind = self.classes[x]
         for lead, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):  # signs, and a letter that lowers to two
             kind[:-1][(x[:-1] == lead) & (x[1:] == second)] = OTHER
@@ -64,21 +69,35 @@ class Ids:
         before = np.cumsum(stop, dtype=np.int32)
         mid = np.append(np.flatnonzero(stop), len(x))[before[begin] - stop[begin]]
         unlike = np.concatenate([[0], np.cumsum(kind != SIGN, dtype=np.int32)])
-        mid = np.where(unlike[end] == unlike[mid], mid, end)
+        whole = unlike[end] == unlike[mid]
+        mid = np.where(whole, mid, end)
         first, last = np.stack([begin, mid], 1).ravel(), np.stack([mid, end], 1).ravel()
         some = last > first
-        return first[some], last[some]
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these texts go to the pool: where each one's begin, and how many."""
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        size = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(size.sum())
-        while self.used + total > len(self.pool):
+        return first[some], last[some], np.repeat(whole, 2)[some]
+
+    def _encode(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these texts go to the pool: where each one's begin, and how many.
+
+        ``plain`` texts, of letters or signs alone, are one word each to the
+        tokenizer; they are encoded as lines of words, and a word's last id tells
+        its end.
+        """
+        if plain and texts:
+            lines = [" ".join(texts[k : k + LINE]) for k in range(0, len(texts), LINE)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[flat]) + 1
+            if len(stops) != len(texts):
+                return self._encode(texts, False)
+            size = np.diff(stops, prepend=0).astype(np.int32)
+        else:
+            found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+            size = np.fromiter(map(len, found), np.int32, len(found))
+            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.pool[self.used : self.used + len(flat)] = flat
         start = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += total
+        self.used += len(flat)
         return start, size
 
     def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -88,24 +107,25 @@ class Ids:
         odd = [any(s in t.lower() for s in self.special) for t in texts] if any(s in raw for s in self.special) else []
         if self.used > POOL:
             self._forget()
-        begin, end = self._units(x)
+        begin, end, plain = self._units(x)
         h = span_hashes(x, begin, end, self.tables)
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         start, size = self.start[slot], self.size[slot]
         short = end - begin <= LONGEST
         new = np.flatnonzero((self.key[slot] != h) | ~short)
         text = lambda at: [raw[a:b].decode(errors="replace") for a, b in zip(begin[at].tolist(), end[at].tolist())]
-        at = new[short[new]]
-        _, first, again = np.unique(h[at], return_index=True, return_inverse=True)
-        one, many = self._encode(text(at[first]))
-        start[at], size[at] = one[again], many[again]
-        first = at[first]
-        self.key[slot[first]], self.start[slot[first]], self.size[slot[first]] = h[first], one, many
+        for alone in (True, False):
+            at = new[short[new] & (plain[new] == alone)]
+            _, first, again = np.unique(h[at], return_index=True, return_inverse=True)
+            one, many = self._encode(text(at[first]), alone)
+            start[at], size[at] = one[again], many[again]
+            first = at[first]
+            self.key[slot[first]], self.start[slot[first]], self.size[slot[first]] = h[first], one, many
         at = new[~short[new]]
         if len(at):
             words = text(at)
             place = {w: k for k, w in enumerate(dict.fromkeys(words))}
-            one, many = self._encode(list(place))
+            one, many = self._encode(list(place), False)
             again = [place[w] for w in words]
             start[at], size[at] = one[again], many[again]
         before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])

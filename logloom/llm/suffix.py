@@ -31,7 +31,7 @@ from logloom.llm.shared import block_of, cut, text_blocks
 
 GRAM = 20
 BLOCK_MB = 8  # text of one block of documents
-_CHUNK = 1 << 20  # bytes looked at in one go
+_CHUNK = 1 << 18  # bytes looked at in one go
 PIECE = 64  # strings that begin in a piece of the sample
 
 

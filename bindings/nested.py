@@ -54,7 +54,7 @@ def f17(spark, d):
     return sl.spread_range(rows, 100, 900).select("seq", "slice_index").unionByName(sl.spread_range(rows, equals=5).select("seq", "slice_index"))
 
 
-@query("a10_slice_stats", ROWS + """, f AS (SELECT spread_id, stripe_id, count(*) AS n, count(*) FILTER (NOT is_null) AS p, count(*) FILTER (is_null) AS z, arg_min(q, ROW(ts, seq, group_index, slice_index)) AS q1 FROM r GROUP BY ALL)
+@query("a10_slice_stats", ROWS + """, f AS (SELECT spread_id, stripe_id, count(*) AS n, count(*) FILTER (NOT is_null) AS p, count(*) FILTER (is_null) AS z, arg_min(q, ROW(ts, seq, group_index, slice_index, q)) AS q1 FROM r GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS n_print, CAST(sum(z) AS BIGINT) AS n_null, sum(q1) / 1000.0 AS total_m FROM f""")
 def a10(spark, d):
     return sl.slice_stats(_rows(spark, d))

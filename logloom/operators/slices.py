@@ -265,9 +265,9 @@ def spread_range(df: DataFrame, lo: int | None = None, hi: int | None = None, eq
 def slice_stats(df: DataFrame) -> DataFrame:
     """Rows, print and null rows, and the length of all stripes in metres.
 
-    A stripe's length is that of its first row.
+    A stripe's length is that of its first row; of rows of one place the shortest counts.
     """
-    first = F.struct("ts", "seq", "group_index", "slice_index") if "seq" in df.columns else F.struct("ts", "group_index", "slice_index")
+    first = F.struct("ts", *(["seq"] if "seq" in df.columns else []), "group_index", "slice_index", "len_mm")
     per_stripe = df.groupBy("spread_id", "stripe_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("stripe_type") == "Print-Image").alias("p"),

@@ -452,11 +452,11 @@ def percentiles(rows: DataFrame, key: str, value: str, points: Sequence[float])
         spans = [(j, k, lo, hi, lo > 0 and hi > 1e6 * lo) for j, (k, lo, hi) in enumerate(open_)]
         v = F.col(value)
         inside = [F.when((F.col(key) == F.lit(k)) & (v >= lo) & (v <= hi), F.lit(j)) for j, k, lo, hi, _ in spans]
-        share = F.lit(None).cast("double")
-        for j, _, lo, hi, wide in spans:
-            part = (F.log(v) - math.log(lo)) / (math.log(hi) - math.log(lo)) if wide else (v - lo) / (hi - lo)
-            share = F.when(F.col("_j") == j, part).otherwise(share)
-        top = F.coalesce(*[F.when(F.col("_j") == j, F.lit(hi)) for j, _, _, hi, _ in spans])
+        # What the open interval needs is looked up by its number.
+        of = lambda values, kind="double": F.get(F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>"), F.col("_j"))
+        low, top = of([lo for *_, lo, _, _ in spans]), of([hi for *_, hi, _ in spans])
+        logs = [(math.log(lo), math.log(hi) - math.log(lo)) if wide else (0.0, 1.0) for *_, lo, hi, wide in spans]
+        share = F.when(of([wide for *_, wide in spans], "boolean"), (F.log(v) - of([x for x, _ in logs])) / of([x for _, x in logs])).otherwise((v - low) / (top - low))
         bin_ = F.when(v == top, BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         placed = rows.withColumn("_j", F.coalesce(*inside)).where(F.col("_j").isNotNull()).select("_j", v.alias("v"), bin_.alias("bin"))
         counted = placed.groupBy("_j", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()

@@ -146,6 +146,20 @@ def test_flatten_drops_empty_columns_and_orders_ids(spark):
     assert [r.c_0_d for r in out.orderBy("id").collect()] == ["1.5", None]
 
 
+def test_wide_forms_find_their_paths(spark):
+    df = spark.createDataFrame(
+        [(1, '{"a":{"b":1},"l":[1,{"x":2}],"n":null}', '{"b":"p"}'), (2, '{"a":{"b":null},"new.key":"v"}', "{}"), (3, None, None), (4, "[7]", "no")], "id int, doc string, more string"
+    )
+    full = jsonx.flatten_json(df)
+    assert full.columns == ["id", "a_b", "l_0", "l_1_x", "new.key", "b"]
+    assert sorted(map(tuple, full.collect()))[:2] == [(1, "1", "1", "2", None, "p"), (2, None, None, None, "v", None)] and full.count() == 4
+    short = jsonx.flatten_json(df, mode="summary", cols=["doc"])
+    assert short.columns == ["id", "more", "doc.a.b", "doc.l", "doc.n", "doc.new.key"]
+    top = jsonx.expand_json(df, cols=["doc"])
+    assert top.columns == ["id", "more", "a", "l", "n", "new.key"] and top.where("id = 2").first()["new.key"] == '"v"'
+    assert jsonx.flatten_json(df, cols=["more"], mode="top").columns == ["id", "doc", "b"]
+
+
 def slow_leaves(value, path="", place="$"):
     if isinstance(value, (dict, list)):
         for k, inner in value.items() if isinstance(value, dict) else enumerate(value):

@@ -17,8 +17,12 @@ Slices are cut by the rows' own order, not by the clock: see :func:`find_splits`
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +70,11 @@ class Splits:
         if self.places is None:
             return F.lit(0).cast("bigint")
         fields = self.fields[: self.keys + len(order)]
-        here = F.struct(*[c.cast(kind).alias(f) for c, (f, kind) in zip(_place(df, by, order), fields)])
+        here = [c.cast(kind).alias(f) for c, (f, kind) in zip(_place(df, by, order), fields)]
+        if {kind for _, kind in fields} <= _PLAIN_KINDS:
+            # Whole batches are searched at once; a number is never null, so no filter works it out again.
+            return F.coalesce(_searched(self.places, [f for f, _ in fields])(*here), F.lit(0).cast("bigint"))
+        here = F.struct(*here)
         places = F.from_json(F.lit(self.places), f"array<struct<{', '.join(f'{f}: {kind}' for f, kind in fields)}>>")
 
         def halve(s: Column, _: Column) -> Column:
@@ -78,6 +86,59 @@ class Splits:
         return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, halve, lambda s: s["lo"].cast("bigint"))
 
 
+_PLAIN_KINDS = {"string", "tinyint", "smallint", "int", "bigint"}
+
+
+def _between(values, found: np.ndarray) -> np.ndarray:
+    """Rank among sorted ``values``: odd for one of them, even for what lies between."""
+    at = np.searchsorted(values, found)
+    return 2 * at + (values[np.minimum(at, len(values) - 1)] == found)
+
+
+def _ranks(values, column: pa.Array) -> np.ndarray:
+    """Rank of each cell among the sorted ``values`` of its field, from 1; null is 0.  Texts are compared as UTF-8."""
+    none = column.is_null().to_numpy(zero_copy_only=False)
+    if isinstance(values, list):
+        coded = column.dictionary_encode()
+        texts = coded.dictionary.cast(pa.binary()).to_pylist()
+        at = [bisect_left(values, t) for t in texts]
+        ranks = np.array([2 * i + (i < len(values) and values[i] == t) for i, t in zip(at, texts)] or [0], np.int64)
+        ranks = ranks[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+    elif len(values):
+        ranks = _between(values, column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+    else:
+        ranks = np.zeros(len(column), np.int64)
+    return np.where(none, 0, ranks + 1)
+
+
+def _searched(places: str, names: list[str]):
+    """A function of the fields of a place: how many of the sorted ``places`` are at or before it.
+
+    Field by field a place becomes its rank among the given ones, so a search
+    compares one number.
+    """
+    rows = json.loads(places)
+    steps, rank = [], np.zeros(len(rows), np.int64)
+    for name in names:
+        cells = [r.get(name) for r in rows]
+        texts = any(isinstance(c, str) for c in cells)
+        known = sorted({c.encode() if texts else c for c in cells if c is not None})
+        values = known if texts else np.array(known, np.int64)
+        rank = rank << 20 | _ranks(values, pa.array(cells, pa.string() if texts else pa.int64()))
+        every = np.unique(rank)
+        rank = _between(every, rank)
+        steps.append((values, every))
+
+    @F.arrow_udf("bigint")
+    def number(*columns: pa.Array) -> pa.Array:
+        here = np.zeros(len(columns[0]), np.int64)
+        for column, (values, every) in zip(columns, steps):
+            here = _between(every, here << 20 | _ranks(values, column))
+        return pa.array(np.searchsorted(rank, here, side="right"), pa.int64())
+
+    return number
+
+
 def _place(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> list[Column]:
     """Where a row stands, in columns that JSON keeps: keys as text, times as microseconds."""
     keys = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(_NULL)) for k in by]

@@ -167,3 +167,20 @@ def test_point_on_a_border_belongs_to_the_later_state(spark):
 def test_axis_is_dense(spark):
     df = spark.createDataFrame([("s", T0), ("s", T0), ("s", T0 + timedelta(days=9)), ("t", T0)], "session string, ts timestamp")
     assert sorted((r.session, r.idx) for r in time_axis(df).collect()) == [("s", 0), ("s", 1), ("t", 0)]
+
+
+@pytest.mark.parametrize("order", [("at", "seq"), ("at",)])
+def test_slice_numbers_count_the_places_before(spark, order):
+    """Texts in UTF-8 order, nulls first, places cut shorter than they were found; no lambda runs for each row."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "é", "\U0001f600", "￮", "", None]), rng.choice([None, -5, 0, 7, 2**62, rng.randrange(-999, 999)]), i % 9) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at bigint, seq int")
+    splits = timeslice.find_splits(df, ("k",), ("at", "seq"), 20)
+    out = df.select("*", splits.number(df, ("k",), order).alias("n"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    cell = lambda v: (v is not None, 0 if v is None else v)
+    places = [(p["p0"].encode(), *(cell(p.get(f"p{i + 1}")) for i in range(len(order)))) for p in timeslice.json.loads(splits.places)]
+    for r in out.collect():
+        here = ("\0" if r.k is None else r.k).encode(), *(cell(r[c]) for c in order)
+        assert r.n == sum(p <= here for p in places)
+    assert len(places) > 20

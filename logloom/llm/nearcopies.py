@@ -104,7 +104,7 @@ def _all_pairs(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _rare_shingles(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """``(shingle, node, size)``: of each text the rarest shingles, as far as two to ``ALL_PAIRS`` texts have them.
+    """``(shingle, texts, node, size)``: of each text the rarest shingles, as far as another text has them.
 
     Two texts of similarity ``least`` share one of the first
     ``size - ceil(least * size) + 1`` shingles of each, in any one order of all;
@@ -125,7 +125,20 @@ def _rare_shingles(texts: DataFrame, size: int, least: float) -> DataFrame:
     known = shingles.join(held.withColumnRenamed("shingle", "of"), F.col("shingle") == F.col("of"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "shingle"))
     first = known.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
-    return first.where(F.col("texts").between(2, ALL_PAIRS)).select("shingle", "node", "size")
+    return first.where(F.col("texts") > 1).select("shingle", "texts", "node", "size")
+
+
+def _unjoined_pairs(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of texts with a rare shingle in common that ``roots`` does not join yet.
+
+    Shingles all of whose texts are in one group are left out before texts are paired.
+    """
+    placed = rare.join(roots.withColumnsRenamed({"node": "of", "root": "known"}), F.col("node") == F.col("of"), "left")
+    placed = cut(placed.select("shingle", "size", "node", F.coalesce("known", "node").alias("root")))
+    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    one = placed.join(mixed, "shingle", "left_semi").select("shingle", F.struct("node", "size").alias("a"), F.col("root").alias("a_root"))
+    other = one.withColumnsRenamed({"shingle": "of", "a": "b", "a_root": "b_root"})
+    return one.join(other, (F.col("shingle") == F.col("of")) & (F.col("a.node") > F.col("b.node")) & (F.col("a_root") != F.col("b_root"))).select("a", "b")
 
 
 def _bucket_pairs(told: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,20 +189,24 @@ def links(docs: DataFrame, told: DataFrame, text_col: str = "text", size: int =
     ``told``: the rows' ``signatures``.  Texts to compare are those whose SimHash
     is within 2 bits, and those with an equal entry.  Texts in large buckets may
     share a frame and little else, so those that share one of their rarest
-    shingles are compared as well, whatever the bucket; no key makes more than
-    ``ALL_PAIRS`` pairs per text.  Each text is compared with one other first; of
-    the other pairs only those whose texts that has not joined yet.  Texts of a
-    group are so linked with its first one, or with one they are similar to.
+    shingles are compared as well, whatever the bucket and however many have that
+    shingle: no two similar ones among them are missed.  Each text is compared with
+    one other first; of the other pairs only those whose texts that has not joined
+    yet.  Texts of a group are so linked with its first one, or with one they are
+    similar to.
     """
     bucketed, crowded = _bucket_pairs(told)
     near = simhash.near_pairs(told.select(F.col("node").alias("id"), "fp")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = cut(_told_apart(bucketed, least).unionByName(near).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct())
     texts = cut(only_in(_texts(docs, text_col), "node", wanted).dropDuplicates(["node"]))
-    rare = _all_pairs(_rare_shingles(texts.join(crowded, "node", "left_semi"), size, least), "shingle")
-    pairs = cut(pairs.unionByName(_told_apart(rare, least)).distinct())
+    rare = cut(_rare_shingles(texts.join(crowded, "node", "left_semi"), size, least))
+    pairs = cut(pairs.unionByName(_told_apart(_all_pairs(rare.where(F.col("texts") <= ALL_PAIRS), "shingle"), least)).distinct())
     sure = _verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, size, least)
     roots = components(sure, "a", "b")
+    # Shingles of many texts: only texts that are not joined yet are paired.
+    more = _told_apart(_unjoined_pairs(rare.where(F.col("texts") > ALL_PAIRS), roots), least)
+    pairs = cut(pairs.unionByName(more).distinct())
     root = lambda k: roots.select(F.col("node").alias(f"{k}_of"), F.col("root").alias(f"{k}_root"))
     joined = pairs.join(root("a"), F.col("a") == F.col("a_of"), "left").join(root("b"), F.col("b") == F.col("b_of"), "left")
     rest = joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")

@@ -56,6 +56,21 @@ def test_near_copies_in_a_common_frame(spark):
     assert sum(r.doc_id % 2 for r in kept) <= 0.1 * 150 and {r.doc_id for r in kept} >= {i for i, _ in near}
 
 
+def test_no_shingle_is_too_common(spark):
+    """Pairs whose only rare shingles in common are in more texts than are all paired, and in groups apart."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    frame, sets, docs = [word() for _ in range(300)], [[word() for _ in range(50)] for _ in range(5)], []
+    for i in range(120):
+        parts = sets[i % 5], sets[(i // 5) % 5]
+        docs.append((i, " ".join(frame + parts[0] + parts[1] + [word() for _ in range(25 + i % 3)])))
+    found = similar(docs)
+    root = least_reachable([i for i, _ in docs], found)
+    assert len(found) > 200
+    kept = {r.doc_id for r in nearcopies.keep_first(documents(spark, [(i, t, None, None) for i, t in docs])).collect()}
+    assert kept == {i for i in root if root[i] == i}
+
+
 def test_recall(spark):
     """At sf0.1 at least 0.9 of the pairs of 0.8 and more are found; pairs come from an index of all shingles."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -108,3 +108,12 @@ def test_sieve_flags_all_that_is_in(spark):
     assert flagged.where("id % 7 != 0 and _maybe").count() < 20
     assert sorted(r.id for r in shared.only_in(rows, "k", keys).select("id").collect()) == list(range(0, 20_000, 7))
     assert shared.only_in(rows, "k", keys.limit(0)).count() == 0
+
+
+def test_a_shingle_of_many_texts_pairs_those_not_joined(spark):
+    texts = spark.createDataFrame([(bytes([i]), f"common u{i}".encode()) for i in range(20)], "node binary, text binary")
+    rare = nearcopies._rare_shingles(texts, 1, 0.5).cache()
+    assert rare.count() == 20 > nearcopies.ALL_PAIRS
+    roots = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(18)], "node binary, root binary")
+    got = {(r.a.node[0], r.b.node[0]) for r in nearcopies._unjoined_pairs(rare, roots).collect()}
+    assert got == {(i, j) for i in (18, 19) for j in range(i)}

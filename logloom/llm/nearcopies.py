@@ -13,6 +13,7 @@ from logloom.llm.shared import TEXTS, cut, may_be_in, only_in, text_chunks, toke
 
 BANDS, ROWS = 16, 5  # two texts of similarity s meet with chance 1 - (1 - s**ROWS)**BANDS: 0.998 at 0.8
 ALL_PAIRS = 16  # texts of a bucket that are all compared with each other
+PARTS = 1024  # of all shingles, see _parities
 _CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,17 +129,69 @@ def _rare_shingles(texts: DataFrame, size: int, least: float) -> DataFrame:
     return first.where(F.col("texts") > 1).select("shingle", "texts", "node", "size")
 
 
-def _unjoined_pairs(rare: DataFrame, roots: DataFrame) -> DataFrame:
+def _of_several_groups(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(shingle, size, node, root)`` of ``rare``, without shingles all of whose texts ``roots`` puts into one group."""
+    placed = rare.join(roots.withColumnsRenamed({"node": "of", "root": "known"}), F.col("node") == F.col("of"), "left")
+    placed = cut(placed.select("shingle", "size", "node", F.coalesce("known", "node").alias("root")))
+    several = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    return placed.join(several, "shingle", "left_semi")
+
+
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """``(node, marks)``: of each of ``PARTS`` parts of all shingles, whether the text has an odd number; 64 parts a word.
+
+    Two texts differ in at least as many shingles as in parts.
+    """
+
+    def run(batches):
+        tables: dict = {}
+        for b in batches:
+            for at, some in text_chunks(b.column(1), _CHUNK):
+                odd = [np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) % 2 for h in _distinct_shingles(some, size, tables)]
+                words = pa.array(np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64).ravel())
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (PARTS // 64)), words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), marks], ["node", "marks"])
+
+    words = F.struct(*[F.get("marks", F.lit(i)).alias(f"w{i}") for i in range(PARTS // 64)])
+    return cut(texts.select("node", "text").mapInArrow(run, "node binary, marks array<long>").select(F.col("node").alias("_of"), words.alias("marks")), TEXTS)
+
+
+def _unjoined_pairs(rare: DataFrame, roots: DataFrame, texts: DataFrame | None = None, size: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of texts with a rare shingle in common that ``roots`` does not join yet.
 
-    Shingles all of whose texts are in one group are left out before texts are paired.
+    Shingles all of whose texts are in one group are left out before texts are
+    paired.  With ``texts`` pairs that differ in too many parts of all shingles
+    (``_parities``) to be similar are left out where they meet.
     """
-    placed = rare.join(roots.withColumnsRenamed({"node": "of", "root": "known"}), F.col("node") == F.col("of"), "left")
-    placed = cut(placed.select("shingle", "size", "node", F.coalesce("known", "node").alias("root")))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    one = placed.join(mixed, "shingle", "left_semi").select("shingle", F.struct("node", "size").alias("a"), F.col("root").alias("a_root"))
-    other = one.withColumnsRenamed({"shingle": "of", "a": "b", "a_root": "b_root"})
-    return one.join(other, (F.col("shingle") == F.col("of")) & (F.col("a.node") > F.col("b.node")) & (F.col("a_root") != F.col("b_root"))).select("a", "b")
+    several = _of_several_groups(rare, roots)
+    one = several.select("shingle", F.struct("node", "size").alias("a"), F.col("root").alias("a_root"))
+    unlike = F.lit(False)
+    if texts is not None:
+        several = cut(several)
+        marks = _parities(texts.join(several.select("node").distinct(), "node", "left_semi"), size)
+        marked = several.join(marks, F.col("node") == F.col("_of"))
+        one = marked.select("shingle", F.struct("node", "size").alias("a"), F.col("root").alias("a_root"), F.col("marks").alias("a_marks"))
+        apart = sum((F.bit_count(F.col(f"a_marks.w{i}").bitwiseXOR(F.col(f"b_marks.w{i}"))) for i in range(PARTS // 64)), F.lit(0))
+        unlike = apart > (F.col("a.size") + F.col("b.size")) * ((1 - least) / (1 + least)) + 1e-6
+    other = one.withColumnsRenamed({"shingle": "of", "a": "b", "a_root": "b_root", "a_marks": "b_marks"})
+    return one.join(other, (F.col("shingle") == F.col("of")) & (F.col("a.node") > F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & ~unlike).select("a", "b")
+
+
+def _joined_by_hubs(rare: DataFrame, roots: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """``roots`` with the groups joined that the hubs of common shingles join.
+
+    Copies of one text differ more from each other than from that text, so the
+    hub of a shingle is its text with most common shingles among its rarest.
+    Each text is paired with the hubs of its shingles only.
+    """
+    common = rare.groupBy(F.col("node").alias("_of")).agg(F.count("*").alias("common"))
+    several = cut(_of_several_groups(rare, roots).join(common, F.col("node") == F.col("_of")).drop("_of"))
+    order = F.struct(F.col("common"), F.xxhash64("node"))
+    hubs = several.groupBy(F.col("shingle").alias("of")).agg(F.max_by(F.struct("node", "size", "root"), order).alias("b"))
+    met = several.join(hubs, F.col("shingle") == F.col("of")).where(F.col("root") != F.col("b.root"))
+    pairs = met.select(F.struct("node", "size").alias("a"), F.struct("b.node", "b.size").alias("b"))
+    found = _verified(cut(_told_apart(pairs, least).distinct()), texts, size, least)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "a", "b")
 
 
 def _bucket_pairs(told: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,8 +244,9 @@ def links(docs: DataFrame, told: DataFrame, text_col: str = "text", size: int =
     share a frame and little else, so those that share one of their rarest
     shingles are compared as well, whatever the bucket and however many have that
     shingle: no two similar ones among them are missed.  Each text is compared with
-    one other first; of the other pairs only those whose texts that has not joined
-    yet.  Texts of a group are so linked with its first one, or with one they are
+    one other first, then with the hubs of its common shingles; of the other pairs
+    only those whose texts these have not joined yet and that do not differ in too
+    many parts of all shingles (an exact bound).  Texts of a group are so linked with its first one, or with one they are
     similar to.
     """
     bucketed, crowded = _bucket_pairs(told)
@@ -203,9 +257,10 @@ def links(docs: DataFrame, told: DataFrame, text_col: str = "text", size: int =
     rare = cut(_rare_shingles(texts.join(crowded, "node", "left_semi"), size, least))
     pairs = cut(pairs.unionByName(_told_apart(_all_pairs(rare.where(F.col("texts") <= ALL_PAIRS), "shingle"), least)).distinct())
     sure = _verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, size, least)
-    roots = components(sure, "a", "b")
+    common = rare.where(F.col("texts") > ALL_PAIRS)
     # Shingles of many texts: only texts that are not joined yet are paired.
-    more = _told_apart(_unjoined_pairs(rare.where(F.col("texts") > ALL_PAIRS), roots), least)
+    roots = _joined_by_hubs(common, components(sure, "a", "b"), texts, size, least)
+    more = _told_apart(_unjoined_pairs(common, roots, texts, size, least), least)
     pairs = cut(pairs.unionByName(more).distinct())
     root = lambda k: roots.select(F.col("node").alias(f"{k}_of"), F.col("root").alias(f"{k}_root"))
     joined = pairs.join(root("a"), F.col("a") == F.col("a_of"), "left").join(root("b"), F.col("b") == F.col("b_of"), "left")

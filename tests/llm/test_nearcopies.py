@@ -117,3 +117,30 @@ def test_a_shingle_of_many_texts_pairs_those_not_joined(spark):
     roots = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(18)], "node binary, root binary")
     got = {(r.a.node[0], r.b.node[0]) for r in nearcopies._unjoined_pairs(rare, roots).collect()}
     assert got == {(i, j) for i in (18, 19) for j in range(i)}
+
+
+def test_copies_of_one_text_make_few_pairs(spark):
+    """Texts that are 0.8 like their first one, but not like each other: no pairs of all with all."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 80):
+        words = list(base)
+        for at in rng.sample(range(400), 9 if i % 2 else 14):
+            words[at] = f"x{i}-{at}"
+        docs.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in docs]
+    texts = spark.createDataFrame([(bytes([i]), t.encode()) for i, t in docs], "node binary, text binary").cache()
+    rare = nearcopies._rare_shingles(texts, 5, 0.8).where(F.col("texts") > nearcopies.ALL_PAIRS).cache()
+    roots = spark.createDataFrame([], "node binary, root binary")
+    two = lambda pairs: {(max(r.a.node[0], r.b.node[0]), min(r.a.node[0], r.b.node[0])) for r in pairs.collect()}
+    every, less = two(nearcopies._unjoined_pairs(rare, roots)), two(nearcopies._unjoined_pairs(rare, roots, texts))
+    near = {(j, i) for i, j in similar(docs)}
+    assert near & every == near & less and len(less) < len(every) / 4
+    joined = {r.node[0] for r in nearcopies._joined_by_hubs(rare, roots, texts, 5, 0.8).collect()}
+    assert joined >= {i for i in range(1, 80, 2) if (i, 0) in near and (i, 0) in every} and len(joined) > 20
+    # Parts that differ are never more than shingles that differ.
+    marks = {r._of[0]: r.marks for r in nearcopies._parities(texts, 5).collect()}
+    for i, j in itertools.combinations(range(20), 2):
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(marks[i], marks[j]))
+        assert apart <= len(sets[i] ^ sets[j])

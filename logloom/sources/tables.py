@@ -48,10 +48,15 @@ def _first_lines(lines: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= n).groupBy(F.col("file").alias("_file")).agg(head.alias("_head"))
 
 
-def _with_header(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Lines below each file's first one, with that line as ``_header``."""
+def _with_header(spark: SparkSession, path: str | Sequence[str], wanted: Callable[[Column], Column] | None = None, steps: Sequence[dict[str, Column]] = ()) -> DataFrame:
+    """Lines below each file's first one, with that line as ``_header``.
+
+    ``steps`` add columns that follow from the header; they are worked out once for each file, not for each line.
+    """
     lines = read_lines(spark, path, wanted)
     head = _first_lines(lines, 1).select("_file", F.col("_head")[0]["value"].alias("_header"), F.col("_head")[0]["_at"].alias("_first"))
+    for step in steps:
+        head = head.withColumns(step)
     below = lines.join(head, F.col("file") == F.col("_file"))
     return below.where((F.col(SLICE) != 0) | (F.col("_at") != F.col("_first"))).drop("_file", "_first")
 
@@ -165,16 +170,18 @@ def read_calibration_csv(spark: SparkSession, path: str | Sequence[str]) -> Data
     count = lambda d: F.length(header) - F.length(F.replace(header, F.lit(d), F.lit("")))
     commas, semicolons, tabs = count(","), count(";"), count("\t")
     delimiter = F.when((commas >= semicolons) & (commas >= tabs), ",").when(semicolons >= tabs, ";").otherwise("\t")
-    rows = _with_header(spark, path).withColumn("_d", delimiter)
     # The three signs stand in no name, so they may all cut the header.
     names = F.transform(F.split(header, F.col("_d")), lambda h: F.lower(F.trim(F.trim(h), F.lit('"'))))
-    rows = rows.select("file", names.alias("_n"), F.split("value", F.col("_d")).alias("_c")).where(F.size("_c") >= F.size("_n"))
 
     def last(name: str) -> Column:  # of equal headers the last one counts
         spots = F.sequence(F.lit(0), F.size("_n") - 1)
         return F.try_element_at(F.filter(spots, lambda i: F.get("_n", i) == name), F.lit(-1))
 
-    rows = rows.withColumn("_p", F.struct(*[last(h).alias(h) for h in CALIBRATION_HEADERS]))
+    places = F.struct(*[last(h).alias(h) for h in CALIBRATION_HEADERS])
+    rows = _with_header(spark, path, steps=({"_d": delimiter}, {"_n": names}, {"_p": places, "_width": F.size("_n")}))
+    # As the one element of an array a line is cut once, not for each cell.
+    cells = F.explode(F.array(F.split("value", F.col("_d")))).alias("_c")
+    rows = rows.select("file", "_p", "_width", cells).where(F.size("_c") >= F.col("_width"))
     cell = lambda h: F.trim(F.replace(F.trim(F.get("_c", F.col(f"_p.{h}"))), F.lit('"'), F.lit("")))
     cols = []
     for h, (ours, kind) in CALIBRATION_HEADERS.items():

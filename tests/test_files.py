@@ -148,3 +148,13 @@ def test_bundle_to_records(spark, tmp_path):
     assert [(r.source, r.file, r.is_transition) for r in got if r.seq == 1 and r.message != "msg"] == [("APP", "x/50300001.file.log.8865", False), ("PLC", "x/EngineGroupA.file", True)]
     assert len(got) == 9 and {r.session for r in got} == {"b 1%+x"}
     assert [(r.level, r.method, r.file) for r in got if r.message == "msg"] == [("WARN", "Run", "logs/Logger Files/AppDev.log")]
+
+
+def test_calibration_headers_are_read_once_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SN;CycleNumber;SN;RevolutionIndex\n1;2;3;RevType\n4;5\n6;7;8;odd;more\n")
+    (tmp_path / "b.csv").write_text('"IterationNum",ElementLocationX\n"9", 1.5 \nnone,NaN\n')
+    df = tables.read_calibration_csv(spark, str(tmp_path))
+    rows = sorted((r.sn, r.iteration, r.cycle, r.x, r.revolution) for r in df.collect())
+    assert rows == [(0, 0, 0, 0.0, ""), (0, 9, 0, 1.5, ""), (3, 0, 2, 0.0, "RevType"), (8, 0, 7, 0.0, "odd")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" in plan and "sequence(0" not in plan[: plan.index("Join")]  # not for each line

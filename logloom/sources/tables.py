@@ -317,6 +317,9 @@ def read_wide_export(spark: SparkSession, path: str | Sequence[str]) -> dict[str
     }
 
 
-def write_table_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Any table as CSV: header, quotes where needed, quotes inside doubled."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+def write_table_csv(df: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
+    """Any table as CSV: header, quotes where needed, quotes inside doubled.
+
+    ``compression``: a codec of Spark's CSV writer; its readers tell it by the files' names.
+    """
+    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", compression=compression)

@@ -158,3 +158,13 @@ def test_calibration_headers_are_read_once_a_file(spark, tmp_path):
     assert rows == [(0, 0, 0, 0.0, ""), (0, 9, 0, 1.5, ""), (3, 0, 2, 0.0, "RevType"), (8, 0, 7, 0.0, "odd")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0" in plan and "sequence(0" not in plan[: plan.index("Join")]  # not for each line
+
+
+def test_compressed_table_csv(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "'a \"quoted\", cell' AS t", "if(id % 3 = 0, '', 'x') AS e")
+    sizes = {}
+    for codec in ("none", "gzip"):
+        tables.write_table_csv(df.coalesce(1), str(tmp_path / codec), compression=codec)
+        sizes[codec] = sum(f.stat().st_size for f in (tmp_path / codec).glob("part-*"))
+    back = [spark.read.csv(str(tmp_path / c), header=True, schema=df.schema, escape='"') for c in sizes]
+    assert back[0].exceptAll(back[1]).count() == 0 and back[1].count() == 5000 and sizes["gzip"] < sizes["none"] / 5

@@ -219,3 +219,17 @@ def test_time_texts(spark):
 def test_bad_mask_masks_nothing(spark):
     df = spark.createDataFrame([("At 10:11:12.5 v7",)], "m string")
     assert df.select(T.mask_text("m"), T.mask_text("m", "("), T.mask_text("m", "AT")).first()[:] == ("At # v#", "At 10:11:12.5 v7", "# 10:11:12.5 v7")
+
+
+def test_several_slice_filters_read_the_slices_once(spark):
+    from bindings.nested import f16
+    from logloom.operators import slices as sl
+
+    names = [n for n in sl.SEARCH_COLUMNS if n not in ("station_active", "stripe_type", "ink_id")]
+    rows = [(i, i % 2 == 0, None if i % 5 == 0 else "Null-Gap", i % 4, *([f"x{i}"] * len(names))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, station_active boolean, stripe_type string, ink_id int, " + ", ".join(f"{n} string" for n in names))
+    tests = {"a": dict(active_only=True, stripe_type="Null-Gap", ink=2), "b": dict(text="X1"), "c": dict(text="x3", column="hv_target")}
+    want = sorted((k, r.id) for k, t in tests.items() for r in sl.slice_filter(df, **t).collect())
+    assert sorted((r.kind, r.id) for r in sl.slice_filters(df, tests).collect()) == want and {k for k, _ in want} == set(tests)
+    plan = f16(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

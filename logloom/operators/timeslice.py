@@ -92,6 +92,8 @@ _PLAIN_KINDS = {"string", "tinyint", "smallint", "int", "bigint"}
 def _between(values, found: np.ndarray) -> np.ndarray:
     """Rank among sorted ``values``: odd for one of them, even for what lies between."""
     at = np.searchsorted(values, found)
+    if not len(values):
+        return 2 * at
     return 2 * at + (values[np.minimum(at, len(values) - 1)] == found)
 
 

@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 
 from logloom.llm.shared import cut
 
+EDGES = 1 << 16  # that one task reads at least, if there are as many
+
+
+def _least(e: DataFrame) -> DataFrame:
+    """``(at, m)``: the smallest neighbour of every node that has a smaller one."""
+    return e.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
+
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Every neighbour larger than a node moves to the node's smallest neighbour."""
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    moved = both.where("v > u").join(least, F.col("u") == F.col("at"))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Every neighbour larger than a node moves to the node's smallest neighbour, or stays if the node is smaller.
+
+    One row per edge, so edges may come twice; the small star takes that.
+    """
+    return e.join(_least(e), F.col("v") == F.col("at"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours all move to the smallest of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "at")
-    moved = e.join(least, F.col("u") == F.col("at"))
-    hung = moved.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
+    """A node and its smaller neighbours all move to the smallest of them: its own edge takes the node there, the others the neighbours."""
+    moved = e.join(_least(e), F.col("u") == F.col("at"))
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _state(e: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether every node with a smaller neighbour has no other edge."""
+    end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"))
+    ends = e.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("end"))
+    nodes = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count("*").alias("n"))
+    rows, more = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()
+    return rows, more == 0
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,10 +47,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     The number of rounds grows with the logarithm of the longest path.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
-    e, before = cut(e.distinct()), None
+    e = cut(e.distinct())
     while True:
-        rows, state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if rows == 0 or (rows, state) == before:
+        rows, stars = _state(e)
+        e = e.coalesce(rows // EDGES + 1)
+        if stars:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = (rows, state)
         e = cut(_small_star(_large_star(e)))

@@ -48,6 +48,17 @@ def test_components(spark):
     assert components.components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df: written.append(shared.cut(df)) or written[-1])
+    stars = spark.createDataFrame([(i, i % 5) for i in range(5, 100)], "a long, b long")
+    got = components.components(stars, "a", "b")
+    assert dict(rows(got)) == {i: i % 5 for i in range(5, 100)} and len(written) == 1
+    assert got.rdd.getNumPartitions() == 1  # few edges are read by one task
+    path = spark.createDataFrame([(1, 9), (9, 4), (4, 7), (4, 7)], "a long, b long")
+    assert dict(rows(components.components(path, "a", "b"))) == {9: 1, 4: 1, 7: 1} and len(written) > 2
+
+
 # --- 1: language-model scores ------------------------------------------------
 
 

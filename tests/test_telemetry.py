@@ -190,6 +190,24 @@ def test_wide_forms_find_their_paths(spark):
     assert jsonx.flatten_json(df, cols=["more"], mode="top").columns == ["id", "doc", "b"]
 
 
+def test_wide_forms_lose_no_cell_and_no_name(spark):
+    odd = {'a"b': 1, "a'b": 2, "q?": 3, "in": {"": 4, "x.y[0]": 5, '"': {"k": 6}}, "\"'": 7}
+    cells = ['\n\t{"a": 8}\r\n', json.dumps(odd), "\n[1]", " \u00a0{}", None]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, doc string")
+    leaves = {"a": "8", 'a"b': "1", "a'b": "2", "q?": "3", "in_": "4", "in_x.y[0]": "5", 'in_"_k': "6", "\"'": "7"}
+    full = jsonx.flatten_json(df)
+    assert sorted(full.columns) == sorted(["id", *leaves])
+    got = {(r["id"], k): v for r in full.collect() for k, v in r.asDict().items() if k != "id" and v is not None}
+    assert got == {(0 if k == "a" else 1, k): v for k, v in leaves.items()}
+    top = {k: v for r in jsonx.expand_json(df).collect() for k, v in r.asDict().items() if k not in ("id", "in") and v is not None}
+    assert top == {k: v for k, v in leaves.items() if not k.startswith("in_")}
+    short = jsonx.flatten_json(df, mode="summary")
+    assert sorted(short.columns) == sorted(["id", *[f"doc.{k.replace('_', '.')}" for k in leaves]])
+    assert short.where("id = 0").first()["doc.a"] == "8" and short.where("id = 1").first()["doc.in."] == "4"
+    assert jsonx.json_columns(df.where("id = 0")) == ["doc"]
+    assert jsonx.flatten_json(df, [("doc", '$["in"][""]')]).where("id = 1").first()["in_"] == "4"
+
+
 def slow_leaves(value, path="", place="$"):
     if isinstance(value, (dict, list)):
         for k, inner in value.items() if isinstance(value, dict) else enumerate(value):
